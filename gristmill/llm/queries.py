@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprints, language, mixing, oracles, packing, quality, toxicity
+from . import chat, fingerprints, kneser_ney, language, mixing, oracles, packing, quality, toxicity
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(turns.unionByName(own)))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.language_model(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op5_packing": op5_packing,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_language_model": op7_language_model,
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,
