@@ -89,3 +89,18 @@ class Workspace:
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcasts a settled table only after counting that it has few rows; else the join shuffles."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+#: Bits of the bitmap of only_near, and bits of a row of it.
+BITMAP_BITS, BITMAP_ROW = 1 << 23, 32_768
+
+
+def only_near(rows: DataFrame, keys: DataFrame, column: str = "key") -> DataFrame:
+    """The rows whose `column`, a long, may be among those of `keys`, other rows passing by chance: it keeps rows that an
+    exact join would drop out of that join's shuffle. What goes to all tasks is a bitmap of fixed size."""
+    at = F.pmod(F.col(column), F.lit(BITMAP_BITS))
+    row, bit = (at / BITMAP_ROW).cast("int"), F.pmod(at, F.lit(BITMAP_ROW))
+    bitmap = keys.where(F.col(column).isNotNull()).select(row.alias("_row"), bit.alias("_bit")).groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bitmap"))
+    byte = F.conv(F.hex(F.substring(F.col("_bitmap"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    rows = rows.withColumn("_row", row).join(F.broadcast(settled(bitmap)), "_row")
+    return rows.where(F.call_function("shiftright", byte, F.pmod(bit, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1).drop("_row", "_bitmap")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,3 +29,28 @@ def components(links: DataFrame) -> DataFrame:
             break
         state = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def bucket_links(members: DataFrame, distances: Callable[[DataFrame], DataFrame], similar: float) -> DataFrame:
+    """Links (a, b) that connect what is similar within each bucket of members (bucket, key), without pairing all of it.
+
+    In each round a bucket's least member leads: all others are compared with it and those within 1 - similar are linked.
+    Those that are not go on, and with them the linked ones that the triangle inequality allows to be similar to one of
+    those: the Jaccard distance is a metric, so a linked member at distance d can only be if some other lies within
+    d + 1 - similar. The leader has met everyone and leaves. Rounds end when no bucket has members left."""
+    reach, eps, found = 1 - similar, 1e-9, []
+    while not members.isEmpty():
+        lead = members.groupBy("bucket").agg(F.min("key").alias("a"))
+        rows = members.join(lead, "bucket").where("key <> a").select("bucket", "a", F.col("key").alias("b"))
+        rows = settled(rows)
+        known = settled(distances(rows.select("a", "b").distinct()))
+        found.append(known.where(F.col("distance") <= reach + eps).select("a", "b"))
+        rows = rows.join(known, ["a", "b"])
+        far = rows.where(F.col("distance") > reach + eps).groupBy("bucket").agg(F.min("distance").alias("nearest"), F.count(F.lit(1)).alias("others"))
+        rows = rows.join(far, "bucket").where((F.col("distance") > reach + eps) | (F.col("distance") >= F.col("nearest") - reach - eps))
+        left = rows.select("bucket", F.col("b").alias("key"))
+        members = settled(left.join(left.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket", "left_semi"))
+    out = found[0] if found else members.select(F.col("key").alias("a"), F.col("key").alias("b"))
+    for f in found[1:]:
+        out = out.union(f)
+    return out

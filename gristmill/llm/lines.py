@@ -9,15 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import bucket_links, components
 
 #: Characters of a shingle; similarity of lines that count as one; bands and minima in a band.
 SHINGLE, SIMILAR, BANDS, ROWS = 8, 0.8, 7, 3
 #: Lines of fewer shingles than LONG are hashed by all of them; longer ones by one in THIN, chosen by hash. Those between
 #: SIMILAR * LONG and LONG are hashed both ways, so that two similar lines always meet in one way.
 LONG, THIN = 96, 4
-#: Bits of the bitmap that keeps lines which nothing collides with out of the shuffle of texts, and bits of a row of it.
-BITMAP_BITS, BITMAP_ROW = 1 << 23, 32_768
 
 
 @dataclass(frozen=True)
@@ -71,16 +69,6 @@ def shingle_set(line: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), 2 * n_shingles(b) - 1, F.lit(2)), lambda i: F.xxhash64(F.substring(b, i, F.lit(2 * SHINGLE)))))
 
 
-def only_near(lines: DataFrame, keys: DataFrame) -> DataFrame:
-    """The lines whose key may be among keys: a bitmap of bounded size goes to all tasks; it lets other lines pass by chance."""
-    at = F.pmod(F.col("key"), F.lit(BITMAP_BITS))
-    row, bit = (at / BITMAP_ROW).cast("int"), F.pmod(at, F.lit(BITMAP_ROW))
-    bitmap = keys.select(row.alias("row"), bit.alias("bit")).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
-    byte = F.conv(F.hex(F.substring(F.col("bitmap"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    lines = lines.withColumn("row", row).join(F.broadcast(common.settled(bitmap)), "row")
-    return lines.where(F.call_function("shiftright", byte, F.pmod(bit, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1).drop("row", "bitmap")
-
-
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b, distance: one less the exact Jaccard similarity of the shingle sets of each pair of keys."""
     with_a = pairs.join(texts.select(F.col("key").alias("a"), F.col("plain").alias("line_a")), "a")
@@ -90,31 +78,6 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb", shared.alias("shared")).select("a", "b", (1 - F.col("shared") / (F.size("sa") + F.size("sb") - F.col("shared"))).alias("distance"))
 
 
-def bucket_links(members: DataFrame, distances) -> DataFrame:
-    """Links (a, b) that connect what is similar within each bucket of members (bucket, key), without pairing all of it.
-
-    In each round a bucket's least member leads: all others are compared with it and those within 1 - SIMILAR are linked.
-    Those that are not go on, and with them the linked ones that the triangle inequality allows to be similar to one of
-    those: the Jaccard distance is a metric, so a linked member at distance d can only be if some other lies within
-    d + 1 - SIMILAR. The leader has met everyone and leaves. Rounds end when no bucket has members left."""
-    reach, eps, found = 1 - SIMILAR, 1e-9, []
-    while not members.isEmpty():
-        lead = members.groupBy("bucket").agg(F.min("key").alias("a"))
-        rows = members.join(lead, "bucket").where("key <> a").select("bucket", "a", F.col("key").alias("b"))
-        rows = common.settled(rows)
-        known = common.settled(distances(rows.select("a", "b").distinct()))
-        found.append(known.where(F.col("distance") <= reach + eps).select("a", "b"))
-        rows = rows.join(known, ["a", "b"])
-        far = rows.where(F.col("distance") > reach + eps).groupBy("bucket").agg(F.min("distance").alias("nearest"), F.count(F.lit(1)).alias("others"))
-        rows = rows.join(far, "bucket").where((F.col("distance") > reach + eps) | (F.col("distance") >= F.col("nearest") - reach - eps))
-        left = rows.select("bucket", F.col("b").alias("key"))
-        members = common.settled(left.join(left.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket", "left_semi"))
-    out = found[0] if found else members.select(F.col("key").alias("a"), F.col("key").alias("b"))
-    for f in found[1:]:
-        out = out.union(f)
-    return out
-
-
 def line_classes(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, line, class_id, kept for the lines that have another like them; others are in a class of their own.
 
@@ -129,12 +92,12 @@ def line_classes(docs: DataFrame) -> DataFrame:
     members = common.settled(banded.join(shared.hint("shuffle_hash"), "bucket").select("bucket", "key"))
     keys = common.settled(members.select("key").distinct())
     lines = line_table(docs)
-    texts = only_near(lines.select("key", "plain"), keys).join(keys, "key", "left_semi").groupBy("key").agg(F.first("plain").alias("plain"))
+    texts = common.only_near(lines.select("key", "plain"), keys).join(keys, "key", "left_semi").groupBy("key").agg(F.first("plain").alias("plain"))
     texts = common.settled(texts)
-    roots = components(bucket_links(members, lambda p: verified(p, texts)))
+    roots = components(bucket_links(members, lambda p: verified(p, texts), SIMILAR))
     several = found.groupBy("key").agg(F.max("n").alias("n")).where("n > 1").select(F.col("key").alias("node"))
     classes = common.settled(roots.join(several, "node", "full_outer").select(F.col("node").alias("key"), F.coalesce("root", "node").alias("class_id")))
-    alike = only_near(lines.drop("plain"), classes.select("key")).join(classes, "key").select("doc_id", "text_hash", "line", "class_id")
+    alike = common.only_near(lines.drop("plain"), classes.select("key")).join(classes, "key").select("doc_id", "text_hash", "line", "class_id")
     first = alike.groupBy("class_id").agg(F.min(F.struct("doc_id", "text_hash", "line")).alias("first"))
     alike = alike.join(first, "class_id")
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("text_hash").eqNullSafe(F.col("first.text_hash")) & (F.col("line") == F.col("first.line"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprints, kneser_ney, language, lines, mixing, oracles, packing, quality, toxicity
+from . import chat, fingerprints, jaccard, kneser_ney, language, lines, mixing, oracles, packing, quality, toxicity
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
     "op3_fingerprints": op3_fingerprints,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_packing": op5_packing,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_language_model": op7_language_model,
