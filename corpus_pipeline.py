@@ -1,12 +1,53 @@
-"""The corpus pipeline: toxicity, line dedup, n-gram Jaccard join, mixing, packing."""
+"""The corpus pipeline: toxic documents go, lines and then documents that repeat go, sources are mixed, and the rest packed."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from gristmill.llm import jaccard, lines, mixing, packing, toxicity
+from gristmill.llm.common import Workspace, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return lines.deduplicated(docs)
+
+
+def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.deduplicated(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs)
+
+
+#: Each stage's rows are written as Parquet and read again as the next one's docs.
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("jaccard_join", keep_one_of_each_class),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: No SQL: learned scores, MinHash and tokenizers are beyond it. The tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the table documents of sf_dir."""
+    ws = Workspace(spark, "corpus-pipeline")
+    docs, before = table(spark, sf_dir, "documents"), ""
+    for name, stage in STAGES[:-1]:
+        docs = ws.write(stage(spark, docs, sf_dir), name)
+        if before:
+            ws.drop(before)
+        before = name
+    return STAGES[-1][1](spark, docs, sf_dir)
