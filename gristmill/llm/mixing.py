@@ -35,47 +35,62 @@ def targets(totals: DataFrame, weights: tuple[float, ...], most: float) -> DataF
     return rows.select("source", "source_size", F.when(F.col("stopped"), F.col("limit_")).otherwise(level * F.col("weight")).alias("target"))
 
 
-def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, bits: int = 14, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken.
-
-    Every document of a source is taken floor(target / source_size) times; those whose hash lies below the source's threshold
-    once more. The threshold comes from a histogram of sizes by (source, high hash bits): one pass finds the bucket in which
-    the remaining budget ends, and only that bucket's documents are looked at one by one. Nothing is sorted but that bucket.
+def thresholds(sized: DataFrame, weights: tuple[float, ...], most: float, bits: int) -> DataFrame:
+    """One row per source of a settled table (source, size, place): source_size, target, whole, last. Every document of the
+    source is taken `whole` times, and once more if its place is not above `last`.
 
-    Null texts have size 0, a null source is a source of its own and comes last. Documents with one id (repeated rows) stand
-    or fall together. Where the last document straddles the budget, it is taken if that comes nearer. An empty table gives no
-    rows. Columns of docs other than the three named ones play no part."""
-    sized = common.settled(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), common.n_words(F.col(text_col)).alias("size"), place(F.col(id_col)).alias("place")))
+    A histogram of sizes by (source, high hash bits) tells in which bucket the remaining budget ends; only that bucket's
+    documents are looked at one by one, and nothing else is sorted."""
     shift = HASH_BITS - bits
-    histogram = sized.groupBy("source", F.shiftright("place", shift).alias("bucket")).agg(F.sum("size").alias("size"))
-    histogram = common.settled(histogram)
+    histogram = common.settled(sized.groupBy("source", F.shiftright("place", shift).alias("bucket")).agg(F.sum("size").alias("size")))
     goal = targets(histogram.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-12))).otherwise(F.lit(0)).cast("long")
     goal = goal.withColumn("whole", whole).withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
-    goal = common.broadcast_if_small(common.settled(goal))
+    goal = common.settled(goal)
     upto = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     running = histogram.withColumn("upto", F.sum("size").over(upto)).withColumn("before", F.col("upto") - F.col("size")).alias("h")
-    edge = running.join(goal.alias("g"), F.col("h.source").eqNullSafe(F.col("g.source"))).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("upto")))
-    edge = common.broadcast_if_small(common.settled(edge.select("h.source", "bucket", "before", "rest")))
-    inside = sized.alias("d").join(edge.alias("e"), F.col("d.source").eqNullSafe(F.col("e.source")) & (F.shiftright("d.place", shift) == F.col("e.bucket")))
+    edge = running.join(common.broadcast_if_small(goal).alias("g"), F.col("h.source").eqNullSafe(F.col("g.source"))).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("upto")))
+    edge = common.settled(edge.select("h.source", "bucket", "before", "rest"))
+    inside = sized.alias("d").join(common.broadcast_if_small(edge).alias("e"), F.col("d.source").eqNullSafe(F.col("e.source")) & (F.shiftright("d.place", shift) == F.col("e.bucket")))
     inside = inside.groupBy("d.source", "place").agg(F.sum("d.size").alias("size"), F.first("before").alias("before"), F.first("rest").alias("rest"))
     upto = W.partitionBy("source").orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow)
     middle = F.col("before") + F.sum("size").over(upto) - F.col("size") / 2
-    cut = inside.withColumn("middle", middle).groupBy("source").agg(F.max(F.when(F.col("middle") <= F.col("rest"), F.col("place"))).alias("last"), F.first("rest").alias("rest"))
-    cut = cut.join(edge.select(F.col("source").alias("of"), "bucket"), F.col("source").eqNullSafe(F.col("of")))
-    cut = cut.select("source", F.coalesce(F.col("last"), F.shiftleft("bucket", shift) - 1).alias("last"))
-    cut = common.broadcast_if_small(common.settled(cut))
-    out = sized.alias("d").join(goal.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")), "left").join(cut.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")), "left")
-    # no edge: the budget's rest is all of the source or nothing
-    extra = F.when(F.col("last").isNotNull(), F.col("place") <= F.col("last")).otherwise(F.col("rest") >= F.col("source_size"))
-    copies = F.col("whole") + F.when(extra & (F.col("source_size") > 0), F.lit(1)).otherwise(F.lit(0))
-    copies = F.least(copies, F.lit(int(most)))
-    return out.select("doc_id", F.col("d.source").alias("source"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    cut = inside.withColumn("middle", middle).groupBy("source").agg(F.max(F.when(F.col("middle") <= F.col("rest"), F.col("place"))).alias("last"))
+    cut = edge.alias("e").join(cut.alias("c"), F.col("e.source").eqNullSafe(F.col("c.source"))).select("e.source", F.coalesce("last", F.shiftleft("bucket", shift) - 1).alias("last"))
+    # without an edge the budget's rest is all of the source or nothing
+    out = goal.alias("g").join(cut.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left")
+    last = F.when(F.col("source_size") <= 0, F.lit(-1)).otherwise(F.coalesce("last", F.when(F.col("rest") >= F.col("source_size"), F.lit((1 << HASH_BITS) - 1)).otherwise(F.lit(-1))))
+    return common.settled(out.select("g.source", "source_size", "target", "whole", last.cast("long").alias("last")))
+
+
+def draw(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, bits: int = 14) -> tuple[DataFrame, DataFrame]:
+    """The settled table (doc_id, source, size, place) of docs and the thresholds of their sources."""
+    sized = common.settled(docs.select("doc_id", "source", common.n_words(F.col("text")).alias("size"), place(F.col("doc_id")).alias("place")))
+    return sized, thresholds(sized, weights, most, bits)
+
+
+def copies(most: float = 3.0):
+    return F.least(F.col("whole") + (F.col("place") <= F.col("last")).cast("long"), F.lit(int(most)))
+
+
+def mix_plan(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies, taken.
+
+    Null texts have size 0, a null source is a source of its own and comes last. Documents with one id (repeated rows) stand
+    or fall together. Where the last document straddles the budget, it is taken if that comes nearer. An empty table gives no
+    rows; columns of docs other than doc_id, text and source play no part."""
+    sized, limits = draw(docs, **options)
+    out = sized.alias("d").join(common.broadcast_if_small(limits).alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")))
+    out = out.withColumn("copies", copies(options.get("most", 3.0)))
+    return out.select("doc_id", F.col("d.source").alias("source"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix with docs' own columns: a row for each copy taken."""
-    plan = mix_plan(docs, **options).where("copies > 0").groupBy("doc_id", "source").agg(F.first("copies").alias("_copies"))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_copies")
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
+    """The documents of the mix with docs' own columns, a row for each copy taken. Texts are not shuffled: a document's place
+    is drawn again from its id and held against its source's threshold."""
+    _, limits = draw(docs.select("doc_id", "source", "text"), **options)
+    limits = common.broadcast_if_small(limits).alias("g")
+    rows = docs.alias("d").join(limits, F.col("d.source").eqNullSafe(F.col("g.source"))).withColumn("place", place(F.col("d.doc_id")))
+    n = copies(options.get("most", 3.0)).cast("int")
+    rows = rows.where(n > 0).select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(0), n)).alias("_copy"))
+    return rows.drop("_copy")
