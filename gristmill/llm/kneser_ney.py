@@ -17,7 +17,7 @@ from .kernel import U64, mix, slices, words
 
 #: Bytes of text for each shard of the model; tokens that a task counts before it hands counts on; documents of the sample that
 #: tells frequent words, and the share of tokens that makes a word frequent (no more than 1 / SHARE words can be).
-SHARD_BYTES, FLUSH_TOKENS, SAMPLE_DOCS, SHARE = 32 << 20, 4_000_000, 2_000, 2e-4
+SHARD_BYTES, FLUSH_TOKENS, SAMPLE_DOCS, SHARE = 16 << 20, 1_500_000, 2_000, 2e-4
 #: A word is the upper 48 bits of its hash; the document's begin and end have ids of their own.
 ID_BITS = 48
 BEGIN, END = U64(1), U64(2)
