@@ -42,4 +42,5 @@ def note_added(notes: Column, note: str) -> Column:
 
 
 def casefold(x: Column) -> Column:
-    return F.lower(F.upper(x))
+    """Lower case with sharp and long s as plain ones. Spark folds lower(upper(x)) to lower(x), so that would not do."""
+    return F.replace(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), F.lit("ſ"), F.lit("s"))

@@ -29,7 +29,7 @@ def manifest(spark: SparkSession, folder: str, excluded: DataFrame | None = None
 def cases(spark: SparkSession, folder: str) -> DataFrame:
     """The folder's sub-folders that hold files, by name."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
-    below = F.substring_index(F.col("path"), F.lit(folder.rstrip("/").removeprefix("file:") + "/"), -1)
+    below = F.substring_index(F.col("path"), folder.rstrip("/").removeprefix("file:") + "/", -1)
     return df.where(F.contains(below, F.lit("/"))).select(F.substring_index(below, "/", 1).alias("case_id")).distinct().orderBy("case_id")
 
 
