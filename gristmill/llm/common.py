@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import itertools
 import tempfile
 import uuid
 
@@ -50,10 +52,34 @@ def shared_folder(spark: SparkSession) -> str:
     return where or sc._jsc.sc().getCheckpointDir().get()
 
 
+_settled = itertools.count(1)
+
+
+def reclaim(spark: SparkSession) -> None:
+    """Lets go of tables that nothing refers to. Spark removes their shuffle and checkpoint files once the driver's JVM has
+    collected them, which by itself it does rarely, as a driver's heap fills slowly."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The rows written to the shared checkpoint folder, lineage cut; Spark removes the files once nothing refers to them."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if not next(_settled) % 4:
+        reclaim(df.sparkSession)
+    return out
+
+
+#: Rows up to which a settled table is kept in one partition.
+NARROW_ROWS = 100_000
+
+
+def narrow(df: DataFrame) -> DataFrame:
+    """The rows settled, and in one partition if they are few, so that joins and aggregates between such tables need no
+    shuffle. A table with more rows stays spread; what is computed is the same either way."""
+    out = settled(df)
+    return out.coalesce(1) if out.limit(NARROW_ROWS + 1).count() <= NARROW_ROWS else out
 
 
 class Workspace:

@@ -4,53 +4,87 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import narrow, only_near, settled
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node that links (a, b) of longs name; root is the least node of the component.
 
-    Rounds of large star and small star: each node's greater, then lesser neighbours are tied to its least one, until nothing
-    changes. Every round is a few aggregates and equi-joins on node ids, settled to the shared folder."""
-    edges = settled(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
+    Rounds of large star and small star: each node's greater, then lesser neighbours are tied to its least one, until every
+    component is a star. Every round is a few aggregates and equi-joins on node ids, settled to the shared folder."""
+    edges = narrow(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = settled(small.select("e.*").where("a <> b").distinct())
-        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if now == state or not now[0]:
-            break
-        state = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-
-
-def bucket_links(members: DataFrame, distances: Callable[[DataFrame], DataFrame], similar: float) -> DataFrame:
-    """Links (a, b) that connect what is similar within each bucket of members (bucket, key), without pairing all of it.
-
-    In each round a bucket's least member leads: all others are compared with it and those within 1 - similar are linked.
-    Those that are not go on, and with them the linked ones that the triangle inequality allows to be similar to one of
-    those: the Jaccard distance is a metric, so a linked member at distance d can only be if some other lies within
-    d + 1 - similar. The leader has met everyone and leaves. Rounds end when no bucket has members left."""
-    reach, eps, found = 1 - similar, 1e-9, []
-    while not members.isEmpty():
-        lead = members.groupBy("bucket").agg(F.min("key").alias("a"))
-        rows = members.join(lead, "bucket").where("key <> a").select("bucket", "a", F.col("key").alias("b"))
-        rows = settled(rows)
-        known = settled(distances(rows.select("a", "b").distinct()))
-        found.append(known.where(F.col("distance") <= reach + eps).select("a", "b"))
-        rows = rows.join(known, ["a", "b"])
-        far = rows.where(F.col("distance") > reach + eps).groupBy("bucket").agg(F.min("distance").alias("nearest"), F.count(F.lit(1)).alias("others"))
-        rows = rows.join(far, "bucket").where((F.col("distance") > reach + eps) | (F.col("distance") >= F.col("nearest") - reach - eps))
-        left = rows.select("bucket", F.col("b").alias("key"))
-        members = settled(left.join(left.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket", "left_semi"))
-    out = found[0] if found else members.select(F.col("key").alias("a"), F.col("key").alias("b"))
-    for f in found[1:]:
-        out = out.union(f)
-    return out
+        edges = narrow(small.select("e.*").where("a <> b").distinct())
+        # stars: a node is tied to one other only, and that one to none
+        roles = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("tied")), F.struct(F.col("b").alias("node"), F.lit(0).alias("tied")))).alias("e")).select("e.*")
+        bad = roles.groupBy("node").agg(F.sum("tied").alias("tied"), F.min("tied").alias("least")).where("tied > 1 or (tied = 1 and least = 0)")
+        if bad.isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+#: Members of a group that one task compares with the group's leaders.
+PART_ROWS = 256
+
+
+def shared_buckets(placed: DataFrame) -> DataFrame:
+    """bucket, key, weight of the rows of placed (bucket, key), distinct, whose bucket holds several keys; of buckets with the
+    same keys one. weight, the bucket's size, is what the bucket adds to how central its keys are."""
+    held = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("x")).where("n > 1")
+    once = settled(held.groupBy("n", "x").agg(F.min("bucket").alias("bucket"), (F.col("n") * F.count(F.lit(1))).alias("weight")).select("bucket", "weight"))
+    return only_near(placed, once, "bucket").join(once, "bucket").select("bucket", "key", "weight")
+
+
+def bucket_classes(members: DataFrame, with_sets: Callable[[DataFrame], DataFrame], similar: float, leaders: int = 256) -> tuple[DataFrame, DataFrame]:
+    """The classes (node, root) of keys that are similar within some bucket of members (bucket, key, weight), and the links
+    (a, b) that were verified to find them, without a row for every pair of a bucket. with_sets adds the array `set` of each
+    `key` to a table.
+
+    First each bucket has one leader, with which all its members are compared: the key that shares buckets with most others,
+    which in a group of edited copies is the one nearest to their common original. Buckets with one leader then are one
+    group. By the triangle inequality, members at distances d and e of their leader can only be similar if d and e differ by
+    1 - similar at most; so a linked member leaves if no unlinked one is that near. Next, up to `leaders` members of a group
+    lead at once, those with the greatest root, which big classes don't have. Their sets go as one array to each member of
+    the group that is left, which gives only the links found; a large group's members are spread over several tasks. Leaders leave; where all members are in one class, the group is
+    done. Rounds go on until no group is left, so no two members of a bucket that are similar stay apart."""
+    reach = 1 - similar + 1e-9
+    shared = lambda s, t: F.size(F.array_intersect(s, t))
+    distance = lambda s, t, n: 1 - n / (F.size(s) + F.size(t) - n)
+
+    central = members.groupBy("key").agg(F.sum("weight").alias("central"))
+    first = members.join(central, "key").groupBy("bucket").agg(F.max_by("key", F.struct("central", "key")).alias("lead"))
+    met = settled(members.join(first, "bucket").where("key <> lead").select("lead", "key").distinct())
+    lead_sets = with_sets(met.select(F.col("lead").alias("key")).distinct()).select(F.col("key").alias("lead"), F.col("set").alias("lead_set"))
+    led_by = with_sets(met.groupBy("key").agg(F.collect_set("lead").alias("leads"))).select("key", "set", F.explode("leads").alias("lead"))
+    both = led_by.join(lead_sets, "lead").withColumn("n", shared(F.col("set"), F.col("lead_set")))
+    known = settled(both.select("lead", "key", distance(F.col("set"), F.col("lead_set"), F.col("n")).alias("distance")))
+    links = known.where(F.col("distance") <= reach).select(F.col("lead").alias("a"), F.col("key").alias("b"))
+    roots = narrow(components(links))
+    far = known.where(F.col("distance") > reach).groupBy("lead").agg(F.min("distance").alias("nearest"))
+    left = known.join(far, "lead").where(F.col("distance") + reach >= F.col("nearest")).select(F.col("lead").alias("group"), "key", "distance")
+    while True:
+        left = left.join(roots.withColumnRenamed("node", "key"), "key", "left").select("group", "key", "distance", F.coalesce("root", "key").alias("root"))
+        open_ = left.groupBy("group").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("parts")).where("x <> y")
+        left = settled(left.join(open_.select("group", "parts"), "group"))
+        if left.isEmpty():
+            return roots, links.distinct()
+        rank = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("root"), F.desc("key")))
+        lead = settled(left.withColumn("rank", rank).where(F.col("rank") <= leaders).drop("rank"))
+        led = with_sets(lead).groupBy("group").agg(F.collect_list(F.struct("key", "root", "distance", "set")).alias("led"), F.max("parts").alias("parts"))
+        led = led.select("group", "led", F.explode(F.sequence(F.lit(1), F.col("parts"))).alias("part"))
+        rows = with_sets(left.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")) + 1)).join(led, ["group", "part"])
+        may = F.filter("led", lambda x: (x["root"] != F.col("root")) & (F.abs(x["distance"] - F.col("distance")) <= reach))
+        hits = F.filter(may, lambda x: distance(F.col("set"), x["set"], shared(F.col("set"), x["set"])) <= reach)
+        found = rows.select(F.col("key").alias("a"), F.explode(F.transform(hits, lambda x: x["key"])).alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        found = narrow(found.distinct())
+        if not found.isEmpty():
+            links = links.union(found)
+            roots = narrow(components(links))
+        left = left.join(lead.select("group", "key"), ["group", "key"], "left_anti").select("group", "key", "distance")

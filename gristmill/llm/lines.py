@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .components import bucket_links, components
+from .components import bucket_classes, shared_buckets
 
 #: Characters of a shingle; similarity of lines that count as one; bands and minima in a band.
 SHINGLE, SIMILAR, BANDS, ROWS = 8, 0.8, 7, 3
@@ -64,18 +64,12 @@ def signatures(docs: DataFrame, hashes: Hashes) -> DataFrame:
     return rows.groupBy("key", "thin").agg(F.sum((F.col("i") == 1).cast("int")).alias("n"), *[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(hashes.masks)])
 
 
-def shingle_set(line: Column) -> Column:
-    b = units(line)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), 2 * n_shingles(b) - 1, F.lit(2)), lambda i: F.xxhash64(F.substring(b, i, F.lit(2 * SHINGLE)))))
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, distance: one less the exact Jaccard similarity of the shingle sets of each pair of keys."""
-    with_a = pairs.join(texts.select(F.col("key").alias("a"), F.col("plain").alias("line_a")), "a")
-    both = with_a.join(texts.select(F.col("key").alias("b"), F.col("plain").alias("line_b")), "b")
-    both = both.select("a", "b", shingle_set(F.col("line_a")).alias("sa"), shingle_set(F.col("line_b")).alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", "sa", "sb", shared.alias("shared")).select("a", "b", (1 - F.col("shared") / (F.size("sa") + F.size("sb") - F.col("shared"))).alias("distance"))
+def with_set(rows: DataFrame, line: str, out: str) -> DataFrame:
+    """Replaces a text column by the set of its shingles' hashes. The units are a column of their own, made once a row."""
+    others = [c for c in rows.columns if c != line]
+    rows = rows.select(*others, units(F.col(line)).alias("_b"))
+    hashed = F.transform(F.sequence(F.lit(1), 2 * n_shingles(F.col("_b")) - 1, F.lit(2)), lambda i: F.xxhash64(F.substring(F.col("_b"), i, F.lit(2 * SHINGLE))))
+    return rows.select(*others, F.array_distinct(hashed).alias(out))
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
@@ -84,20 +78,23 @@ def line_classes(docs: DataFrame) -> DataFrame:
     Lines are alike if the Jaccard similarity of their 8-character shingle sets (in lower case, blanks at the ends off) is 0.8
     or more, or through others that are; a line of fewer than 8 characters is one shingle. Of each class the line that comes
     first, by doc_id (null first) and position, is kept."""
-    hashes = Hashes.drawn()
-    found = common.settled(signatures(docs, hashes))
+    spark, hashes = docs.sparkSession, Hashes.drawn()
+    ws = common.Workspace(spark, "lines")
     bands = F.array(*[F.xxhash64(F.lit(b), "thin", *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
-    banded = found.select("key", F.explode(bands).alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
-    members = common.settled(banded.join(shared.hint("shuffle_hash"), "bucket").select("bucket", "key"))
-    keys = common.settled(members.select("key").distinct())
-    lines = line_table(docs)
-    texts = common.only_near(lines.select("key", "plain"), keys).join(keys, "key", "left_semi").groupBy("key").agg(F.first("plain").alias("plain"))
-    texts = common.settled(texts)
-    roots = components(bucket_links(members, lambda p: verified(p, texts), SIMILAR))
-    several = found.groupBy("key").agg(F.max("n").alias("n")).where("n > 1").select(F.col("key").alias("node"))
+    found = ws.write(signatures(docs, hashes).select("key", "n", bands.alias("bands")), "bands")
+    common.reclaim(spark)
+    members = common.settled(shared_buckets(found.select("key", F.explode("bands").alias("bucket"))))
+    several = common.settled(found.groupBy("key").agg(F.max("n").alias("n")).where("n > 1").select(F.col("key").alias("node")))
+    ws.close()
+    common.reclaim(spark)
+    keys = members.select("key").distinct().withColumn("near", F.lit(True)).join(several.select(F.col("node").alias("key")), "key", "full_outer")
+    keys = common.settled(keys.select("key", F.coalesce("near", F.lit(False)).alias("near")))
+    found = common.only_near(line_table(docs), keys).join(keys, "key").withColumn("plain", F.when(F.col("near"), F.col("plain"))).drop("near")
+    found = common.settled(found)
+    texts = common.settled(found.where("plain is not null").groupBy("key").agg(F.first("plain").alias("plain")))
+    roots, _ = bucket_classes(members, lambda t: with_set(t.join(texts, "key"), "plain", "set"), SIMILAR)
     classes = common.settled(roots.join(several, "node", "full_outer").select(F.col("node").alias("key"), F.coalesce("root", "node").alias("class_id")))
-    alike = common.only_near(lines.drop("plain"), classes.select("key")).join(classes, "key").select("doc_id", "text_hash", "line", "class_id")
+    alike = found.join(classes, "key").select("doc_id", "text_hash", "line", "class_id")
     first = alike.groupBy("class_id").agg(F.min(F.struct("doc_id", "text_hash", "line")).alias("first"))
     alike = alike.join(first, "class_id")
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("text_hash").eqNullSafe(F.col("first.text_hash")) & (F.col("line") == F.col("first.line"))
