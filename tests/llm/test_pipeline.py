@@ -16,7 +16,7 @@ def folder(spark, tmp_path_factory):
     clean = [prose(r, 120) for _ in range(120)]
     bad = [prose(r, 100) + " vilestuff " + prose(r, 20) for _ in range(60)]
     near = [c.replace(" ", " extra ", 1) for c in clean[:5]]
-    data = [(k, t, "en", "s" + str(k % 3), len(t)) for k, t in enumerate([*clean, *bad, *near, clean[0], "", None])]
+    data = [(k, t, "en", "s" + str(k % 3), len(t or "")) for k, t in enumerate([*clean, *bad, *near, clean[0], "", None])]
     d = str(tmp_path_factory.mktemp("corpus"))
     spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(k, 1, int(120 <= k < 180)) for k in range(180)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
