@@ -407,7 +407,7 @@ def modal_file(spark, sf_dir):
 
 
 @query
-def orphan_free_compliance(spark, sf_dir):
+def case_to_matrix(spark, sf_dir):
     """All stages in one plan: enrich, format, merge, route, summarise."""
     items = G.format_items(G.enrich(raw_items(spark, sf_dir)), _rules(spark))
     merged = T.merge_responses(items, responses(spark, sf_dir))
