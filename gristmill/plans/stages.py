@@ -12,6 +12,7 @@ from gristmill.functions import scalars as S
 from gristmill.functions.text import either, strip
 from gristmill.operators import ordered as O
 from gristmill.operators import tables as T
+from gristmill.operators.settle import settled
 
 NONE = "array<string>"
 
@@ -75,8 +76,10 @@ def classified(parts: DataFrame) -> DataFrame:
 
 
 def format_items(enriched: DataFrame, rules: DataFrame | None = None, default_rule: str = "") -> DataFrame:
-    """Enriched items to clean ones: sources, cleaning, ids, splitting, classification. `rules` is (file, req_id_rule)."""
-    df = clean(normal_source(enriched))
+    """Enriched items to clean ones: sources, cleaning, ids, splitting, classification. `rules` is (file, req_id_rule).
+
+    Cleaned rows are settled: the running ids need them twice, and the rules behind them are the dear part."""
+    df = settled(clean(normal_source(enriched)))
     df = T.file_rules(df, rules, default_rule) if rules is not None else df.withColumn("req_id_rule", F.lit(default_rule))
     df = O.resolve_ids(df, F.col("req_id_rule"))
     df = classified(O.explode_pipes(df))
