@@ -30,6 +30,8 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+#: Members of a group that lead at once, a multiple of 64.
+LEADERS = 256
 #: Members of a group that one task compares with the group's leaders.
 PART_ROWS = 256
 
@@ -42,20 +44,21 @@ def shared_buckets(placed: DataFrame) -> DataFrame:
     return only_near(placed, once, "bucket").join(once, "bucket").select("bucket", "key", "weight")
 
 
-def bucket_classes(members: DataFrame, with_sets: Callable[[DataFrame], DataFrame], similar: float, leaders: int = 256) -> tuple[DataFrame, DataFrame]:
+def bucket_classes(members: DataFrame, with_sets: Callable[[DataFrame], DataFrame], similar: float, every_link: bool = False) -> tuple[DataFrame, DataFrame]:
     """The classes (node, root) of keys that are similar within some bucket of members (bucket, key, weight), and the links
     (a, b) that were verified to find them, without a row for every pair of a bucket. with_sets adds the array `set` of each
-    `key` to a table.
+    `key` to a table. With every_link each link found is returned; else, of the later rounds, links between roots.
 
     First each bucket has one leader, with which all its members are compared: the key that shares buckets with most others,
     which in a group of edited copies is the one nearest to their common original. Buckets with one leader then are one
     group. By the triangle inequality, members at distances d and e of their leader can only be similar if d and e differ by
-    1 - similar at most; so a linked member leaves if no unlinked one is that near. Next, up to `leaders` members of a group
+    1 - similar at most; so a linked member leaves if no unlinked one is that near. Next, up to LEADERS members of a group
     lead at once, those with the greatest root, which big classes don't have. Their sets go as one array to each member of
-    the group that is left, which gives only the links found; a large group's members are spread over several tasks. Leaders leave; where all members are in one class, the group is
+    the group that is left, which gives only the links found, as bits that are joined by root; a large group's members are spread over several tasks. Leaders leave; where all members are in one class, the group is
     done. Rounds go on until no group is left, so no two members of a bucket that are similar stay apart."""
     reach = 1 - similar + 1e-9
     shared = lambda s, t: F.size(F.array_intersect(s, t))
+    ordered = lambda a, b: (F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
     distance = lambda s, t, n: 1 - n / (F.size(s) + F.size(t) - n)
 
     central = members.groupBy("key").agg(F.sum("weight").alias("central"))
@@ -76,13 +79,24 @@ def bucket_classes(members: DataFrame, with_sets: Callable[[DataFrame], DataFram
         if left.isEmpty():
             return roots, links.distinct()
         rank = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("root"), F.desc("key")))
-        lead = settled(left.withColumn("rank", rank).where(F.col("rank") <= leaders).drop("rank"))
-        led = with_sets(lead).groupBy("group").agg(F.collect_list(F.struct("key", "root", "distance", "set")).alias("led"), F.max("parts").alias("parts"))
+        lead = settled(left.withColumn("rank", rank).where(F.col("rank") <= LEADERS).drop("rank"))
+        led = with_sets(lead).groupBy("group").agg(F.array_sort(F.collect_list(F.struct("key", "root", "distance", "set"))).alias("led"), F.max("parts").alias("parts"))
         led = led.select("group", "led", F.explode(F.sequence(F.lit(1), F.col("parts"))).alias("part"))
         rows = with_sets(left.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")) + 1)).join(led, ["group", "part"])
-        may = F.filter("led", lambda x: (x["root"] != F.col("root")) & (F.abs(x["distance"] - F.col("distance")) <= reach))
-        hits = F.filter(may, lambda x: distance(F.col("set"), x["set"], shared(F.col("set"), x["set"])) <= reach)
-        found = rows.select(F.col("key").alias("a"), F.explode(F.transform(hits, lambda x: x["key"])).alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        # the bound on the distance is put so that the intersection is made once
+        alike = lambda x: (2 - reach) * shared(F.col("set"), x["set"]) >= (1 - reach) * (F.size("set") + F.size(x["set"]))
+        hit = lambda x: F.when((x["root"] == F.col("root")) | (F.abs(x["distance"] - F.col("distance")) > reach), F.lit(False)).otherwise(alike(x))
+        hits = F.filter(F.transform("led", lambda x, i: F.when(hit(x), i)), lambda i: i.isNotNull())
+        rows = rows.select("group", "key", "root", hits.alias("hits"))
+        ranked = lead.select("group", F.col("key").alias("lead"), F.col("root").alias("lead_root"), (F.row_number().over(Window.partitionBy("group").orderBy("key")) - 1).alias("i"))
+        if every_link:
+            found = rows.select("group", "key", F.explode("hits").alias("i")).join(ranked, ["group", "i"]).select(*ordered("lead", "key"))
+        else:
+            bits = [F.aggregate(F.filter("hits", lambda i, k=k: F.floor(i / 64) == k), F.lit(0).cast("long"), lambda m, i: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(i, F.lit(64))))) for k in range(LEADERS // 64)]
+            masks = rows.select("group", "root", *[b.alias(f"m{k}") for k, b in enumerate(bits)]).groupBy("group", "root").agg(*[F.bit_or(f"m{k}").alias(f"m{k}") for k in range(LEADERS // 64)])
+            of = F.array(*[F.col(f"m{k}") for k in range(LEADERS // 64)])
+            set_ = F.filter(F.sequence(F.lit(0), F.lit(LEADERS - 1)), lambda i: F.call_function("shiftrightunsigned", F.get(of, F.floor(i / 64).cast("int")), F.pmod(i, F.lit(64))).bitwiseAND(F.lit(1)) == 1)
+            found = masks.select("group", "root", F.explode(set_).alias("i")).join(ranked, ["group", "i"]).select(*ordered("lead_root", "root"))
         found = narrow(found.distinct())
         if not found.isEmpty():
             links = links.union(found)
