@@ -66,7 +66,7 @@ def settled(df: DataFrame) -> DataFrame:
     """The rows written to the shared checkpoint folder, lineage cut; Spark removes the files once nothing refers to them."""
     shared_folder(df.sparkSession)
     out = df.checkpoint(eager=True)
-    if not next(_settled) % 4:
+    if not next(_settled) % 2:
         reclaim(df.sparkSession)
     return out
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import narrow, only_near, settled
+from .common import narrow, only_near, reclaim, settled
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -70,6 +70,7 @@ def bucket_classes(members: DataFrame, with_sets: Callable[[DataFrame], DataFram
     known = settled(both.select("lead", "key", distance(F.col("set"), F.col("lead_set"), F.col("n")).alias("distance")))
     links = known.where(F.col("distance") <= reach).select(F.col("lead").alias("a"), F.col("key").alias("b"))
     roots = narrow(components(links))
+    reclaim(members.sparkSession)
     far = known.where(F.col("distance") > reach).groupBy("lead").agg(F.min("distance").alias("nearest"))
     left = known.join(far, "lead").where(F.col("distance") + reach >= F.col("nearest")).select(F.col("lead").alias("group"), "key", "distance")
     while True:
@@ -102,3 +103,4 @@ def bucket_classes(members: DataFrame, with_sets: Callable[[DataFrame], DataFram
             links = links.union(found)
             roots = narrow(components(links))
         left = left.join(lead.select("group", "key"), ["group", "key"], "left_anti").select("group", "key", "distance")
+        reclaim(members.sparkSession)
