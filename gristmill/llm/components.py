@@ -1,9 +1,12 @@
-"""Connected components of a link table by distributed union-find. Native expressions only."""
+"""Connected components of a link table by distributed union-find, classes of similar keys, and their links counted. Native
+expressions only, but for the counting of links."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,30 +47,33 @@ def shared_buckets(placed: DataFrame) -> DataFrame:
     return only_near(placed, once, "bucket").join(once, "bucket").select("bucket", "key", "weight")
 
 
-def bucket_classes(members: DataFrame, with_sets: Callable[[DataFrame], DataFrame], similar: float, every_link: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The classes (node, root) of keys that are similar within some bucket of members (bucket, key, weight), and the links
-    (a, b) that were verified to find them, without a row for every pair of a bucket. with_sets adds the array `set` of each
-    `key` to a table. With every_link each link found is returned; else, of the later rounds, links between roots.
+def led_members(members: DataFrame, with_sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """lead, key, distance: each bucket of members (bucket, key, weight) has one leader, with which all its members are
+    compared: the key that shares buckets with most others, which in a group of edited copies is the one nearest to their
+    common original. with_sets adds the array `set` of each `key` to a table."""
+    distance = lambda s, t, n: 1 - n / (F.size(s) + F.size(t) - n)
+    central = members.groupBy("key").agg(F.sum("weight").alias("central"))
+    first = members.join(central, "key").groupBy("bucket").agg(F.max_by("key", F.struct("central", "key")).alias("lead"))
+    met = settled(members.join(first, "bucket").where("key <> lead").select("lead", "key").distinct())
+    lead_sets = with_sets(met.select(F.col("lead").alias("key")).distinct()).select(F.col("key").alias("lead"), F.col("set").alias("lead_set"))
+    led_by = with_sets(met.groupBy("key").agg(F.collect_set("lead").alias("leads"))).select("key", "set", F.explode("leads").alias("lead"))
+    both = led_by.join(lead_sets, "lead").withColumn("n", F.size(F.array_intersect("set", "lead_set")))
+    return settled(both.select("lead", "key", distance(F.col("set"), F.col("lead_set"), F.col("n")).alias("distance")))
+
 
-    First each bucket has one leader, with which all its members are compared: the key that shares buckets with most others,
-    which in a group of edited copies is the one nearest to their common original. Buckets with one leader then are one
-    group. By the triangle inequality, members at distances d and e of their leader can only be similar if d and e differ by
-    1 - similar at most; so a linked member leaves if no unlinked one is that near. Next, up to LEADERS members of a group
+def bucket_classes(members: DataFrame, with_sets: Callable[[DataFrame], DataFrame], similar: float) -> DataFrame:
+    """The classes (node, root) of keys that are similar within some bucket of members (bucket, key, weight), without a row
+    for every pair of a bucket. with_sets adds the array `set` of each `key` to a table.
+
+    First each member is compared with its bucket's leader. Buckets with one leader then are one group. By the triangle
+    inequality, members at distances d and e of their leader can only be similar if d and e differ by 1 - similar at most; so a linked member leaves if no unlinked one is that near. Next, up to LEADERS members of a group
     lead at once, those with the greatest root, which big classes don't have. Their sets go as one array to each member of
     the group that is left, which gives only the links found, as bits that are joined by root; a large group's members are spread over several tasks. Leaders leave; where all members are in one class, the group is
     done. Rounds go on until no group is left, so no two members of a bucket that are similar stay apart."""
     reach = 1 - similar + 1e-9
     shared = lambda s, t: F.size(F.array_intersect(s, t))
     ordered = lambda a, b: (F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-    distance = lambda s, t, n: 1 - n / (F.size(s) + F.size(t) - n)
-
-    central = members.groupBy("key").agg(F.sum("weight").alias("central"))
-    first = members.join(central, "key").groupBy("bucket").agg(F.max_by("key", F.struct("central", "key")).alias("lead"))
-    met = settled(members.join(first, "bucket").where("key <> lead").select("lead", "key").distinct())
-    lead_sets = with_sets(met.select(F.col("lead").alias("key")).distinct()).select(F.col("key").alias("lead"), F.col("set").alias("lead_set"))
-    led_by = with_sets(met.groupBy("key").agg(F.collect_set("lead").alias("leads"))).select("key", "set", F.explode("leads").alias("lead"))
-    both = led_by.join(lead_sets, "lead").withColumn("n", shared(F.col("set"), F.col("lead_set")))
-    known = settled(both.select("lead", "key", distance(F.col("set"), F.col("lead_set"), F.col("n")).alias("distance")))
+    known = led_members(members, with_sets)
     links = known.where(F.col("distance") <= reach).select(F.col("lead").alias("a"), F.col("key").alias("b"))
     roots = narrow(components(links))
     reclaim(members.sparkSession)
@@ -78,7 +84,7 @@ def bucket_classes(members: DataFrame, with_sets: Callable[[DataFrame], DataFram
         open_ = left.groupBy("group").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("parts")).where("x <> y")
         left = settled(left.join(open_.select("group", "parts"), "group"))
         if left.isEmpty():
-            return roots, links.distinct()
+            return roots
         rank = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("root"), F.desc("key")))
         lead = settled(left.withColumn("rank", rank).where(F.col("rank") <= LEADERS).drop("rank"))
         led = with_sets(lead).groupBy("group").agg(F.array_sort(F.collect_list(F.struct("key", "root", "distance", "set"))).alias("led"), F.max("parts").alias("parts"))
@@ -90,17 +96,137 @@ def bucket_classes(members: DataFrame, with_sets: Callable[[DataFrame], DataFram
         hits = F.filter(F.transform("led", lambda x, i: F.when(hit(x), i)), lambda i: i.isNotNull())
         rows = rows.select("group", "key", "root", hits.alias("hits"))
         ranked = lead.select("group", F.col("key").alias("lead"), F.col("root").alias("lead_root"), (F.row_number().over(Window.partitionBy("group").orderBy("key")) - 1).alias("i"))
-        if every_link:
-            found = rows.select("group", "key", F.explode("hits").alias("i")).join(ranked, ["group", "i"]).select(*ordered("lead", "key"))
-        else:
-            bits = [F.aggregate(F.filter("hits", lambda i, k=k: F.floor(i / 64) == k), F.lit(0).cast("long"), lambda m, i: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(i, F.lit(64))))) for k in range(LEADERS // 64)]
-            masks = rows.select("group", "root", *[b.alias(f"m{k}") for k, b in enumerate(bits)]).groupBy("group", "root").agg(*[F.bit_or(f"m{k}").alias(f"m{k}") for k in range(LEADERS // 64)])
-            of = F.array(*[F.col(f"m{k}") for k in range(LEADERS // 64)])
-            set_ = F.filter(F.sequence(F.lit(0), F.lit(LEADERS - 1)), lambda i: F.call_function("shiftrightunsigned", F.get(of, F.floor(i / 64).cast("int")), F.pmod(i, F.lit(64))).bitwiseAND(F.lit(1)) == 1)
-            found = masks.select("group", "root", F.explode(set_).alias("i")).join(ranked, ["group", "i"]).select(*ordered("lead_root", "root"))
+        bits = [F.aggregate(F.filter("hits", lambda i, k=k: F.floor(i / 64) == k), F.lit(0).cast("long"), lambda m, i: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(i, F.lit(64))))) for k in range(LEADERS // 64)]
+        masks = rows.select("group", "root", *[b.alias(f"m{k}") for k, b in enumerate(bits)]).groupBy("group", "root").agg(*[F.bit_or(f"m{k}").alias(f"m{k}") for k in range(LEADERS // 64)])
+        of = F.array(*[F.col(f"m{k}") for k in range(LEADERS // 64)])
+        set_ = F.filter(F.sequence(F.lit(0), F.lit(LEADERS - 1)), lambda i: F.call_function("shiftrightunsigned", F.get(of, F.floor(i / 64).cast("int")), F.pmod(i, F.lit(64))).bitwiseAND(F.lit(1)) == 1)
+        found = masks.select("group", "root", F.explode(set_).alias("i")).join(ranked, ["group", "i"]).select(*ordered("lead_root", "root"))
         found = narrow(found.distinct())
         if not found.isEmpty():
             links = links.union(found)
             roots = narrow(components(links))
         left = left.join(lead.select("group", "key"), ["group", "key"], "left_anti").select("group", "key", "distance")
         reclaim(members.sparkSession)
+
+
+#: Members of a group that one side of a block of pairs has at most, about.
+BLOCK_ROWS = 512
+#: Distinct elements that a block's tables have as columns at once.
+BLOCK_COLUMNS = 8_192
+
+
+def shared_counts(values: np.ndarray, of: np.ndarray, n: int, split: int) -> np.ndarray:
+    """How many values rows i < split and j >= split have in common, or, with split 0, all rows i and j. values holds the sets
+    of n rows one after the other, of the row of each."""
+    _, at, times = np.unique(values, return_inverse=True, return_counts=True)
+    common = times[at] > 1
+    columns = np.cumsum(times > 1) - 1
+    at, of = columns[at[common]], of[common]
+    out = np.zeros((split or n, n - split), np.float32)
+    order = np.argsort(at, kind="stable")
+    at, of = at[order], of[order]
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, BLOCK_COLUMNS):
+        here = slice(*np.searchsorted(at, [low, low + BLOCK_COLUMNS]))
+        table = np.zeros((n, min(BLOCK_COLUMNS, int(at[-1]) + 1 - low)), np.float32)
+        table[of[here], at[here] - low] = 1
+        out += table[: split or n] @ table[split:].T
+    return out
+
+
+def block_links(group: int, keys: np.ndarray, split: int, distances: np.ndarray, leads: list[np.ndarray], sets: list[np.ndarray], similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of a block the number of its links in the block, without the pairs that a group of a lesser leader has
+    too, and the least key that its links in the block connect it to. Rows before split meet those from split on; with split
+    0 all meet all."""
+    n, spread = len(keys), lambda x: np.repeat(np.arange(len(x)), [len(y) for y in x])
+    reach = 1 - similar + 1e-9
+    near = np.abs(distances[: split or n, None] - distances[None, split:]) <= reach
+    if not split:
+        near &= np.arange(n)[:, None] < np.arange(n)[None, :]
+    counts, least = np.zeros(n, np.int64), keys.copy()
+    if not near.any():
+        return counts, least
+    size = np.array([len(x) for x in sets], np.float64)
+    same = shared_counts(np.concatenate(sets), spread(sets), n, split)
+    alike = near & ((2 - reach) * same >= (1 - reach) * (size[: split or n, None] + size[None, split:]))
+    a, b = np.nonzero(alike)
+    while len(a):
+        before = least.copy()
+        np.minimum.at(least, a, least[b + split])
+        np.minimum.at(least, b + split, least[a])
+        if (before == least).all():
+            break
+    lesser = [x[x < group] for x in leads]
+    if len(a) and any(len(x) for x in lesser):
+        alike &= shared_counts(np.concatenate(lesser), spread(lesser), n, split) == 0
+    counts[: split or n] += alike.sum(1)
+    counts[split:] += alike.sum(0)
+    return counts, least
+
+
+def linked_members(members: DataFrame, with_sets: Callable[[DataFrame], DataFrame], similar: float) -> tuple[DataFrame, DataFrame]:
+    """The classes (node, root) of keys that are similar within some bucket of members (bucket, key, weight), and (key,
+    n_links): with how many keys that share a bucket's leader with it, or are that leader, each key is similar.
+
+    Buckets with one leader are one group, and all members of a group meet, in blocks of up to about BLOCK_ROWS by
+    BLOCK_ROWS. By the triangle inequality, members can only be similar if their distances to the leader differ by 1 -
+    similar at most: a group of several blocks is parted in bands of distance so wide, and only a band's members and those of
+    neighbouring bands meet. A pair counts in the group of the least leader that both have. What leaves a task is a row for
+    each member of a block, not its pairs."""
+    reach, bands = 1 - similar + 1e-9, int(1 / (1 - similar)) + 2
+    known = led_members(members, with_sets)
+    own = known.select("lead", F.col("lead").alias("key"), F.lit(0.0).alias("distance")).distinct()
+    led = known.union(own)
+    sizes = led.groupBy("lead").agg(F.count(F.lit(1)).alias("n"))
+    led = led.join(sizes, "lead").withColumn("band", F.when(F.col("n") <= BLOCK_ROWS, 0).otherwise(F.floor(F.col("distance") / reach)).cast("int"))
+    parts = led.groupBy("lead").agg(F.array(*[F.ceil(F.count_if(F.col("band") == b) / BLOCK_ROWS).cast("int") for b in range(bands)]).alias("parts"))
+    led = led.join(parts, "lead").withColumn("part", F.pmod(F.xxhash64("key"), F.get("parts", F.col("band"))).cast("int"))
+    band, part = F.col("band"), F.col("part")
+    block = lambda b, p, c, q: F.struct(b.alias("b"), p.alias("p"), c.alias("c"), q.alias("q"))
+    count = lambda b: F.coalesce(F.when(b >= 0, F.get("parts", b)), F.lit(0))
+    each = lambda n, f: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda q: q < n), f)
+    blocks = F.concat(
+        each(count(band), lambda q: block(band, F.least(part, q), band, F.greatest(part, q))),
+        each(count(band + 1), lambda q: block(band, part, band + 1, q)),
+        each(count(band - 1), lambda q: block(band - 1, q, band, part)),
+    )
+    leads = led.groupBy("key").agg(F.collect_set("lead").alias("leads"))
+    rows = led.select("lead", "key", "distance", (band * (1 << 20) + part).alias("side"), blocks.alias("blocks"))
+    rows = with_sets(rows.join(leads, "key")).select("lead", "key", "distance", "side", "leads", "set", F.explode("blocks").alias("block"))
+    rows = rows.select("lead", "key", "distance", "side", "leads", "set", F.xxhash64("lead", "block").alias("block"), ((F.col("block.b") == F.col("block.c")) & (F.col("block.p") == F.col("block.q"))).alias("whole"))
+
+    def count_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(t: pa.Table) -> pa.RecordBatch:
+            t = t.combine_chunks()
+            lead, key, distance, side, block, whole = (t.column(c).to_numpy() for c in ("lead", "key", "distance", "side", "block", "whole"))
+            held = {c: (t.column(c).chunk(0).offsets.to_numpy(), t.column(c).chunk(0).values.to_numpy()) for c in ("leads", "set")}
+            n, least = np.zeros(len(key), np.int64), key.copy()
+            edges = np.flatnonzero(np.r_[True, (lead[1:] != lead[:-1]) | (block[1:] != block[:-1]), True])
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                of = lambda c, low=low, high=high: [held[c][1][held[c][0][i] : held[c][0][i + 1]] for i in range(low, high)]
+                split = 0 if whole[low] else int((side[low:high] == side[low]).sum())
+                if high - low > max(split, 1):
+                    n[low:high], least[low:high] = block_links(int(lead[low]), key[low:high], split, distance[low:high], of("leads"), of("set"), similar)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(least)], ["key", "n", "least"])
+
+        kept: list[pa.Table] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            lead, block = t.column("lead").to_numpy(), t.column("block").to_numpy()
+            last = int(np.flatnonzero(np.r_[True, (lead[1:] != lead[:-1]) | (block[1:] != block[:-1])])[-1])
+            if kept and (kept[-1].column("lead")[-1].as_py(), kept[-1].column("block")[-1].as_py()) != (lead[0], block[0]):
+                yield counted(pa.concat_tables(kept))
+                kept = []
+            if last:
+                yield counted(pa.concat_tables([*kept, t.slice(0, last)]))
+                kept = []
+            kept.append(t.slice(last))
+        if kept:
+            yield counted(pa.concat_tables(kept))
+
+    rows = rows.repartition("lead", "block").sortWithinPartitions("lead", "block", "side")
+    found = rows.mapInArrow(count_links, "key long, n long, least long")
+    found = settled(found.groupBy("key").agg(F.sum("n").alias("n_links"), F.collect_set(F.when(F.col("least") < F.col("key"), F.col("least"))).alias("least")))
+    links = found.select(F.explode("least").alias("a"), F.col("key").alias("b"))
+    return narrow(components(links)), found.select("key", "n_links")

@@ -92,7 +92,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     found = common.only_near(line_table(docs), keys).join(keys, "key").withColumn("plain", F.when(F.col("near"), F.col("plain"))).drop("near")
     found = common.settled(found)
     texts = common.settled(found.where("plain is not null").groupBy("key").agg(F.first("plain").alias("plain")))
-    roots, _ = bucket_classes(members, lambda t: with_set(t.join(texts, "key"), "plain", "set"), SIMILAR)
+    roots = bucket_classes(members, lambda t: with_set(t.join(texts, "key"), "plain", "set"), SIMILAR)
     classes = common.settled(roots.join(several, "node", "full_outer").select(F.col("node").alias("key"), F.coalesce("root", "node").alias("class_id")))
     alike = found.join(classes, "key").select("doc_id", "text_hash", "line", "class_id")
     first = alike.groupBy("class_id").agg(F.min(F.struct("doc_id", "text_hash", "line")).alias("first"))

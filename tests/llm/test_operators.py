@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from gristmill.llm import chat, fingerprints, jaccard, kernel, kneser_ney, language, lines, mixing, packing, quality, toxicity
+from gristmill.llm import components as component_tables
 from gristmill.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -227,6 +228,25 @@ def test_jaccard_join_matches_brute_force(docs, empty, spark):
     assert jaccard.deduplicated(empty).count() == 0
 
 
+@pytest.mark.parametrize("block_rows", [512, 16])
+def test_jaccard_join_counts_every_link(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(component_tables, "BLOCK_ROWS", block_rows)
+    r = random.Random(12)
+    stems = [prose(r, 150).split() for _ in range(3)]
+    data = []
+    for k in range(120):
+        w = list(stems[0] if k < 100 else stems[1 + k % 2])
+        for _ in range(r.randint(1, 3)):
+            w[r.randrange(len(w))] = f"edit{k}x{r.randrange(1000)}"
+        data.append((k, " ".join(w)))
+    data += [(200, data[0][1]), (201, prose(r, 40)), (202, "one"), (203, None)]
+    sets = {d: frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) for d, t in data if (w := lower_words(t))}
+    distinct = set(sets.values())
+    expected = {d: sum(jaccard_of(s, x) >= 0.8 for x in distinct if x != s) for d, s in sets.items()} | {203: 0}
+    assert max(expected.values()) > 30
+    assert {x.doc_id: x.n_links for x in jaccard.join(spark.createDataFrame(data, "doc_id long, text string")).collect()} == expected
+
+
 def test_prefixes_are_shortened_until_the_recall_is_met():
     d = jaccard.matched_depth(0.995)
     assert jaccard.recall(d) >= 0.995 > jaccard.recall(d + 1)
