@@ -13,9 +13,6 @@ from .components import bucket_classes, shared_buckets
 
 #: Characters of a shingle; similarity of lines that count as one; bands and minima in a band.
 SHINGLE, SIMILAR, BANDS, ROWS = 8, 0.8, 7, 3
-#: Lines of fewer shingles than LONG are hashed by all of them; longer ones by one in THIN, chosen by hash. Those between
-#: SIMILAR * LONG and LONG are hashed both ways, so that two similar lines always meet in one way.
-LONG, THIN = 96, 4
 
 
 @dataclass(frozen=True)
@@ -52,16 +49,13 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, hashes: Hashes) -> DataFrame:
-    """key, thin, n (occurrences), m0, m1, ...: per distinct line the minima of its shingles' hashes. A shingle is a row only
-    inside one generated stage: it is sliced, hashed and folded into its line's minima where the text was read."""
-    text = line_table(docs).select("key", units(F.col("plain")).alias("b"))
-    n = n_shingles(F.col("b"))
-    ways = F.when(n >= LONG, F.array(F.lit(True))).when(n >= int(SIMILAR * LONG), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-    rows = text.select("key", "b", F.explode(ways).alias("thin"))
-    rows = rows.select("key", "b", "thin", F.explode(F.sequence(F.lit(1), 2 * n_shingles(F.col("b")) - 1, F.lit(2))).alias("i"))
-    rows = rows.select("key", "thin", "i", F.xxhash64(F.substring(F.col("b"), F.col("i"), F.lit(2 * SHINGLE))).alias("h"))
-    rows = rows.where(~F.col("thin") | (F.col("h").bitwiseAND(F.lit(THIN - 1)) == 0) | (F.col("i") == 1))
-    return rows.groupBy("key", "thin").agg(F.sum((F.col("i") == 1).cast("int")).alias("n"), *[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(hashes.masks)])
+    """key, n (occurrences), m0, m1, ...: per distinct line the minima of its shingles' hashes. A shingle is a row only inside
+    one generated stage: it is sliced, hashed and folded into its line's minima where the text was read. All lines are hashed
+    by all their shingles: the minima follow from the set of shingles alone, whatever the length of the line."""
+    rows = line_table(docs).select("key", units(F.col("plain")).alias("b"))
+    rows = rows.select("key", "b", F.explode(F.sequence(F.lit(1), 2 * n_shingles(F.col("b")) - 1, F.lit(2))).alias("i"))
+    rows = rows.select("key", "i", F.xxhash64(F.substring(F.col("b"), F.col("i"), F.lit(2 * SHINGLE))).alias("h"))
+    return rows.groupBy("key").agg(F.sum((F.col("i") == 1).cast("int")).alias("n"), *[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(hashes.masks)])
 
 
 def with_set(rows: DataFrame, line: str, out: str) -> DataFrame:
@@ -80,11 +74,11 @@ def line_classes(docs: DataFrame) -> DataFrame:
     first, by doc_id (null first) and position, is kept."""
     spark, hashes = docs.sparkSession, Hashes.drawn()
     ws = common.Workspace(spark, "lines")
-    bands = F.array(*[F.xxhash64(F.lit(b), "thin", *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
+    bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
     found = ws.write(signatures(docs, hashes).select("key", "n", bands.alias("bands")), "bands")
     common.reclaim(spark)
     members = common.settled(shared_buckets(found.select("key", F.explode("bands").alias("bucket"))))
-    several = common.settled(found.groupBy("key").agg(F.max("n").alias("n")).where("n > 1").select(F.col("key").alias("node")))
+    several = common.settled(found.where("n > 1").select(F.col("key").alias("node")))
     ws.close()
     common.reclaim(spark)
     keys = members.select("key").distinct().withColumn("near", F.lit(True)).join(several.select(F.col("node").alias("key")), "key", "full_outer")

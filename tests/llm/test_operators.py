@@ -114,6 +114,19 @@ def test_line_classes_match_brute_force(spark):
     assert {(x.doc_id, x.line) for x in found if x.kept} == {min(v) for v in by_class.values()}
 
 
+def test_lines_of_repeated_content_meet_at_any_length(spark):
+    pool = [c * n for c in "-=" for n in (50, 80, 120, 400)] + ["click here to win a prize today " * n for n in (2, 5, 9)] + ["ab " * 20, "ab " * 70, "other words altogether"]
+    sets = {k: line_sets(t)[0] for k, t in enumerate(pool)}
+    found = lines.line_classes(spark.createDataFrame(list(enumerate(pool)), "doc_id long, text string")).collect()
+    root = {}
+    for x in sorted(found, key=lambda x: x.doc_id):
+        root.setdefault(x.class_id, x.doc_id)
+    got = {x.doc_id: root[x.class_id] for x in found}
+    expected = classes_of(sorted(sets), lambda a, b: jaccard_of(sets[a], sets[b]) >= 0.8)
+    assert len(set(expected.values())) == 5
+    assert {k: got.get(k, k) for k in sets} == expected
+
+
 def test_line_dedup_on_odd_rows(docs, empty):
     out = {x.doc_id: x for x in lines.report(docs).collect()}
     assert set(out) == {x[0] for x in rows()} and lines.report(docs).count() == docs.count()
