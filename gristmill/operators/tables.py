@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import fixed as X
 from gristmill.functions.rules import bucket
 from gristmill.functions.scalars import file_name, first_category
 from gristmill.functions.text import either, given, strip
+from gristmill.operators.settle import settled
 
 #: Rows up to which a side may be broadcast; beyond, the join shuffles on its keys.
 SMALL_ROWS = 100_000
@@ -55,6 +56,15 @@ def review_order(category: Column | None = None, flagged: Column | None = None)
     return [rank_of(F.coalesce("status", F.lit("")), X.STATUS_RANK, 9), F.when(flag, 0).otherwise(1), rank_of(F.coalesce("must_level", F.lit("")), X.MUST_RANK, 9), rank_of(cat, X.CATEGORY_RANK, 50), F.col("case_id"), F.col("pos")]
 
 
+def ranked_rows(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """All rows with their rank in a total order. Rows are sorted over ranges and numbered within each; only the ranges'
+    counts are added up in one place."""
+    rows = settled(rows.orderBy(*order).withColumns({"_range": F.spark_partition_id(), "_in": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    return rows.join(F.broadcast(before), "_range").withColumn("rank", F.col("_before") + F.col("_in") + 1).drop("_range", "_in", "_before")
+
+
 def category_summary(items: DataFrame) -> DataFrame:
     """Counts by big and small category, then a Total row, from one grouping-sets aggregate. n orders the rows."""
     level = lambda v: F.count_if(F.upper(F.coalesce("must_level", F.lit(""))) == v)
@@ -232,11 +242,14 @@ def stage_counts(items: DataFrame) -> DataFrame:
 
 
 def items_to_normalize(items: DataFrame, ids: list[str] | None = None, everything: bool = False, sample: int = 10) -> DataFrame:
-    """Eligible rows: those named, all, or the first few of the case."""
+    """Eligible rows: those named, all, or the first few of each case."""
     rows = items.where(F.lower(F.coalesce("type", F.lit(""))) == "requirement")
     if ids:
         return rows.where(F.col("req_id").isin(*ids))
-    return rows if everything else rows.orderBy("case_id", "pos").limit(max(1, sample))
+    if everything:
+        return rows
+    rank = F.row_number().over(Window.partitionBy("case_id").orderBy("pos"))
+    return rows.withColumn("_rank", rank).where(F.col("_rank") <= max(1, sample)).drop("_rank")
 
 
 def by_extension(files: DataFrame) -> DataFrame:

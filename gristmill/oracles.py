@@ -144,6 +144,8 @@ ORACLE_SQL: dict[str, str] = {
     "bucket_counts": f"WITH c AS ({CLEAN}), n AS (SELECT {BUCKET} AS bucket, count(*) AS n FROM c GROUP BY 1), b AS (SELECT * FROM (VALUES {', '.join(f'({q(n)}, {i})' for i, (n, _) in enumerate(X.BUCKETS))}) AS v(bucket, rank)) SELECT bucket, rank, coalesce(n, 0) AS n FROM b LEFT JOIN n USING (bucket)",
     "pm_sort_topk": f"WITH c AS ({CLEAN}) SELECT case_id, pos, status, must_level, category FROM c ORDER BY {ORDER}, {ranked(first_cat('category'), X.CATEGORY_RANK, 50)}, case_id, pos LIMIT 200",
     "pm_sort_full_category": f"WITH c AS ({CLEAN}) SELECT case_id, pos, category FROM c ORDER BY {ORDER}, {ranked('category', X.CATEGORY_RANK, 50)}, case_id, pos LIMIT 200",
+    "pm_sort": f"WITH c AS ({CLEAN}) SELECT row_number() OVER (ORDER BY {ORDER}, {ranked(first_cat('category'), X.CATEGORY_RANK, 50)}, case_id, pos) AS rank, case_id, pos, status, must_level, category FROM c",
+    "pm_sort_category": f"WITH c AS ({CLEAN}) SELECT row_number() OVER (ORDER BY {ORDER}, {ranked('category', X.CATEGORY_RANK, 50)}, case_id, pos) AS rank, case_id, pos, category FROM c",
     "matrix_projection": f"WITH {MERGED} SELECT case_id, pos, CASE WHEN trim(coalesce(final_requirement, '')) <> '' THEN trim(final_requirement) WHEN trim(normalized_requirement) <> '' THEN trim(normalized_requirement) ELSE requirement END AS final_requirement, array_to_string(risk_tags, ', ') AS risk, CASE WHEN rewrite_reason <> '' THEN printf('%.2f', rewrite_confidence) ELSE '' END AS confidence, CASE WHEN needs_rewrite_review THEN 'REVIEW' ELSE '' END AS review, coalesce(gap, '') AS gap FROM w",
     "export_sheets": f"WITH {MERGED}, s AS (SELECT case_id, unnest(CASE WHEN sheet = 'Main' THEN ['Compliance Matrix', CASE {BUCKET} {' '.join(f'WHEN {q(n)} THEN {q(f"{i}. {n}")}' for i, (n, _) in enumerate(X.BUCKETS, 3))} END] ELSE [sheet] END) AS sheet FROM w) SELECT case_id, sheet, count(*) AS n FROM s GROUP BY ALL",
     "review_filter": f"WITH c AS ({CLEAN}), r AS ({RESP}) SELECT c.case_id, c.pos, c.req_id FROM c LEFT JOIN r USING (case_id, req_id) WHERE coalesce(c.status, '') <> 'AUTO_SKIP' AND coalesce(nullif(r.status, ''), c.status, 'NEW') = 'PARTIAL' AND owner = 'QA'",
@@ -156,6 +158,7 @@ ORACLE_SQL: dict[str, str] = {
     "norm_stats": f"WITH c AS ({CLEAN}) SELECT coalesce(nullif(trim(rewrite_reason), ''), 'not_attempted') AS reason, count(*) AS n, count(*) FILTER (WHERE needs_rewrite_review) AS to_review, count(*) FILTER (WHERE rewrite_confidence > 0 AND rewrite_confidence < 0.6) AS low_confidence FROM c WHERE type = 'requirement' GROUP BY 1",
     "stage_counts": f"WITH c AS ({CLEAN}) SELECT case_id, count(*) FILTER (WHERE type = 'requirement') AS requirements, count(*) FILTER (WHERE type = 'glossary') AS glossary, count(*) FILTER (WHERE type IN ('note', 'junk')) AS notes, count(*) FILTER (WHERE type IN ('requirement', 'glossary')) = 0 AS empty FROM c GROUP BY case_id",
     "normalize_selection": f"WITH c AS ({CLEAN}) SELECT case_id, pos, trim(rewrite_reason) NOT IN ('', 'not_attempted') OR trim(normalized_requirement) <> '' AS skipped FROM c WHERE type = 'requirement' ORDER BY case_id, pos LIMIT 50",
+    "normalize_selection_by_case": f"WITH c AS ({CLEAN}) SELECT case_id, pos, trim(rewrite_reason) NOT IN ('', 'not_attempted') OR trim(normalized_requirement) <> '' AS skipped FROM c WHERE type = 'requirement' QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY pos) <= 50",
     "must_level": f"{I} SELECT pos, {LEVEL} AS detected, {TABLE_LEVEL} AS must_level FROM items",
     "category_first_match": f"{I} SELECT pos, {CATEGORY} AS category FROM items",
     "owner_lookup": f"{I}, c AS (SELECT *, {CATEGORY} AS cat FROM items) SELECT pos, {BY_CATEGORY.format(c='cat')} AS by_category, {OWNER.format(c='cat')} AS owner FROM c",

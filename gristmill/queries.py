@@ -86,6 +86,18 @@ def pm_sort_full_category(spark, sf_dir):
     return clean_items(spark, sf_dir).orderBy(*T.review_order(F.col("category"))).limit(200).select("case_id", "pos", "category")
 
 
+@query
+def pm_sort(spark, sf_dir):
+    """All rows in the review order, with their rank."""
+    return T.ranked_rows(clean_items(spark, sf_dir), T.review_order()).select("rank", "case_id", "pos", "status", "must_level", "category")
+
+
+@query
+def pm_sort_category(spark, sf_dir):
+    """All rows as the review workbook sorts them, with their rank."""
+    return T.ranked_rows(clean_items(spark, sf_dir), T.review_order(F.col("category"))).select("rank", "case_id", "pos", "category")
+
+
 @query
 def matrix_projection(spark, sf_dir):
     merged = T.merge_responses(clean_items(spark, sf_dir), responses(spark, sf_dir))
@@ -162,7 +174,13 @@ def stage_counts(spark, sf_dir):
 
 @query
 def normalize_selection(spark, sf_dir):
-    """The first 50 eligible rows: a sampling operator."""
+    """The first 50 eligible rows of all cases together: a sample."""
+    return T.items_to_normalize(clean_items(spark, sf_dir), sample=50).orderBy("case_id", "pos").limit(50).select("case_id", "pos", P.is_normalized(F.col("rewrite_reason"), F.col("normalized_requirement")).alias("skipped"))
+
+
+@query
+def normalize_selection_by_case(spark, sf_dir):
+    """The first 50 eligible rows of each case."""
     return T.items_to_normalize(clean_items(spark, sf_dir), sample=50).select("case_id", "pos", P.is_normalized(F.col("rewrite_reason"), F.col("normalized_requirement")).alias("skipped"))
 
 

@@ -294,3 +294,10 @@ def test_model_interface(spark):
     assert (r.rewrite_reason, r.rewrite_confidence, r.needs_rewrite_review, r.audit_new_tokens) == ("ambiguous_needs_review", 0.5, True, ["16", "16gb"])
     assert M.front_matter("---\nname: x\n---\nbody {payload_json}") == ({"name": "x"}, "body {payload_json}")
     assert M.rendered("<{payload_json}>", its.select("pos")).first().prompt == '<{"pos":1}>'
+
+
+def test_whole_sorts_and_first_rows_of_each_case(spark):
+    df = spark.createDataFrame([("c%d" % (k % 3), k, "requirement", k * 7919 % 1000) for k in range(1000)], "case_id string, pos long, type string, x long")
+    assert [(r.rank, r.x) for r in T.ranked_rows(df, [F.col("x")]).orderBy("rank").collect()] == [(k + 1, k) for k in range(1000)]
+    first = T.items_to_normalize(df, sample=5).collect()
+    assert {(r.case_id, r.pos) for r in first} == {("c%d" % (k % 3), k) for k in range(15)}
