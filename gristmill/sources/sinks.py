@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -45,19 +46,26 @@ def _cell(k: int, row: int, v) -> str:
 
 
 def write_workbook(sheets: dict[str, DataFrame], path: str, most_rows: int = 1_048_575) -> None:
-    """A workbook with a sheet for each table. It is made on the driver, row by row; a sheet holds no more than a sheet can."""
-    kinds, links, names = [], [], []
+    """A workbook with a sheet for each table, made on the driver, row by row. Rows beyond what a sheet can hold go on in
+    further sheets of the same name with a number."""
+    kinds, links, names, n = [], [], [], 0
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for n, (name, df) in enumerate(sheets.items(), 1):
-            with z.open(f"xl/worksheets/sheet{n}.xml", "w") as f:
-                f.write(b'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>')
-                rows = (list(r) for r in df.limit(most_rows).toLocalIterator())
-                for k, values in enumerate((v for part in ([df.columns], rows) for v in part), 1):
-                    f.write(f'<row r="{k}">{"".join(_cell(i, k, v) for i, v in enumerate(values))}</row>'.encode())
-                f.write(b"</sheetData></worksheet>")
-            kinds.append(f'<Override PartName="/xl/worksheets/sheet{n}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>')
-            links.append(f'<Relationship Id="rId{n}" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet{n}.xml"/>')
-            names.append(f'<sheet name="{escape(name)}" sheetId="{n}" r:id="rId{n}"/>')
+        for name, df in sheets.items():
+            rows = (list(r) for r in df.toLocalIterator())
+            for part in itertools.count(1):
+                first = list(itertools.islice(rows, 1))
+                if part > 1 and not first:
+                    break
+                n += 1
+                with z.open(f"xl/worksheets/sheet{n}.xml", "w") as f:
+                    f.write(b'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>')
+                    for k, values in enumerate(itertools.chain([df.columns], first, itertools.islice(rows, most_rows - 1)), 1):
+                        f.write(f'<row r="{k}">{"".join(_cell(i, k, v) for i, v in enumerate(values))}</row>'.encode())
+                    f.write(b"</sheetData></worksheet>")
+                own = name if part == 1 else f"{name[: 31 - len(f' ({part})')]} ({part})"
+                kinds.append(f'<Override PartName="/xl/worksheets/sheet{n}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>')
+                links.append(f'<Relationship Id="rId{n}" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet{n}.xml"/>')
+                names.append(f'<sheet name="{escape(own)}" sheetId="{n}" r:id="rId{n}"/>')
         z.writestr("[Content_Types].xml", f'<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{"".join(kinds)}</Types>')
         z.writestr("_rels/.rels", '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{"".join(links)}</Relationships>')

@@ -301,3 +301,13 @@ def test_whole_sorts_and_first_rows_of_each_case(spark):
     assert [(r.rank, r.x) for r in T.ranked_rows(df, [F.col("x")]).orderBy("rank").collect()] == [(k + 1, k) for k in range(1000)]
     first = T.items_to_normalize(df, sample=5).collect()
     assert {(r.case_id, r.pos) for r in first} == {("c%d" % (k % 3), k) for k in range(15)}
+
+
+def test_rows_beyond_a_sheet_go_on_in_further_ones(spark, tmp_path):
+    path = str(tmp_path / "book.xlsx")
+    sinks.write_workbook({"Main": spark.range(7).orderBy("id"), "Full": spark.range(3).orderBy("id"), "None": spark.range(0)}, path, most_rows=3)
+    with zipfile.ZipFile(path) as z:
+        book = z.read("xl/workbook.xml").decode()
+        counts = [z.read(f"xl/worksheets/sheet{n}.xml").decode().count("<row ") - 1 for n in range(1, 6)]
+    assert counts == [3, 3, 1, 3, 0]
+    assert [x.split('"')[0] for x in book.split('<sheet name="')[1:]] == ["Main", "Main (2)", "Main (3)", "Full", "None"]
