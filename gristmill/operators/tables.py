@@ -118,7 +118,7 @@ def review_filter(items: DataFrame, responses: DataFrame, status: str = "All", c
 
 
 def run_stats(items: DataFrame) -> DataFrame:
-    """One row for each case: totals by type, duplicate ids and the first ten, empty fields, missing (null) keys."""
+    """One row for each case: totals by type, the number of duplicate ids and the least one, empty fields, missing (null) keys."""
     req = F.col("type") == "requirement"
     empty = lambda c: strip(F.col(c)) == ""
     stats = items.groupBy("case_id").agg(
