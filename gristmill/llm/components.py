@@ -96,7 +96,7 @@ def bucket_classes(members: DataFrame, with_sets: Callable[[DataFrame], DataFram
         hits = F.filter(F.transform("led", lambda x, i: F.when(hit(x), i)), lambda i: i.isNotNull())
         rows = rows.select("group", "key", "root", hits.alias("hits"))
         ranked = lead.select("group", F.col("key").alias("lead"), F.col("root").alias("lead_root"), (F.row_number().over(Window.partitionBy("group").orderBy("key")) - 1).alias("i"))
-        bits = [F.aggregate(F.filter("hits", lambda i, k=k: F.floor(i / 64) == k), F.lit(0).cast("long"), lambda m, i: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(i, F.lit(64))))) for k in range(LEADERS // 64)]
+        bits = [F.aggregate(F.filter("hits", (lambda k: lambda i: F.floor(i / 64) == k)(k)), F.lit(0).cast("long"), lambda m, i: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(i, F.lit(64))))) for k in range(LEADERS // 64)]
         masks = rows.select("group", "root", *[b.alias(f"m{k}") for k, b in enumerate(bits)]).groupBy("group", "root").agg(*[F.bit_or(f"m{k}").alias(f"m{k}") for k in range(LEADERS // 64)])
         of = F.array(*[F.col(f"m{k}") for k in range(LEADERS // 64)])
         set_ = F.filter(F.sequence(F.lit(0), F.lit(LEADERS - 1)), lambda i: F.call_function("shiftrightunsigned", F.get(of, F.floor(i / 64).cast("int")), F.pmod(i, F.lit(64))).bitwiseAND(F.lit(1)) == 1)
