@@ -87,7 +87,7 @@ def table_position(req_id: Column, chunk_text: Column) -> Column:
     prefix, number = F.regexp_extract(req_id, r"^RFQ-([A-Z]+)-(\d+)$", 1), F.regexp_extract(req_id, r"^RFQ-([A-Z]+)-(\d+)$", 2)
     n = F.regexp_replace(number, "^0+(?=.)", "")
     wanted = [F.concat(prefix, F.lit(s), n) for s in (" ", "-", "")]
-    named = [F.get(F.filter(rows, lambda x, w=w: (prefix != "") & ((x["i"] == w) | (F.replace(x["i"], F.lit(" "), F.lit("-")) == w))), F.lit(0)) for w in wanted]
+    named = [F.get(F.filter(rows, (lambda w: lambda x: (prefix != "") & ((x["i"] == w) | (F.replace(x["i"], F.lit(" "), F.lit("-")) == w)))(w)), F.lit(0)) for w in wanted]
     first = F.get(rows, F.lit(0))
     cast = lambda x: F.when(x.isNotNull(), F.struct(x["t"].cast("int").alias("table"), x["r"].cast("int").alias("table_row")))
     plain = r"\[TABLE\s+(\d+)\s+ROW\s+(\d+)\]"
