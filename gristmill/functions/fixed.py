@@ -1,84 +1,72 @@
-"""Vocabularies, rule tables and patterns that results depend on.
+"""Vocabularies, rule tables and patterns that results depend on. A rule is its name and its keywords, in order."""
 
-Rule tables are ordered text, one rule a line: name, then its keywords parted by ` ; `.
-"""
-
-
-def _table(text: str) -> list[tuple[str, list[str]]]:
-    rows = []
-    for line in text.strip().splitlines():
-        name, _, words = line.partition(": ")
-        rows.append((name.strip(), [w[1:-1] if w[:1] == w[-1:] == "'" else w for w in words.strip().split(" ; ")]))
-    return rows
+# --- fixed values: rule tables ---
 
+MUST_LEVELS = [
+    ("MUST", ["must", "shall", "required", "need to", "is required to", "has to", "shall not", "must not"]),
+    ("SHOULD", ["should", "preferred", "recommend", "ideally"]),
+    ("MAY", ["may", "optional", "can"]),
+    ("INFO", ["note", "for reference", "tbd", "n/a"]),
+]
 
-# --- fixed values: rule tables ---
+CATEGORY_PREFIXES = [
+    ("BIOS-", ["BIOS"]),
+    ("BMC-", ["BMC"]),
+    ("HOST-", ["Platform"]),
+]
 
-MUST_LEVELS = _table("""
-MUST: must ; shall ; required ; need to ; is required to ; has to ; shall not ; must not
-SHOULD: should ; preferred ; recommend ; ideally
-MAY: may ; optional ; can
-INFO: note ; for reference ; tbd ; n/a
-""")
-
-CATEGORY_PREFIXES = _table("""
-BIOS-: BIOS
-BMC-: BMC
-HOST-: Platform
-""")
-
-CATEGORY_KEYWORDS = _table("""
-BIOS: PXE ; BBS ; SMBIOS ; headless ; USB boot ; PECI ; DIMM
-BMC: IPMI ; Redfish ; SEL ; SNMP ; SOL ; iKVM ; watchdog ; BMC must ; BMC shall ; BMC is ; BMC firmware
-Security: TPM ; security hardening ; chassis intrusion ; FIPS
-Compliance: IEC60950 ; IEC62368 ; GB4943 ; regulatory ; certification ; compliance ; IBM Standards ; certified compliant ; safety report ; FCC ; EMC ; IEEE1613 ; PTCRB ; UL ; CE mark ; RoHS ; REACH ; EN55032 ; EN55035 ; CISPR ; NEBS ; GR-63 ; homologation
-Reliability: ALT ; HALT ; MTBF ; vibration ; shock ; package drop ; humidity ; altitude ; acoustic ; burn-in ; seismic ; thermal cycling
-Power: PSU ; -48V ; Vac ; power supply ; clearance spacing
-Thermal: thermal ; fan ; air flow ; air intake
-Mechanical: bezel ; tray ; rail ; rack ear ; tool less ; paint ; screen print ; internal FRU ; operator access ; FRU component
-Storage: NVMe ; SAS ; SATA ; M.2 ; MegaRAID ; CacheVault ; RAID ; super-cap ; supercap ; cache vault
-PCIe: PCIe ; x8 ; x16 ; NIM ; SIM ; XMC
-Documentation: documentation ; schematics ; design verification ; factory test plan ; renderings ; API documentation
-Commercial: price ; pricing ; quote ; lead time ; delivery ; penalty ; warranty ; quotation ; EOL ; exclusivity ; launch schedule ; Incoterms ; payment ; discount ; indemnity ; liability
-Legal: license ; rights to ; redistribute ; IP ; source code ; NDA ; confidential
-Platform: total memory ; management port ; 1GbE ; 10GbE ; RJ45 ; NIC
-""")
+CATEGORY_KEYWORDS = [
+    ("BIOS", ["PXE", "BBS", "SMBIOS", "headless", "USB boot", "PECI", "DIMM"]),
+    ("BMC", ["IPMI", "Redfish", "SEL", "SNMP", "SOL", "iKVM", "watchdog", "BMC must", "BMC shall", "BMC is", "BMC firmware"]),
+    ("Security", ["TPM", "security hardening", "chassis intrusion", "FIPS"]),
+    ("Compliance", ["IEC60950", "IEC62368", "GB4943", "regulatory", "certification", "compliance", "IBM Standards", "certified compliant", "safety report", "FCC", "EMC", "IEEE1613", "PTCRB", "UL", "CE mark", "RoHS", "REACH", "EN55032", "EN55035", "CISPR", "NEBS", "GR-63", "homologation"]),
+    ("Reliability", ["ALT", "HALT", "MTBF", "vibration", "shock", "package drop", "humidity", "altitude", "acoustic", "burn-in", "seismic", "thermal cycling"]),
+    ("Power", ["PSU", "-48V", "Vac", "power supply", "clearance spacing"]),
+    ("Thermal", ["thermal", "fan", "air flow", "air intake"]),
+    ("Mechanical", ["bezel", "tray", "rail", "rack ear", "tool less", "paint", "screen print", "internal FRU", "operator access", "FRU component"]),
+    ("Storage", ["NVMe", "SAS", "SATA", "M.2", "MegaRAID", "CacheVault", "RAID", "super-cap", "supercap", "cache vault"]),
+    ("PCIe", ["PCIe", "x8", "x16", "NIM", "SIM", "XMC"]),
+    ("Documentation", ["documentation", "schematics", "design verification", "factory test plan", "renderings", "API documentation"]),
+    ("Commercial", ["price", "pricing", "quote", "lead time", "delivery", "penalty", "warranty", "quotation", "EOL", "exclusivity", "launch schedule", "Incoterms", "payment", "discount", "indemnity", "liability"]),
+    ("Legal", ["license", "rights to", "redistribute", "IP", "source code", "NDA", "confidential"]),
+    ("Platform", ["total memory", "management port", "1GbE", "10GbE", "RJ45", "NIC"]),
+]
 
 GLOSSARY_NOTES = ["GLOSSARY/DEFINITION", "GLOSSARY", "DEFINITION"]
 DEFAULT_CATEGORY = "General"
 
-CATEGORY_OWNERS = _table("""
-BIOS: BIOS
-BMC: BMC
-Security: QA
-Compliance: QA
-Reliability: QA
-Documentation: PM
-Power: Power
-Thermal: Thermal
-Mechanical: ME
-Storage/HW: EE/Storage
-Storage/SW: SW/Storage
-Platform: EE/Platform
-Commercial: PM
-Legal: Legal
-Glossary: TBD
-General: EE/Platform
-""")
-
-OWNER_KEYWORDS = _table("""
-BIOS: PXE ; BBS ; SMBIOS ; headless ; USB boot ; legacy USB ; PECI ; DIMM ; serial redirection ; VT100 ; Administrator Password
-BMC: IPMI ; Redfish ; SEL ; SNMP ; SOL ; iKVM ; KCS ; HPM ; watchdog ; health monitoring ; POST error ; chassis intrusion ; sensor
-QA: IEC60950 ; GB4943 ; FIPS ; ALT ; HALT ; MTBF ; reliability ; regulatory ; certification ; vibration ; shock ; acoustic ; package drop ; humidity ; altitude
-Power: PSU ; -48V ; Vac ; power supply ; 12V power ; voltage rails
-Thermal: clearance spacing ; air flow ; air intake ; fan module ; thermal
-ME: bezel ; tray ; rail ; rack ear ; hot-swap ; tool less ; screen print ; paint ; chassis
-EE/Storage: NVMe ; SAS ; SATA ; M.2 ; MegaRAID ; CacheVault ; super-cap ; RAID
-SW/Storage: firmware ; driver ; CLI ; API ; SNMP trap ; storage software
-EE/Platform: CPU ; PCH ; chipset ; DDR4 ; RDIMM ; memory channel ; PCIe ; x8 ; x16 ; NIM ; SIM ; XMC ; option card
-PM: price ; pricing ; quote ; payment ; discount ; Incoterms ; schedule ; delivery
-Legal: license ; rights to ; redistribute ; IP ; source code ; escrow
-""")
+CATEGORY_OWNERS = [
+    ("BIOS", ["BIOS"]),
+    ("BMC", ["BMC"]),
+    ("Security", ["QA"]),
+    ("Compliance", ["QA"]),
+    ("Reliability", ["QA"]),
+    ("Documentation", ["PM"]),
+    ("Power", ["Power"]),
+    ("Thermal", ["Thermal"]),
+    ("Mechanical", ["ME"]),
+    ("Storage/HW", ["EE/Storage"]),
+    ("Storage/SW", ["SW/Storage"]),
+    ("Platform", ["EE/Platform"]),
+    ("Commercial", ["PM"]),
+    ("Legal", ["Legal"]),
+    ("Glossary", ["TBD"]),
+    ("General", ["EE/Platform"]),
+]
+
+OWNER_KEYWORDS = [
+    ("BIOS", ["PXE", "BBS", "SMBIOS", "headless", "USB boot", "legacy USB", "PECI", "DIMM", "serial redirection", "VT100", "Administrator Password"]),
+    ("BMC", ["IPMI", "Redfish", "SEL", "SNMP", "SOL", "iKVM", "KCS", "HPM", "watchdog", "health monitoring", "POST error", "chassis intrusion", "sensor"]),
+    ("QA", ["IEC60950", "GB4943", "FIPS", "ALT", "HALT", "MTBF", "reliability", "regulatory", "certification", "vibration", "shock", "acoustic", "package drop", "humidity", "altitude"]),
+    ("Power", ["PSU", "-48V", "Vac", "power supply", "12V power", "voltage rails"]),
+    ("Thermal", ["clearance spacing", "air flow", "air intake", "fan module", "thermal"]),
+    ("ME", ["bezel", "tray", "rail", "rack ear", "hot-swap", "tool less", "screen print", "paint", "chassis"]),
+    ("EE/Storage", ["NVMe", "SAS", "SATA", "M.2", "MegaRAID", "CacheVault", "super-cap", "RAID"]),
+    ("SW/Storage", ["firmware", "driver", "CLI", "API", "SNMP trap", "storage software"]),
+    ("EE/Platform", ["CPU", "PCH", "chipset", "DDR4", "RDIMM", "memory channel", "PCIe", "x8", "x16", "NIM", "SIM", "XMC", "option card"]),
+    ("PM", ["price", "pricing", "quote", "payment", "discount", "Incoterms", "schedule", "delivery"]),
+    ("Legal", ["license", "rights to", "redistribute", "IP", "source code", "escrow"]),
+]
 
 #: id, keywords, status, category, needs evidence, forbids numbers, message
 REDFLAGS = [
@@ -92,25 +80,25 @@ REDFLAGS = [
 ]
 GLOSSARY_MESSAGE = "名詞解釋/縮寫定義：AUTO_SKIP"
 
-SPEC_CATEGORIES = _table("""
-CPU: cpu ; processor ; soc ; marvell ; amd ; intel ; arm
-Memory: dram ; memory ; ram ; ddr
-Storage: emmc ; ssd ; nvme ; storage ; flash ; boot
-Network: ethernet ; switch ; fpga ; sfp ; rj45 ; nic ; management
-Wireless: wifi ; wi-fi ; lte ; 5g ; wwan ; antenna ; sim ; carrier ; triband ; ieee802
-Display: display ; lcd ; led ; screen ; console
-Power: power ; poe ; battery ; dc ; ac ; fanless ; voltage
-Certification: cert ; fips ; ptcrb ; tecc ; gcf ; fcc ; 'ul ' ; ce mark
-Mechanical: wallmount ; rackmount ; pcba ; pcie ; usb ; m.2
-Thermal: temperature ; thermal ; operating temp
-Performance: performance ; throughput ; gbps ; mbps
-""")
-
-CATEGORY_CORRECTIONS = _table("""
-Compliance: FCC ; EMC ; IEC ; IEEE1613 ; PTCRB ; UL ; CE ; RoHS ; REACH ; EN55032 ; EN55035 ; CISPR ; IEC62368 ; IEC60950 ; NEBS ; GR-63 ; safety ; regulatory ; homologation ; certification
-Commercial: warranty ; quotation ; EOL ; exclusivity ; launch schedule ; NDA ; indemnity ; liability ; penalty ; payment ; Incoterms ; pricing ; discount ; delivery
-Reliability: shock ; vibration ; burn-in ; seismic ; HALT ; ALT ; MTBF ; humidity ; thermal cycling ; altitude ; acoustic
-""")
+SPEC_CATEGORIES = [
+    ("CPU", ["cpu", "processor", "soc", "marvell", "amd", "intel", "arm"]),
+    ("Memory", ["dram", "memory", "ram", "ddr"]),
+    ("Storage", ["emmc", "ssd", "nvme", "storage", "flash", "boot"]),
+    ("Network", ["ethernet", "switch", "fpga", "sfp", "rj45", "nic", "management"]),
+    ("Wireless", ["wifi", "wi-fi", "lte", "5g", "wwan", "antenna", "sim", "carrier", "triband", "ieee802"]),
+    ("Display", ["display", "lcd", "led", "screen", "console"]),
+    ("Power", ["power", "poe", "battery", "dc", "ac", "fanless", "voltage"]),
+    ("Certification", ["cert", "fips", "ptcrb", "tecc", "gcf", "fcc", "ul ", "ce mark"]),
+    ("Mechanical", ["wallmount", "rackmount", "pcba", "pcie", "usb", "m.2"]),
+    ("Thermal", ["temperature", "thermal", "operating temp"]),
+    ("Performance", ["performance", "throughput", "gbps", "mbps"]),
+]
+
+CATEGORY_CORRECTIONS = [
+    ("Compliance", ["FCC", "EMC", "IEC", "IEEE1613", "PTCRB", "UL", "CE", "RoHS", "REACH", "EN55032", "EN55035", "CISPR", "IEC62368", "IEC60950", "NEBS", "GR-63", "safety", "regulatory", "homologation", "certification"]),
+    ("Commercial", ["warranty", "quotation", "EOL", "exclusivity", "launch schedule", "NDA", "indemnity", "liability", "penalty", "payment", "Incoterms", "pricing", "discount", "delivery"]),
+    ("Reliability", ["shock", "vibration", "burn-in", "seismic", "HALT", "ALT", "MTBF", "humidity", "thermal cycling", "altitude", "acoustic"]),
+]
 
 RISK_TAGS = {
     "RF_CERT": "CERT", "RF_RELIABILITY": "RELIABILITY", "RF_PRICE": "PRICING", "RF_SCHEDULE": "SCHEDULE", "RF_IP": "IP/LEGAL",
@@ -139,20 +127,20 @@ RISK_NOTES = {
     "ORPHAN_SUBITEM": "Possible orphan sub-item; verify parent context in original document",
 }
 
-BUCKETS = _table("""
-Hardware: hardware ; platform ; cpu ; memory ; pcie ; storage ; storage/hw ; network ; wireless ; lan ; display ; interface ; i/o ; io ; power ; tpm ; performance
-Software: software ; bios ; bmc ; firmware ; driver ; os ; management ; storage/sw
-Mechanical: mechanical ; serviceability ; chassis ; bezel ; dimension ; label ; packaging
-Regulatory: regulatory ; emc ; safety ; ce ; fcc ; rohs ; certification ; compliance ; security ; legal
-Environmental: environmental ; temperature ; thermal ; humidity ; shock ; vibration ; reliability
-Others: general ; commercial ; documentation ; unknown
-""")
-
-PRIORITIES = _table("""
-MUST: M ; MUST ; MANDATORY ; H ; HIGH
-SHOULD: S ; SHOULD ; MEDIUM
-MAY: L ; LOW ; MAY ; O ; OPTIONAL
-""")
+BUCKETS = [
+    ("Hardware", ["hardware", "platform", "cpu", "memory", "pcie", "storage", "storage/hw", "network", "wireless", "lan", "display", "interface", "i/o", "io", "power", "tpm", "performance"]),
+    ("Software", ["software", "bios", "bmc", "firmware", "driver", "os", "management", "storage/sw"]),
+    ("Mechanical", ["mechanical", "serviceability", "chassis", "bezel", "dimension", "label", "packaging"]),
+    ("Regulatory", ["regulatory", "emc", "safety", "ce", "fcc", "rohs", "certification", "compliance", "security", "legal"]),
+    ("Environmental", ["environmental", "temperature", "thermal", "humidity", "shock", "vibration", "reliability"]),
+    ("Others", ["general", "commercial", "documentation", "unknown"]),
+]
+
+PRIORITIES = [
+    ("MUST", ["M", "MUST", "MANDATORY", "H", "HIGH"]),
+    ("SHOULD", ["S", "SHOULD", "MEDIUM"]),
+    ("MAY", ["L", "LOW", "MAY", "O", "OPTIONAL"]),
+]
 
 # --- fixed values: vocabularies and orders ---
 

@@ -12,12 +12,12 @@ TEMPLATES = [
     ("Warranty shall be 36 months and pricing in USD with payment terms and a discount", ""),
     ("5/5/2026", ""),
     ("Vendor should provide vibration, shock and humidity test reports for 2.5 kg units", ""),
-    ("ck@example.com", ""),
+    ("info@example.com", ""),
     ("8GB", ""),
     ("Front bezel LED color is common with the current platform", ""),
     ("a) two ports", ""),
     ("TPM 2.0 is required | FIPS 140-2 Level 2 certification shall be held | UL listed", ""),
-    ("Jing Hui", ""),
+    ("Nora Field", ""),
     ("The chassis may optionally include a third redundant fan module for cooling", "RFP_PROCESS"),
     ("Delivery lead time penalty of 2% applies to each late shipment", ""),
     ("HOST 36 NVMe storage with RAID 5 and SATA backup at 10 Gbps", "[ROW_ID=HOST-36]"),

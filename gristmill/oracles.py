@@ -135,8 +135,125 @@ ENRICHED = f"""{I}, {FLAGS}, b AS (SELECT i.*, {rx(T, X.DEFINITION_LINE)} OR {GL
 SELECT pos, CASE WHEN g THEN 'INFO' ELSE lv END AS must_level, CASE WHEN g THEN 'Glossary' ELSE coalesce(fc, cat) END AS category, CASE WHEN g THEN 'TBD' ELSE {OWNER.format(c='cat')} END AS owner,
   CASE WHEN g THEN 'AUTO_SKIP' ELSE st END AS status, CASE WHEN g THEN 1 ELSE n END::INT AS n_messages, CASE WHEN g THEN true END AS auto_skip FROM b"""
 
+# --- folds over one text: chunks of sentences and of blocks
+
+
+def sentences_packed(t: str, most: int) -> str:
+    """Pieces of the text t, a column of stripped texts."""
+    cut = rf"regexp_replace({t}, '([.!?；。])\s+', '\1' || chr(1), 'g')"
+    each = f"list_filter(list_transform(string_split({cut}, chr(1)), lambda x: {strip('x')}), lambda x: x <> '')"
+    kept = "CASE WHEN a.buf <> '' THEN list_append(a.out, a.buf) ELSE a.out END"
+    cuts = f"list_filter(list_transform(range(0, length(s), {most}), lambda i: {strip(f'substr(s, i + 1, {most})')}), lambda x: x <> '')"
+    step = f"CASE WHEN length(a.buf) + length(s) + 1 <= {most} THEN {{'out': a.out, 'buf': {strip("a.buf || ' ' || s")}}} WHEN length(s) > {most} THEN {{'out': list_concat({kept}, {cuts}), 'buf': ''}} ELSE {{'out': {kept}, 'buf': s}} END"
+    folded = f"list_reduce({each}, lambda a, s: {step}, {{'out': CAST([] AS VARCHAR[]), 'buf': ''}})"
+    last = f"list_transform([{folded}], lambda z: CASE WHEN z.buf <> '' THEN list_append(z.out, z.buf) ELSE z.out END)[1]"
+    return f"CASE WHEN {t} = '' THEN CAST([] AS VARCHAR[]) WHEN length({t}) <= {most} THEN [{t}] ELSE {last} END"
+
+
+def paragraphs(text: str, most: int) -> str:
+    blocks = rf"list_filter(list_transform(regexp_split_to_array(replace(coalesce({text}, ''), chr(13) || chr(10), chr(10)), '\n\s*\n'), lambda b: {strip('b')}), lambda b: b <> '')"
+    return f"flatten(list_transform({blocks}, lambda b: {sentences_packed('b', most)}))"
+
+
+def blocks_packed(blocks: str, most: int, group: int) -> str:
+    done = rf"list_append(a.out, {strip('array_to_string(a.buf, chr(10))')})"
+    long, full = f"length(b) > {most}", f"(len(a.buf) > 0 AND (len(a.buf) >= {group} OR a.n + length(b) + 2 > {most}))"
+    out = f"CASE WHEN ({long} OR {full}) AND len(a.buf) > 0 THEN {done} ELSE a.out END"
+    whole = f"CASE WHEN contains(b, '[ROW_ID=') THEN [b] ELSE {sentences_packed(strip('b'), most)} END"
+    step = f"CASE WHEN {long} THEN {{'out': list_concat({out}, {whole}), 'buf': CAST([] AS VARCHAR[]), 'n': 0::BIGINT}} WHEN {full} THEN {{'out': {out}, 'buf': [b], 'n': length(b) + 2}} ELSE {{'out': {out}, 'buf': list_append(a.buf, b), 'n': a.n + length(b) + 2}} END"
+    folded = f"list_reduce({blocks}, lambda a, b: {step}, {{'out': CAST([] AS VARCHAR[]), 'buf': CAST([] AS VARCHAR[]), 'n': 0::BIGINT}})"
+    return f"list_transform([{folded}], lambda a: CASE WHEN len(a.buf) > 0 THEN {done} ELSE a.out END)[1]"
+
+
+def pieces(chunks: str) -> str:
+    return f"SELECT doc_id, unnest(range(len(c)))::INT AS chunk, unnest(c) AS text FROM (SELECT doc_id, {chunks} AS c FROM documents)"
+
+
+# --- whole stages
+
+PRIMARY = "n AS (SELECT case_id, file, count(*) AS n, min(pos) AS first FROM items WHERE file <> '<file>' GROUP BY ALL), prim AS (SELECT case_id, file AS primary_file FROM n QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY file LIKE '%.docx' DESC, n DESC, first) = 1)"
+SHOWN = strip(r"regexp_replace(regexp_replace(f, '\.(docx|doc|xlsx|xls|pdf|txt|md)$', '', 'i'), '^AUTO[-_]?', '', 'i')")
+SHOWN = f"left({strip(f"regexp_replace({SHOWN}, '^(UNKNOWN|UnknownFile)$', '', 'i')")}, 40)"
+PLACE = """CASE WHEN nm = '' THEN '' WHEN coalesce(sheet, '') <> '' AND row IS NOT NULL THEN nm || ' — Sheet: ' || sheet || ', 第 ' || row || ' 行' WHEN coalesce(sheet, '') <> '' THEN nm || ' — Sheet: ' || sheet
+  WHEN "table" IS NOT NULL AND table_row IS NOT NULL THEN nm || ' — Table ' || "table" || ', Row ' || table_row WHEN page IS NOT NULL THEN nm || ' — 第 ' || page || ' 頁' WHEN chunk_no >= 0 THEN nm || ' — 第 ' || chunk_no || ' 段' ELSE nm END"""
+SOURCED = f"sourced AS (SELECT i.* EXCLUDE (file), CASE WHEN file = '<file>' THEN coalesce(primary_file, 'UNKNOWN_SOURCE') ELSE {strip('file')} END AS f, coalesce(try_cast(chunk AS INT), -1) AS chunk_no FROM {{src}} i LEFT JOIN prim USING (case_id))"
+TRIAGE = r"""CASE WHEN type <> 'requirement' THEN 0 WHEN regexp_matches(t, '\b(tpm|trusted computing|tcg)\b') THEN 1
+  WHEN regexp_matches(t, '\b(bezel|lcd|keypad|button|led|front bezel|rear bezel|console port)\b') AND (regexp_matches(t, '\b(look and feel|common)\b') OR contains(t, 'required')) THEN 2
+  WHEN regexp_matches(t, '\b(bezel|lcd|keypad|button|led|front bezel|rear bezel|console port)\b') THEN 3 WHEN regexp_matches(t, '\b(fru|cru|replaceable|can be replaced)\b') THEN 4 ELSE 0 END"""
+PLAIN_LEVEL = "CASE WHEN type = 'glossary' THEN 'INFO' WHEN contains({t}, 'must') OR contains({t}, 'shall') THEN 'MUST' WHEN contains({t}, 'can be replaced') THEN 'MAY' ELSE 'INFO' END"
+
+
+def one_of(k: str, *values: str) -> str:
+    return f"[{', '.join(map(q, values))}][{k} + 1]"
+
+
+PLAIN = f"""{I}, a AS (SELECT pos, requirement, lower(requirement) AS t, {TYPE} AS type FROM items), b AS (SELECT *, {PLAIN_LEVEL.format(t='t')} AS must_level, {TRIAGE} AS k FROM a), c AS (SELECT *, {one_of('k', 'General', 'Security', 'Mechanical', 'Mechanical', 'Serviceability')} AS own FROM b)
+SELECT pos, type, must_level, CASE WHEN own <> 'General' THEN own ELSE {first_of('requirement', X.CATEGORY_CORRECTIONS, 'General')} END AS category, {one_of('k', 'TBD', 'BIOS/Security', 'ME/ID', 'ME/ID', 'QA/Service')} AS owner, {one_of('k', '', 'CERT', 'ACCEPTANCE', '', 'SERVICEABILITY')} AS risk_tags,
+  {one_of('k', '', 'TPM implementation (dTPM/fTPM), part datasheet, certification scope', 'Customer acceptance criteria / reference product / mechanical spec', 'Mechanical spec / ID drawing / BOM impact', 'Service policy / replacement procedure / responsibility boundary')} AS evidence_needed,
+  {one_of('k', '', 'Confirm TPM implementation and compliance scope', 'Clarify acceptance criteria with customer', 'Assess feasibility & cost impact', 'Confirm replacement policy (customer vs certified technician)')} AS next_action,
+  CASE WHEN type <> 'requirement' THEN 'AUTO_SKIP' WHEN must_level IN ('MUST', 'MAY') OR k IN (1, 2, 4) THEN 'NEED_REVIEW' ELSE 'NEW' END AS status FROM c"""
+
+#: Enriched, cleaned, numbered, split and classified rows.
+FORMATTED = f"""{I}, {PRIMARY}, {FLAGS},
+b AS (SELECT i.* EXCLUDE (must_level), {rx(T, X.DEFINITION_LINE)} OR {GLOSSARY} AS g, {CATEGORY} AS cat, coalesce(f.status, 'PENDING') AS st, f.force_category AS fc, coalesce(f.messages, CAST([] AS VARCHAR[])) AS messages, coalesce(f.require_evidence, false) AS ev,
+  CASE WHEN upper(coalesce(must_level, '')) IN ('MUST', 'SHOULD', 'MAY') THEN upper(must_level) ELSE {TABLE_LEVEL} END AS lv FROM items i LEFT JOIN flagged f USING (pos)),
+enriched AS (SELECT * EXCLUDE (g, cat, st, fc, messages, ev, lv), CASE WHEN g THEN 'INFO' ELSE lv END AS must_level, CASE WHEN g THEN 'Glossary' ELSE coalesce(fc, cat) END AS category, CASE WHEN g THEN 'TBD' ELSE {OWNER.format(c='cat')} END AS owner,
+  CASE WHEN g THEN 'AUTO_SKIP' ELSE st END AS status, CASE WHEN g THEN [{q(X.GLOSSARY_MESSAGE)}] ELSE messages END AS messages, NOT g AND ev AS ev FROM b),
+{SOURCED.format(src='enriched')},
+lagged AS (SELECT *, {T} AS t0, coalesce(lag({T}) OVER (PARTITION BY case_id, f, chunk_no ORDER BY pos), '') AS prev FROM sourced),
+glue AS (SELECT *, upper(regexp_extract(prev, '^(CRU|FRU)\\s*:\\s*', 1, 'i')) AS x FROM lagged),
+glued AS (SELECT * EXCLUDE (t0, prev, x, requirement, notes), CASE WHEN x <> '' AND regexp_matches(t0, '\\bcan be replaced by\\b', 'i') AND NOT regexp_matches(t0, '^(CRU|FRU)\\b', 'i') THEN x || ' ' || t0 ELSE requirement END AS requirement,
+  CASE WHEN x <> '' AND regexp_matches(t0, '\\bcan be replaced by\\b', 'i') AND NOT regexp_matches(t0, '^(CRU|FRU)\\b', 'i') THEN trim(notes || ' | SERVICEABILITY_GLUE', ' |') ELSE notes END AS notes FROM glue),
+first AS (SELECT * FROM glued QUALIFY {T} = '' OR row_number() OVER (PARTITION BY lower({T}) ORDER BY pos) = 1),
+clean AS (SELECT * FROM first WHERE derived OR NOT ((upper(status) <> 'AUTO_SKIP' AND {noise(T, 'notes')}) OR {SHORT} OR {PART})),
+ev AS (SELECT *, f IN ('AUTO-spec_1.xlsx', 'AUTO-spec_4.docx') AS ok, regexp_extract_all(requirement || ' ' || notes, '\\[ROW_ID\\s*=\\s*([A-Za-z0-9_\\-]+)\\]', 1) AS marks FROM clean),
+v AS (SELECT *, CASE
+  WHEN regexp_matches(req_id, '^(HOST|BMC|BIOS|PCIe|STORAGE|PWR)-\\d+$') THEN CASE WHEN ok OR len(list_filter(marks, lambda x: contains(upper(x), split_part(req_id, '-', 1)))) > 0 THEN 'RFQ-' || split_part(req_id, '-', 1) || '-' || printf('%03d', split_part(req_id, '-', 2)::INT) END
+  WHEN regexp_matches(req_id, '^ROW_ID=\\d+$') THEN CASE WHEN ok OR len(marks) > 0 THEN 'RFQ-TBL-' || printf('%03d', split_part(req_id, '=', 2)::INT) END
+  WHEN regexp_matches(req_id, '^RFQ-[A-Za-z_]+-\\d+$') THEN CASE WHEN ok OR len(list_filter(marks, lambda x: contains(upper(x), split_part(req_id, '-', 2)))) > 0 THEN req_id END
+  WHEN regexp_matches(req_id, '^RFQ-\\d+$') THEN CASE WHEN ok THEN req_id END
+  WHEN regexp_matches(req_id, '^AI-\\d+$') THEN req_id WHEN regexp_matches(req_id, '^\\d+$') AND ok THEN 'RFQ-' || printf('%03d', req_id::INT) END AS known FROM ev),
+ids AS (SELECT *, coalesce(known, 'AI-' || printf('%03d', (count(*) FILTER (WHERE known IS NULL) OVER (PARTITION BY case_id ORDER BY pos ROWS UNBOUNDED PRECEDING))::INT)) AS id, CASE WHEN known IS NULL OR starts_with(known, 'AI-') THEN 'generated' ELSE 'original' END AS id_source FROM v),
+listed AS (SELECT *, list_filter(list_transform(string_split(requirement, '|'), lambda x: {strip('x')}), lambda x: x <> '') AS l FROM ids),
+parts AS (SELECT * EXCLUDE (requirement, notes, id, req_id, l), len(l) > 1 AS split, k AS part, CASE WHEN len(l) > 1 THEN l[k + 1] ELSE {T} END AS requirement, CASE WHEN len(l) > 1 THEN trim({strip('notes')} || ' | SPLIT_FROM_PIPE', ' |') ELSE notes END AS notes,
+  CASE WHEN len(l) > 1 THEN id || '-' || chr(97 + k) ELSE id END AS id, CASE WHEN len(l) > 1 THEN CASE WHEN req_id <> '' THEN req_id ELSE id END || '-' || chr(97 + k) ELSE req_id END AS original_id FROM (SELECT *, unnest(range(greatest(len(l), 1)))::INT AS k FROM listed)),
+typed AS (SELECT *, {TYPE} AS kind, {noise(T, 'notes')} AS bad FROM parts),
+told AS (SELECT *, CASE WHEN derived THEN 'requirement' WHEN kind NOT IN ('note', 'junk') THEN kind WHEN bad THEN 'junk' WHEN upper(coalesce(must_level, '')) IN ('MUST', 'SHOULD', 'MAY') THEN 'requirement' WHEN status = 'NEED_REVIEW' OR len(messages) > 0 THEN 'requirement' WHEN status = 'AUTO_SKIP' THEN 'glossary' ELSE kind END AS type FROM typed),
+orphans AS (SELECT *, NOT derived AND type = 'requirement' AND {rx(T, X.ORPHAN_MARKER, True)} AND NOT {VERB} AND {words(T)} <= 8 AS orphan FROM told),
+flagged_raw AS (SELECT *, list_concat(CASE WHEN derived THEN CAST([] AS VARCHAR[]) ELSE messages END, CASE WHEN orphan THEN ['ORPHAN_SUBITEM'] ELSE CAST([] AS VARCHAR[]) END) AS raw, row_number() OVER () AS rid FROM orphans),
+tags AS (SELECT rid, string_agg(tag, ',' ORDER BY k) AS risk_tags, coalesce(string_agg({NOTES_OF.format(t='tag')}, '; ' ORDER BY k), '') AS risk_note FROM (SELECT rid, {tag_of('x')} AS tag, min(k) AS k FROM (SELECT rid, unnest(range(len(raw))) AS k, unnest(raw) AS x FROM flagged_raw) GROUP BY ALL) WHERE tag <> '' GROUP BY rid),
+named AS (SELECT *, {SHOWN} AS nm, CASE WHEN derived THEN 'INFO' ELSE coalesce(nullif(must_level, ''), {PLAIN_LEVEL.format(t='lower(requirement)')}) END AS lv, CASE WHEN derived THEN coalesce(nullif(spec_category, ''), 'General') ELSE category END AS own FROM flagged_raw LEFT JOIN tags USING (rid)),
+formatted AS (SELECT case_id, pos, part, id AS req_id, original_id, id_source, type, lv AS must_level, CASE WHEN own <> 'General' THEN own ELSE {first_of('requirement', X.CATEGORY_CORRECTIONS, 'General')} END AS category, CASE WHEN derived THEN 'TBD' ELSE owner END AS owner,
+  CASE WHEN type IN ('glossary', 'note', 'junk') THEN 'AUTO_SKIP' WHEN derived OR orphan THEN 'NEED_REVIEW' WHEN upper(status) IN ('PENDING', 'AUTO_OK', '') THEN 'NEW' ELSE upper(status) END AS status, {T} AS requirement, coalesce(risk_tags, '') AS risk_tags, coalesce(risk_note, '') AS risk_note,
+  CASE WHEN ev AND NOT derived THEN 'Provide datasheet/report/certification as applicable' ELSE '' END AS evidence_needed,
+  CASE WHEN derived THEN 'Confirm spec against design. Derived from spec table, not explicit requirement' WHEN ev THEN 'Collect evidence and confirm with owner' WHEN orphan THEN 'Verify parent context — read source document' ELSE '' END AS next_action, {PLACE} AS source FROM named)"""
+CASE_MERGED = f"""{FORMATTED}, r AS ({RESP}), m AS (SELECT c.* EXCLUDE (status), coalesce(nullif(r.status, ''), c.status) AS status, coalesce(r.exclude_from_matrix, false) AS excluded FROM formatted c LEFT JOIN r USING (case_id, req_id)),
+w AS (SELECT *, CASE WHEN excluded THEN 'Excluded' WHEN lower(type) = 'glossary' OR list_contains(string_split(risk_tags, ','), 'GLOSSARY') THEN 'Glossary' WHEN type = 'note' THEN 'Notes' WHEN type = 'junk' OR upper(coalesce(status, '')) = 'AUTO_SKIP' THEN 'Skipped' ELSE 'Main' END AS sheet FROM m)"""
+
+
+def summarised(merged: str) -> str:
+    """The category summary of the main rows of w and its total."""
+    owners = "coalesce(array_to_string(list_transform(list_sort(list(DISTINCT lower(trim(owner)) || chr(1) || trim(owner)) FILTER (WHERE trim(owner) <> '')), lambda x: split_part(x, chr(1), 2)), ', '), '')"
+    return f"{merged}, s AS (SELECT *, {BUCKET} AS grp, CASE WHEN {first_cat('category')} = '' THEN '(blank)' ELSE {first_cat('category')} END AS small FROM w WHERE sheet = 'Main') SELECT grp AS \"group\", small AS category, {COUNTS}, {owners} AS owners FROM s GROUP BY ALL UNION ALL SELECT 'Total', '', {COUNTS}, '' FROM s"
+
+
+METRICS = ["total_items", "requirements", "glossary", "notes", "duplicate_ids", "empty_requirement", "empty_category", "empty_owner"]
+SIDE = "SELECT count(*) AS total_items, count(*) FILTER (WHERE type = 'requirement') AS requirements, count(*) FILTER (WHERE type = 'glossary') AS glossary, count(*) FILTER (WHERE type IN ('note', 'junk')) AS notes, (SELECT count(*) FROM (SELECT case_id, req_id FROM c WHERE pos % 2 = {k} AND req_id <> '' GROUP BY ALL HAVING count(*) > 1)) AS duplicate_ids, count(*) FILTER (WHERE type = 'requirement' AND trim(requirement) = '') AS empty_requirement, count(*) FILTER (WHERE type = 'requirement' AND trim(category) = '') AS empty_category, count(*) FILTER (WHERE type = 'requirement' AND trim(owner) = '') AS empty_owner FROM c WHERE pos % 2 = {k}"
+RUNS = "strftime(o_orderdate::TIMESTAMP + to_seconds({s}), '%Y-%m-%dT%H:%M:%S')"
+BEST = r"""{I}, a AS (SELECT pos, lower(requirement) AS t, [{'file': 'a b.xlsx', 'sheet': 'One', 'row': 3, 'x': 'alpha power supply unit'}, {'file': 'a b.xlsx', 'sheet': 'Two', 'row': 9, 'x': 'vibration and shock test'}, {'file': 'a b.xlsx', 'sheet': 'Two', 'row': 10, 'x': lower(trim(notes || 'NVMe storage with RAID'))}] AS l FROM items),
+b AS (SELECT pos, l, list_filter(l, lambda r: contains(r.x, t) OR contains(t, r.x)) AS inside, list_transform(l, lambda r: len(list_intersect(list_distinct(string_split_regex(trim(t), '\s+')), list_distinct(string_split_regex(r.x, '\s+'))))) AS n FROM a),
+c AS (SELECT pos, CASE WHEN len(inside) > 0 THEN inside[1] ELSE l[list_position(n, list_max(n))] END AS r FROM b) SELECT pos, r.file AS file, r.sheet AS sheet, r.row AS row FROM c""".replace("{I}", I)
+CHUNK = "'[TABLE 2 ROW 4][ROW_ID=HOST 36] text [TABLE 3 ROW 7] more [ROW_ID=BIOS-' || (pos % 50) || '] end [PDF PAGE 12] [FILE:x.xlsx SHEET:S ROW 5]'"
+MARKED = r"\[TABLE\s+(\d+)\s+ROW\s+(\d+)\][^\[]*\[ROW_ID=([^\]]+)\]"
+POSITIONS = rf"""{I}, a AS (SELECT pos, req_id, {CHUNK} AS x, regexp_extract(req_id, '^RFQ-([A-Z]+)-(\d+)$', 1) AS p, regexp_extract(req_id, '^RFQ-([A-Z]+)-0*(\d+)$', 2) AS n FROM items),
+b AS (SELECT *, regexp_extract_all(x, '{MARKED}', 1) AS t, regexp_extract_all(x, '{MARKED}', 2) AS r, list_transform(regexp_extract_all(x, '{MARKED}', 3), lambda v: trim(v)) AS i, [p || ' ' || n, p || '-' || n, p || n] AS wanted, list_filter(list_transform(regexp_extract_all(x, '\[ROW_ID=([^\]]+)\]', 1), lambda v: trim(v)), lambda v: regexp_matches(v, '^(HOST|BIOS|BMC|MECH|ENV|SER|AIC|MB|SYS)[\s\-](\d+)$', 'i')) AS usable FROM a),
+c AS (SELECT *, list_filter(list_transform(wanted, lambda w: list_filter(range(1, len(i) + 1), lambda k: p <> '' AND (i[k] = w OR replace(i[k], ' ', '-') = w))[1]), lambda k: k IS NOT NULL)[1] AS k FROM b)
+SELECT pos, t[coalesce(k, 1)]::INT AS "table", r[coalesce(k, 1)]::INT AS table_row, CASE WHEN starts_with(req_id, 'RFQ-') THEN req_id ELSE 'RFQ-' || upper(split_part(replace(usable[1], '-', ' '), ' ', 1)) || '-' || printf('%03d', split_part(replace(usable[1], '-', ' '), ' ', 2)::INT) END AS matrix_id, 12 AS page, 'S' AS sheet, 5 AS row,
+  CASE WHEN req_id = '' THEN 'AUTO-f.docx-3-' || printf('%03d', (pos % 1200)::INT) ELSE req_id END AS repaired FROM c"""
+
+
 ORACLE_SQL: dict[str, str] = {
-    "summary_matrix": f"WITH {MERGED}, s AS (SELECT *, {BUCKET} AS grp, CASE WHEN {first_cat('category')} = '' THEN '(blank)' ELSE {first_cat('category')} END AS small FROM w WHERE sheet = 'Main') SELECT grp AS \"group\", small AS category, {COUNTS}, coalesce(array_to_string(list_transform(list_sort(list(DISTINCT lower(trim(owner)) || chr(1) || trim(owner)) FILTER (WHERE trim(owner) <> '')), lambda x: split_part(x, chr(1), 2)), ', '), '') AS owners FROM s GROUP BY ALL UNION ALL SELECT 'Total', '', {COUNTS}, '' FROM s",
+    "summary_matrix": summarised(f"WITH {MERGED}"),
     "response_merge": f"WITH {MERGED} SELECT case_id, pos, req_id, status, vendor_comment, gap, final_requirement, excluded FROM w",
     "progress_counts": f"WITH c AS ({CLEAN}), r AS ({RESP}), a AS (SELECT c.case_id, CASE WHEN r.status IN ('COMPLIANT', 'PARTIAL', 'NON-COMPLIANT') THEN r.status WHEN upper(coalesce(nullif(c.status, ''), 'NEW')) IN ({STATUSES}) THEN upper(coalesce(nullif(c.status, ''), 'NEW')) ELSE 'NEW' END AS s FROM c LEFT JOIN r USING (case_id, req_id) WHERE upper(coalesce(c.status, '')) <> 'AUTO_SKIP') SELECT case_id, {PROGRESS}, count(*) AS total FROM a GROUP BY case_id",
     "review_counts": f"WITH c AS ({CLEAN}), r AS ({RESP}), a AS (SELECT c.case_id, CASE WHEN coalesce(nullif(r.status, ''), c.status, 'NEW') IN ({STATUSES}) THEN coalesce(nullif(r.status, ''), c.status, 'NEW') ELSE 'NEW' END AS s FROM c LEFT JOIN r USING (case_id, req_id) WHERE coalesce(c.status, '') <> 'AUTO_SKIP') SELECT case_id, {PROGRESS}, count(*) AS total FROM a GROUP BY case_id",
@@ -149,6 +266,20 @@ ORACLE_SQL: dict[str, str] = {
     "matrix_projection": f"WITH {MERGED} SELECT case_id, pos, CASE WHEN trim(coalesce(final_requirement, '')) <> '' THEN trim(final_requirement) WHEN trim(normalized_requirement) <> '' THEN trim(normalized_requirement) ELSE requirement END AS final_requirement, array_to_string(risk_tags, ', ') AS risk, CASE WHEN rewrite_reason <> '' THEN printf('%.2f', rewrite_confidence) ELSE '' END AS confidence, CASE WHEN needs_rewrite_review THEN 'REVIEW' ELSE '' END AS review, coalesce(gap, '') AS gap FROM w",
     "export_sheets": f"WITH {MERGED}, s AS (SELECT case_id, unnest(CASE WHEN sheet = 'Main' THEN ['Compliance Matrix', CASE {BUCKET} {' '.join(f'WHEN {q(n)} THEN {q(f"{i}. {n}")}' for i, (n, _) in enumerate(X.BUCKETS, 3))} END] ELSE [sheet] END) AS sheet FROM w) SELECT case_id, sheet, count(*) AS n FROM s GROUP BY ALL",
     "review_filter": f"WITH c AS ({CLEAN}), r AS ({RESP}) SELECT c.case_id, c.pos, c.req_id FROM c LEFT JOIN r USING (case_id, req_id) WHERE coalesce(c.status, '') <> 'AUTO_SKIP' AND coalesce(nullif(r.status, ''), c.status, 'NEW') = 'PARTIAL' AND owner = 'QA'",
+    "compare_runs": f"WITH c AS ({CLEAN}), l AS ({SIDE.format(k=0)}), r AS ({SIDE.format(k=1)}) SELECT unnest([{', '.join(map(q, METRICS))}]) AS metric, unnest([{', '.join('l.' + m for m in METRICS)}]) AS \"left\", unnest([{', '.join('r.' + m for m in METRICS)}]) AS \"right\" FROM l, r",
+    "plain_triage": PLAIN,
+    "source_ref": f"{I}, {PRIMARY}, {SOURCED.format(src='items')}, z AS (SELECT *, {SHOWN} AS nm FROM sourced) SELECT pos, f AS file, {PLACE} AS source FROM z",
+    "text_clean": f"{I}, a AS (SELECT pos, requirement, {strip(f"regexp_replace(' Falls under RF_CERT  per redflag: ' || requirement || '  ., ', {q(X.PROMPT_TRACES)}, '', 'gi')")} AS c FROM items) SELECT pos, trim(regexp_replace(c, '\\s{{2,}}', ' ', 'g'), ' .,;') AS cleaned, CASE WHEN length(requirement) > 30 THEN left(requirement, 30) || ' ...' ELSE requirement END AS excerpt, left({strip(f"""regexp_replace(regexp_replace({strip("'a/b:  ' || requirement")}, '[\\\\/:*?"<>|]+', '_', 'g'), '\\s+', ' ', 'g')""")}, 80) AS safe_key, {strip("split_part(requirement || ' , x', ',', 1)")} AS first, regexp_replace(left('é中' || requirement, 20), '[^\\x00-\\x7F]', '?', 'g') AS preview FROM items JOIN a USING (pos, requirement)",
+    "paragraph_chunks": pieces(paragraphs("replace(text, chr(10), chr(10) || chr(10))", 600)),
+    "greedy_pack": pieces(blocks_packed("list_filter(string_split(text, chr(10)), lambda x: x <> '')", 1200, 4)),
+    "best_row_match": BEST,
+    "chunk_positions": POSITIONS,
+    "formatted_items": f"{FORMATTED} SELECT * FROM formatted",
+    "case_to_matrix": summarised(CASE_MERGED),
+    "file_roles": f"WITH a AS (SELECT name, CASE WHEN name = 'Supplier#000000004.docx' OR name = 'Supplier#3.zip' THEN CASE name WHEN 'Supplier#3.zip' THEN 'main_requirement' ELSE 'appendix' END END AS own, starts_with(name, left('Supplier#000000005.xl', 20)) OR starts_with(name, left('Supplier#00000007', 20)) AS app, starts_with(name, left('Supplier#00000008', 20)) AS main FROM ({FILES})) SELECT name, coalesce(own, CASE WHEN app THEN 'appendix' WHEN main THEN 'main_requirement' ELSE '?' END) AS role, CASE WHEN own IS NOT NULL THEN CASE name WHEN 'Supplier#3.zip' THEN '87%' ELSE '—' END WHEN app OR main THEN '50%' ELSE '—' END AS confidence FROM a",
+    "lock_staleness": "SELECT event_id, event_id % 9 = 0 OR date_diff('second', date_trunc('second', ts), TIMESTAMP '2024-01-15 00:00:00') > 7200 AS stale FROM events",
+    "run_history": f"WITH a AS (SELECT o_orderkey AS k, '/runs/' || o_orderkey AS run_dir, {RUNS.format(s='o_custkey % 86400')} AS started_at, CASE WHEN o_orderkey % 4 > 0 THEN {RUNS.format(s='o_custkey % 86400 + o_orderkey % 9000')} ELSE '' END AS ended_at, (o_orderkey % 9000)::BIGINT AS s FROM orders) SELECT run_dir, started_at, ended_at, CASE WHEN ended_at = '' THEN '-' WHEN s >= 3600 THEN (s // 3600) || 'h' || (s % 3600 // 60) || 'm' WHEN s >= 60 THEN (s // 60) || 'm' || (s % 60) || 's' ELSE s || 's' END AS duration, CASE WHEN k % 2 = 0 THEN '1/4' ELSE '0/4' END AS outputs FROM a ORDER BY coalesce(nullif(ended_at, ''), started_at) DESC, run_dir LIMIT 20",
+    "runtime_estimate": f"WITH a AS (SELECT source AS case_id, length(coalesce(text, '')) AS chars, len({paragraphs('text', 600)}) AS chunks FROM documents), b AS (SELECT case_id, count(*) AS file_count, sum(chars)::BIGINT AS total_chars, sum(chunks)::BIGINT AS chunks, sum(chunks) * 0.6::DOUBLE AS s FROM a GROUP BY case_id), n AS (SELECT *, {HALF} AS n FROM b) SELECT case_id, file_count, total_chars, chunks, s AS est_runtime_sec, CASE WHEN n >= 3600 THEN (n // 3600) || 'h ' || (n % 3600 // 60) || 'm' WHEN n >= 60 THEN (n // 60) || 'm ' || (n % 60) || 's' ELSE n || 's' END AS est_runtime_human, CASE WHEN s >= 14400 THEN 'high' WHEN s >= 3600 THEN 'warning' ELSE 'ok' END AS risk FROM n",
     "review_rows": f"WITH c AS ({CLEAN}) SELECT req_id AS id, {first_cat('category')} AS category, requirement, coalesce(must_level, '') AS must_level, owner FROM c",
     "source_priority": f"WITH c AS ({CLEAN}) SELECT case_id, pos, req_id, CASE case_id WHEN 'case0' THEN 'reviewed' WHEN 'case1' THEN 'clean' ELSE 'raw' END AS src FROM c WHERE case_id <> 'case0' OR pos % 4 = 0",
     "reviewed_load": f"WITH c AS ({CLEAN}) SELECT case_id, pos, req_id, requirement, category, must_level, owner FROM c WHERE pos % 6 <> 0",
