@@ -72,7 +72,7 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 #: Rows up to which a settled table is kept in one partition.
-NARROW_ROWS = 100_000
+NARROW_ROWS = 400_000
 
 
 def narrow(df: DataFrame) -> DataFrame:
@@ -117,16 +117,24 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-#: Bits of the bitmap of only_near, and bits of a row of it.
-BITMAP_BITS, BITMAP_ROW = 1 << 23, 32_768
+#: Bits of the bitmap of only_near.
+BITMAP_BITS = 1 << 23
 
 
 def only_near(rows: DataFrame, keys: DataFrame, column: str = "key") -> DataFrame:
     """The rows whose `column`, a long, may be among those of `keys`, other rows passing by chance: it keeps rows that an
-    exact join would drop out of that join's shuffle. What goes to all tasks is a bitmap of fixed size."""
+    exact join would drop out of that join's shuffle. What goes to all tasks is a bitmap of fixed size, 64 bits to a row."""
     at = F.pmod(F.col(column), F.lit(BITMAP_BITS))
-    row, bit = (at / BITMAP_ROW).cast("int"), F.pmod(at, F.lit(BITMAP_ROW))
-    bitmap = keys.where(F.col(column).isNotNull()).select(row.alias("_row"), bit.alias("_bit")).groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bitmap"))
-    byte = F.conv(F.hex(F.substring(F.col("_bitmap"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    rows = rows.withColumn("_row", row).join(F.broadcast(settled(bitmap)), "_row")
-    return rows.where(F.call_function("shiftright", byte, F.pmod(bit, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1).drop("_row", "_bitmap")
+    word, bit = F.shiftright(at, 6), F.pmod(at, F.lit(64)).cast("int")
+    of = keys.where(F.col(column).isNotNull()).select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit"))
+    bitmap = of.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    rows = rows.withColumn("_word", word).join(F.broadcast(settled(bitmap)), "_word")
+    return rows.where(F.getbit("_bits", bit) == 1).drop("_word", "_bits")
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """The name, with underscores before it until no column of the tables has it."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

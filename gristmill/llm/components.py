@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import narrow, only_near, reclaim, settled
@@ -33,10 +33,8 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-#: Members of a group that lead at once, a multiple of 64.
-LEADERS = 256
-#: Members of a group that one task compares with the group's leaders.
-PART_ROWS = 256
+#: Unlinked members that meet one part of their group at once, rows of such a part, and the most classes that a row names at once.
+BLOCK, PART_ROWS, NAMED = 256, 1_024, 8
 
 
 def shared_buckets(placed: DataFrame) -> DataFrame:
@@ -47,66 +45,100 @@ def shared_buckets(placed: DataFrame) -> DataFrame:
     return only_near(placed, once, "bucket").join(once, "bucket").select("bucket", "key", "weight")
 
 
-def led_members(members: DataFrame, with_sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """lead, key, distance: each bucket of members (bucket, key, weight) has one leader, with which all its members are
-    compared: the key that shares buckets with most others, which in a group of edited copies is the one nearest to their
-    common original. with_sets adds the array `set` of each `key` to a table."""
-    distance = lambda s, t, n: 1 - n / (F.size(s) + F.size(t) - n)
+def leaders(members: DataFrame) -> DataFrame:
+    """lead, key: each bucket of members (bucket, key, weight) has one leader, the key that shares buckets with most others,
+    which in a group of edited copies is the one nearest to their common original. key is another member of such a bucket."""
     central = members.groupBy("key").agg(F.sum("weight").alias("central"))
     first = members.join(central, "key").groupBy("bucket").agg(F.max_by("key", F.struct("central", "key")).alias("lead"))
-    met = settled(members.join(first, "bucket").where("key <> lead").select("lead", "key").distinct())
+    return settled(members.join(first, "bucket").where("key <> lead").select("lead", "key").distinct())
+
+
+def led_members(members: DataFrame, with_sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """lead, key, distance of the leaders of members: the Jaccard distance of each key to its leaders. with_sets adds the
+    array `set` of each `key` to a table."""
+    distance = lambda s, t, n: 1 - n / (F.size(s) + F.size(t) - n)
+    met = leaders(members)
     lead_sets = with_sets(met.select(F.col("lead").alias("key")).distinct()).select(F.col("key").alias("lead"), F.col("set").alias("lead_set"))
     led_by = with_sets(met.groupBy("key").agg(F.collect_set("lead").alias("leads"))).select("key", "set", F.explode("leads").alias("lead"))
     both = led_by.join(lead_sets, "lead").withColumn("n", F.size(F.array_intersect("set", "lead_set")))
     return settled(both.select("lead", "key", distance(F.col("set"), F.col("lead_set"), F.col("n")).alias("distance")))
 
 
-def bucket_classes(members: DataFrame, with_sets: Callable[[DataFrame], DataFrame], similar: float) -> DataFrame:
-    """The classes (node, root) of keys that are similar within some bucket of members (bucket, key, weight), without a row
-    for every pair of a bucket. with_sets adds the array `set` of each `key` to a table.
+def differences(met: DataFrame, texts: DataFrame, elements: Callable[[DataFrame, str, str], DataFrame]) -> DataFrame:
+    """lead, key, n, missing, extra, diff for each row of met (lead, key): the size of the leader's set, how many of its
+    elements the key's set lacks, how many others that one has, and, where the leader has several members, those elements.
 
-    First each member is compared with its bucket's leader. Buckets with one leader then are one group. By the triangle
-    inequality, members at distances d and e of their leader can only be similar if d and e differ by 1 - similar at most; so a linked member leaves if no unlinked one is that near. Next, up to LEADERS members of a group
-    lead at once, those with the greatest root, which big classes don't have. Their sets go as one array to each member of
-    the group that is left, which gives only the links found, as bits that are joined by root; a large group's members are spread over several tasks. Leaders leave; where all members are in one class, the group is
-    done. Rounds go on until no group is left, so no two members of a bucket that are similar stay apart."""
-    reach = 1 - similar + 1e-9
-    shared = lambda s, t: F.size(F.array_intersect(s, t))
-    ordered = lambda a, b: (F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-    known = led_members(members, with_sets)
-    links = known.where(F.col("distance") <= reach).select(F.col("lead").alias("a"), F.col("key").alias("b"))
-    roots = narrow(components(links))
+    texts (key, plain) are what elements(rows, column, out) makes arrays of elements from; they are made where leader and
+    member have met, so that texts are shuffled and not sets. A leader's members are spread over parts of PART_ROWS."""
+    n = met.groupBy("lead").agg(F.count(F.lit(1)).alias("members")).withColumn("parts", F.ceil(F.col("members") / PART_ROWS))
+    leads = n.join(texts.withColumnRenamed("key", "lead"), "lead").select("lead", "plain", F.explode(F.sequence(F.lit(1), F.col("parts"))).alias("part"))
+    leads = elements(leads.repartition("lead", "part"), "plain", "raw").select("lead", "part", F.array_distinct("raw").alias("of_lead"))
+    rows = met.join(n, "lead").join(texts, "key").select("lead", "key", "plain", "members", (F.pmod(F.xxhash64("key"), F.col("parts")) + 1).alias("part"))
+    rows = elements(rows.repartition("lead", "part"), "plain", "raw").join(leads, ["lead", "part"])
+    rows = rows.select("lead", "key", "members", F.size("of_lead").alias("n"), F.array_except("of_lead", "raw").alias("gone"), F.array_except("raw", "of_lead").alias("new"))
+    diff = F.when(F.col("members") > 1, F.concat("gone", "new")).otherwise(F.array().cast("array<bigint>"))
+    return settled(rows.select("lead", "key", "n", F.size("gone").alias("missing"), F.size("new").alias("extra"), diff.alias("diff")))
+
+
+def relabelled(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) after links (a, b) between roots, or nodes that have none yet, are joined too."""
+    new = components(links).withColumnRenamed("root", "now")
+    moved = roots.join(new.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("now", "root").alias("root"))
+    alone = new.join(roots.select("node"), "node", "left_anti").select("node", F.col("now").alias("root"))
+    return narrow(moved.union(alone))
+
+
+def bucket_classes(members: DataFrame, texts: DataFrame, elements: Callable[[DataFrame, str, str], DataFrame], similar: float) -> DataFrame:
+    """The classes (node, root) of keys that are similar within the buckets of one leader of members (bucket, key, weight),
+    without a row for every pair. texts and elements are those of differences().
+
+    First each member is compared with its leader. Members linked to it are in one class; the others still have to meet all
+    members. Both are known by what they differ from their leader in: two of them have n - missing - missing' + x elements in
+    common, where x counts the differences that they share. As x is at most the lesser of the missing plus the lesser of the
+    extra elements, most pairs are settled by their counts, and the others by an intersection of the short differences.
+
+    A group's unlinked members are dealt in blocks of about BLOCK, each sent as one array to the parts of the group's rows; a
+    row gives the classes that it is linked to, and not pairs: at most NAMED, and those that have more come again when these
+    are joined, until none is left. So no two members of a group that are similar stay apart."""
+    share = similar / (1 + similar)
+    known = differences(leaders(members), texts, elements).withColumn("size", F.col("n") - F.col("missing") + F.col("extra"))
+    known = known.withColumn("linked", F.col("n") - F.col("missing") >= share * (F.col("n") + F.col("size")) - 1e-9)
+    known = known.withColumn("distance", 1 - (F.col("n") - F.col("missing")) / (F.col("n") + F.col("extra")))
+    roots = narrow(components(known.where("linked").select(F.col("lead").alias("a"), F.col("key").alias("b"))))
     reclaim(members.sparkSession)
-    far = known.where(F.col("distance") > reach).groupBy("lead").agg(F.min("distance").alias("nearest"))
-    left = known.join(far, "lead").where(F.col("distance") + reach >= F.col("nearest")).select(F.col("lead").alias("group"), "key", "distance")
+    # by the triangle inequality a linked member can only be similar to an unlinked one whose distance is that near
+    far = known.where(~F.col("linked")).groupBy("lead").agg(F.min("distance").alias("nearest"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    left = known.join(far, "lead").where(F.col("distance") + (1 - similar) + 1e-9 >= F.col("nearest"))
+    left = left.select(F.col("lead").alias("group"), "key", "n", "missing", "extra", "diff", "linked", "blocks", (share * F.col("size") + F.col("missing")).alias("weight"))
+    held = left.columns
     while True:
-        left = left.join(roots.withColumnRenamed("node", "key"), "key", "left").select("group", "key", "distance", F.coalesce("root", "key").alias("root"))
+        left = left.join(roots.withColumnRenamed("node", "key"), "key", "left").select(*held, F.coalesce("root", "key").alias("root"))
         open_ = left.groupBy("group").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count(F.lit(1)) / PART_ROWS).alias("parts")).where("x <> y")
         left = settled(left.join(open_.select("group", "parts"), "group"))
-        if left.isEmpty():
+        block = F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")) + 1
+        met = F.struct("key", "root", "missing", "extra", "weight", "diff")
+        led = left.where(~F.col("linked")).groupBy("group", block.alias("block")).agg(F.collect_list(met).alias("led"), F.max("parts").alias("parts"))
+        led = led.select("group", "block", "led", F.explode(F.sequence(F.lit(1), F.col("parts"))).alias("part"))
+        rows = left.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")) + 1).withColumn("block", F.explode(F.sequence(F.lit(1), F.col("blocks"))))
+        rows = rows.join(led, ["group", "block", "part"])
+        wanted = lambda x: F.col("weight") + x["weight"] - F.col("n") - 1e-6
+        alike = lambda x: (
+            (x["root"] != F.col("root"))
+            & (F.col("linked") | (x["key"] < F.col("key")))
+            & (F.least("missing", x["missing"]) + F.least("extra", x["extra"]) >= wanted(x))
+            & (F.size(F.array_intersect("diff", x["diff"])) >= wanted(x))
+        )
+        hits = F.array_distinct(F.transform(F.filter("led", alike), lambda x: x["root"]))
+        found = rows.select("group", "root", F.posexplode(F.slice(hits, 1, NAMED + 1)).alias("i", "to"))
+        found = settled(found.groupBy("group", "root", "to").agg(F.max("i").alias("i")))
+        if found.isEmpty():
             return roots
-        rank = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("root"), F.desc("key")))
-        lead = settled(left.withColumn("rank", rank).where(F.col("rank") <= LEADERS).drop("rank"))
-        led = with_sets(lead).groupBy("group").agg(F.array_sort(F.collect_list(F.struct("key", "root", "distance", "set"))).alias("led"), F.max("parts").alias("parts"))
-        led = led.select("group", "led", F.explode(F.sequence(F.lit(1), F.col("parts"))).alias("part"))
-        rows = with_sets(left.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")) + 1)).join(led, ["group", "part"])
-        # the bound on the distance is put so that the intersection is made once
-        alike = lambda x: (2 - reach) * shared(F.col("set"), x["set"]) >= (1 - reach) * (F.size("set") + F.size(x["set"]))
-        hit = lambda x: F.when((x["root"] == F.col("root")) | (F.abs(x["distance"] - F.col("distance")) > reach), F.lit(False)).otherwise(alike(x))
-        hits = F.filter(F.transform("led", lambda x, i: F.when(hit(x), i)), lambda i: i.isNotNull())
-        rows = rows.select("group", "key", "root", hits.alias("hits"))
-        ranked = lead.select("group", F.col("key").alias("lead"), F.col("root").alias("lead_root"), (F.row_number().over(Window.partitionBy("group").orderBy("key")) - 1).alias("i"))
-        bits = [F.aggregate(F.filter("hits", (lambda k: lambda i: F.floor(i / 64) == k)(k)), F.lit(0).cast("long"), lambda m, i: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(i, F.lit(64))))) for k in range(LEADERS // 64)]
-        masks = rows.select("group", "root", *[b.alias(f"m{k}") for k, b in enumerate(bits)]).groupBy("group", "root").agg(*[F.bit_or(f"m{k}").alias(f"m{k}") for k in range(LEADERS // 64)])
-        of = F.array(*[F.col(f"m{k}") for k in range(LEADERS // 64)])
-        set_ = F.filter(F.sequence(F.lit(0), F.lit(LEADERS - 1)), lambda i: F.call_function("shiftrightunsigned", F.get(of, F.floor(i / 64).cast("int")), F.pmod(i, F.lit(64))).bitwiseAND(F.lit(1)) == 1)
-        found = masks.select("group", "root", F.explode(set_).alias("i")).join(ranked, ["group", "i"]).select(*ordered("lead_root", "root"))
-        found = narrow(found.distinct())
-        if not found.isEmpty():
-            links = links.union(found)
-            roots = narrow(components(links))
-        left = left.join(lead.select("group", "key"), ["group", "key"], "left_anti").select("group", "key", "distance")
+        roots = relabelled(roots, found.select(F.col("root").alias("a"), F.col("to").alias("b")))
         reclaim(members.sparkSession)
+        again = found.where(F.col("i") == NAMED).select("group").distinct()
+        if again.isEmpty():
+            return roots
+        left = left.join(again, "group").select(*held)
 
 
 #: Members of a group that one side of a block of pairs has at most, about.

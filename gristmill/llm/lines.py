@@ -12,7 +12,10 @@ from . import common
 from .components import bucket_classes, shared_buckets
 
 #: Characters of a shingle; similarity of lines that count as one; bands and minima in a band.
-SHINGLE, SIMILAR, BANDS, ROWS = 8, 0.8, 7, 3
+SHINGLE, SIMILAR, BANDS, ROWS = 8, 0.8, 8, 4
+#: The masks are below 2**62, so that XOR keeps a hash's two upper bits: of any line with hashes below QUARTER the least by any
+#: mask is one of those. Lines of up to SHORT shingles often have none.
+QUARTER, SHORT = -(1 << 62), 64
 
 
 @dataclass(frozen=True)
@@ -24,7 +27,7 @@ class Hashes:
     @classmethod
     def drawn(cls, n: int = BANDS * ROWS, seed: int = 17) -> Hashes:
         r = random.Random(seed)
-        return cls(tuple(r.getrandbits(64) - (1 << 63) for _ in range(n)))
+        return cls(tuple(r.getrandbits(62) for _ in range(n)))
 
 
 def plain(line: Column) -> Column:
@@ -48,22 +51,33 @@ def line_table(docs: DataFrame) -> DataFrame:
     return base.withColumn("key", F.xxhash64("plain"))
 
 
-def signatures(docs: DataFrame, hashes: Hashes) -> DataFrame:
-    """key, n (occurrences), m0, m1, ...: per distinct line the minima of its shingles' hashes. A shingle is a row only inside
-    one generated stage: it is sliced, hashed and folded into its line's minima where the text was read. All lines are hashed
-    by all their shingles: the minima follow from the set of shingles alone, whatever the length of the line."""
-    rows = line_table(docs).select("key", units(F.col("plain")).alias("b"))
+def minima(lines: DataFrame, hashes: Hashes, all_shingles: bool = False) -> DataFrame:
+    """key, n (rows of the line), m0, m1, ... for the rows (key, plain) of lines: the minima of the hashes of each line's
+    shingles. A shingle is a row only inside one generated stage: it is sliced, hashed and folded into its line's minima where
+    the text was read. Without all_shingles, those that cannot be a minimum are passed over, but for a line whose every shingle
+    was passed over, which is `open`: it has to be read again."""
+    rows = lines.select("key", units(F.col("plain")).alias("b"))
     rows = rows.select("key", "b", F.explode(F.sequence(F.lit(1), 2 * n_shingles(F.col("b")) - 1, F.lit(2))).alias("i"))
-    rows = rows.select("key", "i", F.xxhash64(F.substring(F.col("b"), F.col("i"), F.lit(2 * SHINGLE))).alias("h"))
-    return rows.groupBy("key").agg(F.sum((F.col("i") == 1).cast("int")).alias("n"), *[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(hashes.masks)])
+    long = F.length("b") > 2 * (SHORT + SHINGLE - 1)
+    rows = rows.select("key", "i", long.alias("long"), F.xxhash64(F.substring(F.col("b"), F.col("i"), F.lit(2 * SHINGLE))).alias("h"))
+    if not all_shingles:
+        rows = rows.where((F.col("h") < QUARTER) | ~F.col("long") | (F.col("i") == 1))
+    rows = rows.groupBy("key").agg(F.sum((F.col("i") == 1).cast("int")).alias("n"), F.max("long").alias("long"), *[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(hashes.masks)])
+    return rows.withColumn("open", F.lit(False) if all_shingles else F.col("long") & (F.col("m0") >= QUARTER)).drop("long")
 
 
-def with_set(rows: DataFrame, line: str, out: str) -> DataFrame:
-    """Replaces a text column by the set of its shingles' hashes. The units are a column of their own, made once a row."""
+def banded(found: DataFrame) -> DataFrame:
+    """key, n, open, bands: the band keys of minima."""
+    bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
+    return found.select("key", "n", "open", bands.alias("bands"))
+
+
+def hashed(rows: DataFrame, line: str, out: str) -> DataFrame:
+    """Replaces a text column by its shingles' hashes, repeats included. The units are a column of their own, made once a row."""
     others = [c for c in rows.columns if c != line]
     rows = rows.select(*others, units(F.col(line)).alias("_b"))
-    hashed = F.transform(F.sequence(F.lit(1), 2 * n_shingles(F.col("_b")) - 1, F.lit(2)), lambda i: F.xxhash64(F.substring(F.col("_b"), i, F.lit(2 * SHINGLE))))
-    return rows.select(*others, F.array_distinct(hashed).alias(out))
+    each = F.transform(F.sequence(F.lit(1), 2 * n_shingles(F.col("_b")) - 1, F.lit(2)), lambda i: F.xxhash64(F.substring(F.col("_b"), i, F.lit(2 * SHINGLE))))
+    return rows.select(*others, each.alias(out))
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
@@ -74,8 +88,11 @@ def line_classes(docs: DataFrame) -> DataFrame:
     first, by doc_id (null first) and position, is kept."""
     spark, hashes = docs.sparkSession, Hashes.drawn()
     ws = common.Workspace(spark, "lines")
-    bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
-    found = ws.write(signatures(docs, hashes).select("key", "n", bands.alias("bands")), "bands")
+    found = ws.write(banded(minima(line_table(docs), hashes)), "bands")
+    again = common.settled(found.where("open").select("key"))
+    if not again.isEmpty():
+        rest = common.only_near(line_table(docs), again).join(again, "key", "left_semi")
+        found = found.where("not open").union(common.settled(banded(minima(rest, hashes, True))))
     common.reclaim(spark)
     members = common.settled(shared_buckets(found.select("key", F.explode("bands").alias("bucket"))))
     several = common.settled(found.where("n > 1").select(F.col("key").alias("node")))
@@ -86,7 +103,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     found = common.only_near(line_table(docs), keys).join(keys, "key").withColumn("plain", F.when(F.col("near"), F.col("plain"))).drop("near")
     found = common.settled(found)
     texts = common.settled(found.where("plain is not null").groupBy("key").agg(F.first("plain").alias("plain")))
-    roots = bucket_classes(members, lambda t: with_set(t.join(texts, "key"), "plain", "set"), SIMILAR)
+    roots = bucket_classes(members, texts, hashed, SIMILAR)
     classes = common.settled(roots.join(several, "node", "full_outer").select(F.col("node").alias("key"), F.coalesce("root", "node").alias("class_id")))
     alike = found.join(classes, "key").select("doc_id", "text_hash", "line", "class_id")
     first = alike.groupBy("class_id").agg(F.min(F.struct("doc_id", "text_hash", "line")).alias("first"))
@@ -101,13 +118,6 @@ def by_document(docs: DataFrame) -> DataFrame:
     return found.distinct().groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("line", "class_id", "kept"))).alias("alike"))
 
 
-def joined(docs: DataFrame) -> DataFrame:
-    """docs' columns and _alike; rows that repeat in id and text count as one document and are treated the same."""
-    found = by_document(docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("alike").alias("_alike"))
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text", F.lit(1)))
-    return keyed.join(found, keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_text_hash"] == F.col("_hash")), "left").select(*[keyed[c] for c in docs.columns], "_alike")
-
-
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, alike (line, class_id, kept). Null and blank texts have no lines to
     drop; blank lines stay; an empty table gives no rows; other columns of docs play no part."""
@@ -121,13 +131,16 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents without their dropped lines; a document whose non-blank lines are all dropped goes. n_chars, if there is
-    such a column, follows the text."""
-    rows = joined(docs)
-    gone = F.transform(F.filter("_alike", lambda x: ~x["kept"]), lambda x: x["line"])
-    rows = rows.withColumn("_gone", F.coalesce(gone, F.array().cast("array<int>")))
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    rows = rows.withColumn("_text", F.when(F.size("_gone") == 0, F.col("text")).otherwise(F.array_join(kept, "\n")))
-    rows = rows.where((F.size("_gone") == 0) | (F.btrim("_text", F.lit(common.BLANKS)) != ""))
-    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    """The documents without their dropped lines, with docs' own columns, whatever their names; n_chars, if there is such a
+    column, follows the text. A document whose non-blank lines are all dropped goes; one without lines (null, empty, blank)
+    stays. Rows that repeat in id and text count as one document and are treated the same. An empty table gives no rows."""
+    found = by_document(docs.select("doc_id", "text"))
+    gone = F.transform(F.filter("alike", lambda x: ~x["kept"]), lambda x: x["line"])
+    found = found.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), gone.alias("gone")).where(F.size("gone") > 0)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text", F.lit(1)).alias("text_hash"))
+    rows = whole.join(found, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
+    kept = F.filter(F.split("row.text", "\n", -1), lambda x, i: ~F.array_contains("gone", i))
+    rows = rows.select("row", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n")).alias("text"), F.col("gone").isNotNull().alias("cut"))
+    rows = rows.where(~F.col("cut") | (F.btrim("text", F.lit(common.BLANKS)) != ""))
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("cut"), F.length("text")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {"text": F.col("text")}
+    return rows.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
