@@ -86,11 +86,12 @@ def mix_plan(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix with docs' own columns, a row for each copy taken. Texts are not shuffled: a document's place
-    is drawn again from its id and held against its source's threshold."""
+    """The documents of the mix with docs' own columns, whatever their names, a row for each copy taken. Texts are not
+    shuffled: a document's place is drawn again from its id and held against its source's threshold. Null texts have no words;
+    rows of one id stand or fall together; an empty table gives no rows."""
     _, limits = draw(docs.select("doc_id", "source", "text"), **options)
-    limits = common.broadcast_if_small(limits).alias("g")
-    rows = docs.alias("d").join(limits, F.col("d.source").eqNullSafe(F.col("g.source"))).withColumn("place", place(F.col("d.doc_id")))
+    limits = common.broadcast_if_small(limits.select(F.col("source").alias("of"), "whole", "last"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("own"), place(F.col("doc_id")).alias("place"))
     n = copies(options.get("most", 3.0)).cast("int")
-    rows = rows.where(n > 0).select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(0), n)).alias("_copy"))
-    return rows.drop("_copy")
+    rows = rows.join(limits, F.col("own").eqNullSafe(F.col("of"))).where(n > 0)
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), n)).alias("copy")).select("row.*")

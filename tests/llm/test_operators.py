@@ -260,9 +260,48 @@ def test_jaccard_join_counts_every_link(spark, monkeypatch, block_rows):
     assert {x.doc_id: x.n_links for x in jaccard.join(spark.createDataFrame(data, "doc_id long, text string")).collect()} == expected
 
 
-def test_prefixes_are_shortened_until_the_recall_is_met():
-    d = jaccard.matched_depth(0.995)
-    assert jaccard.recall(d) >= 0.995 > jaccard.recall(d + 1)
+def word_sets(rows_):
+    return {d: frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if (w := lower_words(t)) else frozenset() for d, t in rows_}
+
+
+def edited(r, words, n):
+    w = list(words)
+    for _ in range(n):
+        w[r.randrange(len(w))] = f"edit{r.randrange(10**6)}"
+    return " ".join(w)
+
+
+def test_matched_prefixes_are_shortened_until_the_sample_has_the_recall(spark):
+    r = random.Random(31)
+    stem = prose(r, 200).split()
+    few = spark.createDataFrame(list(enumerate(prose(r, 60) for _ in range(40))), "doc_id long, text string")
+    assert jaccard.matched_depth(few, jaccard.signed(few)) == max(d for d in range(2, 11) if jaccard.expected_recall(d) >= jaccard.RECALL)
+    near = [(k, edited(r, stem, 1)) for k in range(60)]  # all links are of 0.9 and more: deep prefixes find them
+    df = spark.createDataFrame(near, "doc_id long, text string")
+    deep = jaccard.matched_depth(df, jaccard.signed(df))
+    far = [(k, edited(r, stem, r.randint(2, 4))) for k in range(60)]
+    df = spark.createDataFrame(far, "doc_id long, text string")
+    assert deep > jaccard.matched_depth(df, jaccard.signed(df))
+
+
+def test_jaccard_join_recall_against_brute_force(spark):
+    """Every row whose id is divisible by 50, against all rows."""
+    r = random.Random(32)
+    stems = [prose(r, 120).split() for _ in range(40)]
+    data = [(k, edited(r, stems[k % 40], r.randint(0, 3))) for k in range(1_000)]
+    sets = word_sets(data)
+    want = {d: len({s for s in sets.values() if s != sets[d] and jaccard_of(s, sets[d]) >= 0.8}) for d in sets if d % 50 == 0}
+    got = {x.doc_id: x.n_links for x in jaccard.join(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert sum(want.values()) > 100 and all(got[d] <= n for d, n in want.items())
+    assert sum(got[d] for d in want) / sum(want.values()) >= 0.9
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    r = random.Random(33)
+    a, b, c = (prose(r, 60) for _ in range(3))
+    data = [(1, a), (5, a), (5, b), (6, b + " more"), (None, a), (None, c), (7, c), (8, b), (8, b)]
+    left = jaccard.deduplicated(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted(((x.doc_id, x.text) for x in left), key=str) == sorted([(1, a), (5, b), (7, c)], key=str)
 
 
 # --- packing
