@@ -160,6 +160,12 @@ RUN_FILES = ["manifest.json", "requirements.json", "requirements_enriched.json",
 RUN_OUTPUTS = ["requirements.json", "requirements_enriched.json", "requirements_clean.json", "compliance_matrix.xlsx"]
 TEXT_EXTENSIONS = ["txt", "md", "rst", "csv", "tsv", "json", "jsonl", "yaml", "yml", "html", "htm", "xml"]
 SKIPPED_FOLDERS = ["__pycache__", ".git", ".venv", "venv"]
+#: req id, requirement, notes, confidence, file, chunk, section, table, row
+MOCK_ITEMS = [
+    ("BIOS-4", "PXE boot support from management I/O ports. PXE activated by pressing 'L' on serial console during BIOS boot.", "", 0.9, None, None, "Table 3", "BIOS Requirements", "BIOS 4"),
+    ("HOST-36", "FIPS 140-2 Level 2 compliance. Visual opacity shall restrict observation through vents.", "", 0.9, None, None, "4.3", "Table 1: Host System Requirements", "HOST 36"),
+    ("AUTO-mock-1-001", "RAM: Random Access Memory", "GLOSSARY/DEFINITION", 0.6, "mock.docx", 1, None, None, None),
+]
 MOCK_NOTE = "No-AI mock extraction for UI flow testing only"
 DERIVED_NOTE = "Derived from spec table — no explicit shall/must"
 

@@ -40,22 +40,38 @@ def latest(df: DataFrame, key: list[str], by: list[Column]) -> DataFrame:
     return picked.select(*key, "_row.*")
 
 
-def running_count(df: DataFrame, flag: Column, within: list[str], out: str, pos: str = "pos", bits: int = 12) -> DataFrame:
-    """How many rows up to this one have the flag, in the order of pos inside each group.
-
-    Positions are cut into blocks of 2**bits. A block counts by itself and adds what the blocks before it hold, so a group of
-    any size is spread over tasks; only the blocks' totals are put in one order."""
-    df = df.withColumn("_block", F.shiftright(F.col(pos).cast("long"), bits)).withColumn("_flag", flag.cast("long"))
-    totals = df.groupBy(*within, "_block").agg(F.sum("_flag").alias("_n"))
-    before = Window.partitionBy(*within).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(within)], F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    same = [F.col(c).eqNullSafe(F.col(f"_w{i}")) for i, c in enumerate(within)]
-    on = F.col("_block") == F.col("_b")
-    for s in same:
-        on = on & s
+def running_counts(df: DataFrame, flags: dict[str, Column], within: list[str], pos: str = "pos", bits: int = 12) -> DataFrame:
+    """For each flag a column: how many rows up to this one have it, in the order of pos inside each group.
+
+    Positions are cut into blocks of 2**bits, and blocks into runs of as many blocks. A block counts by itself and adds what the
+    blocks of its run and the runs before hold, so a group of any size is spread over tasks; only the runs' totals are put in
+    one order."""
+    names = list(flags)
+    df = df.withColumn("_block", F.shiftright(F.col(pos).cast("long"), bits)).withColumns({f"_flag_{n}": c.cast("long") for n, c in flags.items()})
+    totals = df.groupBy(*within, "_block").agg(*[F.sum(f"_flag_{n}").alias(f"_n_{n}") for n in names]).withColumn("_run", F.shiftright("_block", bits))
+    runs = totals.groupBy(*within, "_run").agg(*[F.sum(f"_n_{n}").alias(f"_r_{n}") for n in names])
+    earlier = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*[F.col(c).alias(f"_v{i}") for i, c in enumerate(within)], F.col("_run").alias("_q"), *[F.coalesce(F.sum(f"_r_{n}").over(earlier(*within, "_run")), F.lit(0)).alias(f"_s_{n}") for n in names])
+    totals = totals.withColumns({f"_n_{n}": F.coalesce(F.sum(f"_n_{n}").over(earlier(*within, "_run", "_block")), F.lit(0)) for n in names})
+
+    def same(right: str, *pairs: tuple[str, str]) -> Column:
+        on = F.lit(True)
+        for i, c in enumerate(within):
+            on = on & F.col(c).eqNullSafe(F.col(f"{right}{i}"))
+        for x, y in pairs:
+            on = on & (F.col(x) == F.col(y))
+        return on
+
+    totals = totals.join(runs, same("_v", ("_run", "_q")))
+    totals = totals.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(within)], F.col("_block").alias("_b"), *[(F.col(f"_n_{n}") + F.col(f"_s_{n}")).alias(f"_before_{n}") for n in names])
     own = Window.partitionBy(*within, "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = df.withColumn("_own", F.sum("_flag").over(own)).join(totals, on)
-    return rows.withColumn(out, F.col("_own") + F.col("_before")).drop("_block", "_b", "_flag", "_own", "_before", *[f"_w{i}" for i in range(len(within))])
+    rows = df.withColumns({f"_own_{n}": F.sum(f"_flag_{n}").over(own) for n in names}).join(totals, same("_w", ("_block", "_b")))
+    rows = rows.withColumns({n: F.col(f"_own_{n}") + F.col(f"_before_{n}") for n in names})
+    return rows.drop("_block", "_b", *[f"_w{i}" for i in range(len(within))], *[f"_{k}_{n}" for n in names for k in ("flag", "own", "before")])
+
+
+def running_count(df: DataFrame, flag: Column, within: list[str], out: str, pos: str = "pos", bits: int = 12) -> DataFrame:
+    return running_counts(df, {out: flag}, within, pos, bits)
 
 
 def glue_replaceable(df: DataFrame) -> DataFrame:
@@ -169,7 +185,8 @@ def sheet_rows(chunk: Column) -> Column:
 
     def of(pattern: str, file: Column | None) -> Column:
         heads = lambda k: F.regexp_extract_all(chunk, F.lit(U + pattern), k)
-        texts = F.slice(F.split(chunk, U + pattern), 2, 1_000_000)
+        parts = F.split(chunk, U + pattern)
+        texts = F.slice(parts, F.lit(2), F.size(parts))
         names = heads(1) if file is None else F.transform(heads(1), lambda _: file)
         k = 2 if file is None else 1
         return F.transform(F.arrays_zip(names.alias("f"), heads(k).alias("s"), heads(k + 1).alias("r"), texts.alias("t")), lambda x: F.struct(x["f"].alias("file"), x["s"].alias("sheet"), x["r"].cast("int").alias("row"), strip(x["t"]).alias("text")))
@@ -191,8 +208,7 @@ def best_row(text: Column, rows: Column) -> Column:
 
 def failure_gate(attempts: DataFrame, most: int = 20, least_attempts: int = 10, most_percent: float = 10.0) -> DataFrame:
     """Adds failed_so_far, attempted_so_far and abort to (case_id, pos, failed): whether a run stops at this attempt."""
-    df = running_count(attempts, F.col("failed"), ["case_id"], "failed_so_far")
-    df = running_count(df, F.lit(True), ["case_id"], "attempted_so_far")
+    df = running_counts(attempts, {"failed_so_far": F.col("failed"), "attempted_so_far": F.lit(True)}, ["case_id"])
     percent = 100.0 * F.col("failed_so_far") / F.greatest("attempted_so_far", F.lit(1))
     return df.withColumn("abort", F.col("failed") & ((F.col("failed_so_far") > most) | ((F.col("attempted_so_far") >= least_attempts) & (percent > most_percent))))
 

@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder and read from there, so that what several later steps need is made once. The
-    folder is the session's spark.checkpoint.dir; only a local session without one gets a folder of its own."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only a local session without one gets a folder of its own."""
     sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None)
         if not where:
             if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             where = tempfile.mkdtemp(prefix="gristmill-")
         sc.setCheckpointDir(where)
+    return (where or sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read from there, so that what several later steps need is made once."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

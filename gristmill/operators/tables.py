@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import fixed as X
+from gristmill.functions.predicates import is_normalized
 from gristmill.functions.rules import bucket
 from gristmill.functions.scalars import file_name, first_category
 from gristmill.functions.text import either, given, strip
@@ -118,7 +119,8 @@ def review_filter(items: DataFrame, responses: DataFrame, status: str = "All", c
 
 
 def run_stats(items: DataFrame) -> DataFrame:
-    """One row for each case: totals by type, the number of duplicate ids and the least one, empty fields, missing (null) keys."""
+    """One row for each case: totals by type, the number of duplicate ids and the least one (duplicate_ids() lists more), empty
+    fields, missing (null) keys."""
     req = F.col("type") == "requirement"
     empty = lambda c: strip(F.col(c)) == ""
     stats = items.groupBy("case_id").agg(
@@ -130,6 +132,38 @@ def run_stats(items: DataFrame) -> DataFrame:
     return stats.join(ids, "case_id", "left").withColumns({"duplicate_ids": F.coalesce("duplicate_ids", F.lit(0)), "first_duplicate": F.coalesce("first_duplicate", F.lit(""))})
 
 
+def duplicate_ids(items: DataFrame, most: int = 10) -> DataFrame:
+    """case_id, n, first_ids: how many ids a case has twice and more, and the first of them, by id."""
+    twice = items.where(F.coalesce("req_id", F.lit("")) != "").groupBy("case_id", "req_id").count().where("count > 1")
+    ranked = twice.withColumn("_k", F.row_number().over(Window.partitionBy("case_id").orderBy("req_id")))
+    return ranked.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("_k") <= most, F.col("req_id")))).alias("first_ids"))
+
+
+def first_changed(decisions: DataFrame, most: int = 5) -> DataFrame:
+    """The first changed items of each case in the order of pos, with what changed."""
+    rows = decisions.where("reason = 'changed'").withColumn("_k", F.row_number().over(Window.partitionBy("case_id").orderBy("pos")))
+    return rows.where(F.col("_k") <= most).select("case_id", F.col("_k").alias("nth"), "req_id", "pos", "changed_fields")
+
+
+def least_confidence(schema_files: DataFrame) -> DataFrame:
+    """The least confidence over the files of each case's schema; one that is not given counts 0."""
+    return schema_files.groupBy("case_id").agg(F.min(F.coalesce("confidence", F.lit(0.0))).alias("confidence"))
+
+
+def normalization_state(items: DataFrame) -> DataFrame:
+    """What all runs so far have made of a case: rewritten and flagged rows, eligible ones, those done and left."""
+    eligible = F.lower(F.coalesce("type", F.lit(""))) == "requirement"
+    done = is_normalized(F.col("rewrite_reason"), F.col("normalized_requirement"))
+    out = items.groupBy("case_id").agg(F.count(F.lit(1)).alias("items"), F.count_if(strip(F.col("normalized_requirement")) != "").alias("rewritten"), F.count_if(F.coalesce("needs_rewrite_review", F.lit(False))).alias("to_review"), F.count_if(eligible).alias("eligible"), F.count_if(eligible & done).alias("done"))
+    return out.withColumn("left", F.col("eligible") - F.col("done"))
+
+
+def rewrite_reasons(items: DataFrame) -> DataFrame:
+    """Rows of each case by the reason of their rewriting, where there is one."""
+    reason = strip(F.col("rewrite_reason"))
+    return items.where(reason != "").groupBy("case_id", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def distribution(items: DataFrame, column: str, out: str = "n") -> DataFrame:
     key = first_category(F.col(column)) if column == "category" else F.col(column)
     return items.groupBy(either(key, "(none)").alias("key")).agg(F.count(F.lit(1)).alias(out))
@@ -166,12 +200,15 @@ def review_rows(items: DataFrame) -> DataFrame:
 
 
 def by_priority(sources: list[DataFrame]) -> DataFrame:
-    """Of several sources of a case's items the first that has the case: later ones by anti join on the case, then a union."""
-    out = sources[0]
-    for s in sources[1:]:
-        new = s.join(out.select("case_id").distinct(), "case_id", "left_anti")
-        out = out.unionByName(new, allowMissingColumns=True)
-    return out
+    """Of several sources of a case's items the first that has the case. Each source is read for its cases and for its rows:
+    one least rank by case decides for all."""
+    has = [s.select("case_id", F.lit(k).alias("_rank")) for k, s in enumerate(sources)]
+    rows = [s.withColumn("_rank", F.lit(k)) for k, s in enumerate(sources)]
+    first, out = has[0], rows[0]
+    for h, r in zip(has[1:], rows[1:], strict=True):
+        first, out = first.union(h), out.unionByName(r, allowMissingColumns=True)
+    first = first.groupBy("case_id").agg(F.min("_rank").alias("_rank"))
+    return out.join(first, ["case_id", "_rank"]).drop("_rank")
 
 
 def reviewed_as_items(reviewed: DataFrame) -> DataFrame:

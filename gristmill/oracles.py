@@ -284,6 +284,11 @@ ORACLE_SQL: dict[str, str] = {
     "source_priority": f"WITH c AS ({CLEAN}) SELECT case_id, pos, req_id, CASE case_id WHEN 'case0' THEN 'reviewed' WHEN 'case1' THEN 'clean' ELSE 'raw' END AS src FROM c WHERE case_id <> 'case0' OR pos % 4 = 0",
     "reviewed_load": f"WITH c AS ({CLEAN}) SELECT case_id, pos, req_id, requirement, category, must_level, owner FROM c WHERE pos % 6 <> 0",
     "run_stats": f"WITH c AS ({CLEAN}), d AS (SELECT case_id, count(*) AS duplicate_ids, min(req_id) AS first_duplicate FROM (SELECT case_id, req_id FROM c GROUP BY ALL HAVING count(*) > 1) GROUP BY case_id) SELECT case_id, count(*) AS total_items, count(*) FILTER (WHERE type = 'requirement') AS requirements, count(*) FILTER (WHERE type = 'glossary') AS glossary, count(*) FILTER (WHERE type IN ('note', 'junk')) AS notes, count(*) FILTER (WHERE type = 'requirement' AND trim(requirement) = '') AS empty_requirement, count(*) FILTER (WHERE type = 'requirement' AND trim(category) = '') AS empty_category, count(*) FILTER (WHERE type = 'requirement' AND trim(owner) = '') AS empty_owner, count(*) FILTER (WHERE type = 'requirement' AND must_level IS NULL) AS missing_must_level, coalesce(any_value(d.duplicate_ids), 0) AS duplicate_ids, coalesce(any_value(d.first_duplicate), '') AS first_duplicate FROM c LEFT JOIN d USING (case_id) GROUP BY case_id",
+    "duplicate_ids": f"WITH c AS ({CLEAN}), d AS (SELECT case_id, req_id FROM c WHERE req_id <> '' GROUP BY ALL HAVING count(*) > 1) SELECT case_id, count(*) AS n, array_to_string(list(req_id ORDER BY req_id)[:10], ',') AS first_ids FROM d GROUP BY case_id",
+    "normalization_state": f"WITH c AS ({CLEAN}) SELECT case_id, count(*) AS items, count(*) FILTER (WHERE trim(normalized_requirement) <> '') AS rewritten, count(*) FILTER (WHERE needs_rewrite_review) AS to_review, count(*) FILTER (WHERE type = 'requirement') AS eligible, count(*) FILTER (WHERE type = 'requirement' AND (trim(rewrite_reason) NOT IN ('', 'not_attempted') OR trim(normalized_requirement) <> '')) AS done, eligible - done AS \"left\" FROM c GROUP BY case_id",
+    "rewrite_reasons": f"WITH c AS ({CLEAN}) SELECT case_id, trim(rewrite_reason) AS reason, count(*) AS n FROM c WHERE trim(rewrite_reason) <> '' GROUP BY ALL",
+    "least_confidence": f"SELECT case_id, min(CASE WHEN ord % 50 > 0 THEN 0.5::DOUBLE + ord / 1000 ELSE 0.0 END) AS confidence FROM ({FILES}) GROUP BY case_id",
+    "first_changed": CACHE + " SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY pos) AS nth, req_id, pos, changed_fields FROM d WHERE reason = 'changed' QUALIFY nth <= 5",
     "dist_compare": f"WITH c AS (SELECT pos, CASE WHEN {first_cat('category')} = '' THEN '(none)' ELSE {first_cat('category')} END AS key, category FROM ({CLEAN}) WHERE type = 'requirement') SELECT key, count(*) FILTER (WHERE pos % 2 = 0) AS left_n, count(*) FILTER (WHERE pos % 3 = 0 AND category <> 'Thermal') AS right_n FROM c GROUP BY key HAVING left_n + right_n > 0",
     "distinct_domains": f"WITH c AS ({CLEAN}) SELECT 'category' AS domain, category AS value FROM c UNION SELECT 'owner', owner FROM c",
     "norm_stats": f"WITH c AS ({CLEAN}) SELECT coalesce(nullif(trim(rewrite_reason), ''), 'not_attempted') AS reason, count(*) AS n, count(*) FILTER (WHERE needs_rewrite_review) AS to_review, count(*) FILTER (WHERE rewrite_confidence > 0 AND rewrite_confidence < 0.6) AS low_confidence FROM c WHERE type = 'requirement' GROUP BY 1",

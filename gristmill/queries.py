@@ -34,7 +34,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    return d.withColumn("pos", F.col("doc_id") * 100_000 + F.col("line"))
+    return d.withColumn("pos", F.struct("doc_id", "line"))
 
 
 # --- export: entry point of a finished case
@@ -144,6 +144,28 @@ def run_stats(spark, sf_dir):
     return T.run_stats(clean_items(spark, sf_dir))
 
 
+@query
+def duplicate_ids(spark, sf_dir):
+    out = T.duplicate_ids(clean_items(spark, sf_dir))
+    return out.select("case_id", "n", F.array_join("first_ids", ",").alias("first_ids"))
+
+
+@query
+def normalization_state(spark, sf_dir):
+    return T.normalization_state(clean_items(spark, sf_dir))
+
+
+@query
+def rewrite_reasons(spark, sf_dir):
+    return T.rewrite_reasons(clean_items(spark, sf_dir))
+
+
+@query
+def least_confidence(spark, sf_dir):
+    files = _files(spark, sf_dir).select("case_id", F.when(F.col("ord") % 50 > 0, 0.5 + F.col("ord") / 1000).alias("confidence"))
+    return T.least_confidence(files)
+
+
 @query
 def dist_compare(spark, sf_dir):
     req = clean_items(spark, sf_dir).where("type = 'requirement'")
@@ -496,6 +518,12 @@ def cache_diff(spark, sf_dir):
     return A.decisions(A.item_metas(*_cached(spark, sf_dir, False), "m1"), old)
 
 
+@query
+def first_changed(spark, sf_dir):
+    """The first five changed items of each case."""
+    return T.first_changed(cache_diff(spark, sf_dir))
+
+
 @query
 def cache_summary(spark, sf_dir):
     (items, files), (old_items, old_files) = _cached(spark, sf_dir, False), _cached(spark, sf_dir, True)
@@ -565,13 +593,15 @@ def progress_state(spark, sf_dir):
 @query
 def progress_stream(spark, sf_dir):
     """The same as a stream over log files, run to its end."""
-    import tempfile
     import uuid
 
+    from gristmill.operators.settle import settled, shared_folder
     from gristmill.streaming.progress import run_progress
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    folder = f"{base}/progress-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/progress-{uuid.uuid4().hex}"
     df = read(spark, sf_dir, "events").select(F.concat(F.lit("run"), (F.col("user_id") % 20).cast("string")).alias("run"), F.col("event_id").alias("seq"), _progress_line().alias("line"))
     df.write.json(f"{folder}/log")
-    return run_progress(spark, f"{folder}/log", f"{folder}/out", f"{folder}/state")
+    out = settled(run_progress(spark, f"{folder}/log", f"{folder}/out", f"{folder}/state"))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return out

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import fixed as X
 from gristmill.functions import scalars as S
 from gristmill.functions.text import strip
+from gristmill.sources.pdf import page_texts
 
 BLOCK = "path string, ord int, kind string, sheet string, table int, row int, cells array<string>"
 
@@ -80,6 +81,15 @@ def json_map(documents: DataFrame, column: str, value: str) -> DataFrame:
     return documents.select(*rest, F.explode(parsed).alias("key", "_value")).select(*rest, "key", "_value.*")
 
 
+def line_counts(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> DataFrame:
+    """path and the number of lines that are not blank: how many errors, or parts, a log holds. Empty files count 0."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder).select("path")
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder).where(strip(F.col("value")) != "")
+    found = rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    name = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    return df.withColumn("_p", name(F.col("path"))).join(found.select(name(F.col("path")).alias("_p"), "n"), "_p", "left").select("path", F.coalesce("n", F.lit(0)).alias("n_lines"))
+
+
 def newest(files: DataFrame, *names: str) -> DataFrame:
     """The newest file of the first of the names that there is. files: path, mtime."""
     rank = F.array_position(F.array(*map(F.lit, names)), S.file_name(F.col("path")))
@@ -159,14 +169,16 @@ def plain_rows(content: bytes) -> Iterator[tuple]:
 
 
 def pdf_rows(content: bytes) -> Iterator[tuple]:
-    raise NotImplementedError("reading PDF needs a library that is not a dependency; register one in READERS['pdf']")
+    """A row for each page that shows text."""
+    for page, text in page_texts(content):
+        yield "page", None, None, page, [text]
 
 
 #: How a file is read, by its extension; a .doc is tried as a document, else taken as text. Others may be registered.
 READERS = {"docx": docx_rows, "doc": docx_rows, "xlsx": xlsx_rows, "xls": xlsx_rows, "txt": plain_rows, "md": plain_rows, "pdf": pdf_rows}
 
 
-def read_rows(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("docx", "doc", "xlsx", "xls", "txt", "md")) -> DataFrame:
+def read_rows(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("docx", "doc", "xlsx", "xls", "txt", "md", "pdf")) -> DataFrame:
     """Typed rows of all documents below a folder: path, ord, kind, sheet, table, row, cells."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     ext = F.element_at(F.split(F.lower(S.file_name(F.col("path"))), r"\."), -1)
@@ -219,6 +231,13 @@ def sheet_blocks(rows: DataFrame) -> DataFrame:
     return body.select("path", "ord", "sheet", "row", "row_id", "text", block.alias("block"))
 
 
+def page_blocks(rows: DataFrame) -> DataFrame:
+    """Blocks of PDF files: path, ord, page, text, block, one for each page that shows text."""
+    text = F.get("cells", F.lit(0))
+    block = F.concat(F.lit("[PDF PAGE "), F.col("row").cast("string"), F.lit("] "), text)
+    return rows.where("kind = 'page'").select("path", "ord", F.col("row").alias("page"), text.alias("text"), block.alias("block"))
+
+
 def _with_header(rows: DataFrame) -> DataFrame:
     head = rows.where("row = 1").select("path", "sheet", F.col("cells").alias("head"))
     return rows.where("row > 1").join(head, ["path", "sheet"])
