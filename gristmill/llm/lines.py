@@ -30,11 +30,6 @@ class Hashes:
         return cls(tuple(r.getrandbits(62) for _ in range(n)))
 
 
-def plain(line: Column) -> Column:
-    """What lines are compared by: lower case, no blanks at either end."""
-    return F.lower(F.btrim(line, F.lit(common.BLANKS)))
-
-
 def units(line: Column) -> Column:
     """Two bytes for each character (UTF-16 unit), so that a shingle is a slice."""
     return F.encode(line, "UTF-16BE")
@@ -45,10 +40,14 @@ def n_shingles(b: Column) -> Column:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, line (position), plain, key: the non-blank lines. key is the 64-bit hash that a line is known by."""
-    base = docs.select("doc_id", F.xxhash64("text", F.lit(1)).alias("text_hash"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "raw"))
-    base = base.select("doc_id", "text_hash", "line", plain(F.col("raw")).alias("plain")).where("plain <> ''")
-    return base.withColumn("key", F.xxhash64("plain"))
+    """doc_id, text_hash, line (position), plain, key: the non-blank lines. key is the 64-bit hash
+    that a line is known by; plain is what lines are compared by: lower case, no blanks at either end. Texts are put in lower
+    case whole, and blanks other than spaces are looked for only where a text has any."""
+    text = F.coalesce("text", F.lit(""))
+    base = docs.select("doc_id", F.xxhash64("text", F.lit(1)).alias("text_hash"), F.rlike(text, F.lit(r"[\t\x0B\f\r]")).alias("tabs"), F.lower(text).alias("low"))
+    base = base.select("doc_id", "text_hash", "tabs", F.posexplode(F.split("low", "\n", -1)).alias("line", "raw"))
+    plain = F.when(F.col("tabs"), F.btrim("raw", F.lit(common.BLANKS))).otherwise(F.trim("raw"))
+    return base.select("doc_id", "text_hash", "line", plain.alias("plain")).where("plain <> ''").withColumn("key", F.xxhash64("plain"))
 
 
 def minima(lines: DataFrame, hashes: Hashes, all_shingles: bool = False) -> DataFrame:
@@ -73,11 +72,12 @@ def banded(found: DataFrame) -> DataFrame:
 
 
 def hashed(rows: DataFrame, line: str, out: str) -> DataFrame:
-    """Replaces a text column by its shingles' hashes, repeats included. The units are a column of their own, made once a row."""
+    """Replaces a text column by its shingles' hashes, repeats included. The units are a column of their own, made once a row,
+    and a parameter of the outer function: read as a column, they would be copied for each shingle."""
     others = [c for c in rows.columns if c != line]
     rows = rows.select(*others, units(F.col(line)).alias("_b"))
-    each = F.transform(F.sequence(F.lit(1), 2 * n_shingles(F.col("_b")) - 1, F.lit(2)), lambda i: F.xxhash64(F.substring(F.col("_b"), i, F.lit(2 * SHINGLE))))
-    return rows.select(*others, each.alias(out))
+    of = lambda b: F.transform(F.sequence(F.lit(1), 2 * n_shingles(b) - 1, F.lit(2)), lambda i: F.xxhash64(F.substring(b, i, F.lit(2 * SHINGLE))))
+    return rows.select(*others, F.get(F.transform(F.array("_b"), of), F.lit(0)).alias(out))
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
@@ -123,7 +123,8 @@ def report(docs: DataFrame) -> DataFrame:
     drop; blank lines stay; an empty table gives no rows; other columns of docs play no part."""
     narrow = docs.select("doc_id", "text")
     found = by_document(narrow).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "alike")
-    counted = narrow.select("doc_id", F.xxhash64("text", F.lit(1)).alias("text_hash"), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
+    text = F.coalesce("text", F.lit(""))
+    counted = narrow.select("doc_id", F.xxhash64("text", F.lit(1)).alias("text_hash"), (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
     rows = counted.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
     alike = F.coalesce("alike", F.array().cast("array<struct<line:int,class_id:bigint,kept:boolean>>"))
     rows = rows.select("doc_id", "n_lines", alike.alias("alike"))
