@@ -39,28 +39,35 @@ def thresholds(sized: DataFrame, weights: tuple[float, ...], most: float, bits:
     """One row per source of a settled table (source, size, place): source_size, target, whole, last. Every document of the
     source is taken `whole` times, and once more if its place is not above `last`.
 
-    A histogram of sizes by (source, high hash bits) tells in which bucket the remaining budget ends; only that bucket's
-    documents are looked at one by one, and nothing else is sorted."""
-    shift = HASH_BITS - bits
-    histogram = common.settled(sized.groupBy("source", F.shiftright("place", shift).alias("bucket")).agg(F.sum("size").alias("size")))
+    A histogram of sizes by (source, upper hash bits) tells in which bucket the remaining budget ends. That bucket alone is
+    split by its next bits, and so on, until it holds one place: thresholds nest, and no document is sorted."""
+    histogram = common.settled(sized.groupBy("source", F.shiftright("place", HASH_BITS - bits).alias("bucket")).agg(F.sum("size").alias("size"), F.min("place").alias("least"), F.max("place").alias("greatest")))
     goal = targets(histogram.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-12))).otherwise(F.lit(0)).cast("long")
     goal = goal.withColumn("whole", whole).withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
     goal = common.settled(goal)
-    upto = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    running = histogram.withColumn("upto", F.sum("size").over(upto)).withColumn("before", F.col("upto") - F.col("size")).alias("h")
-    edge = running.join(common.broadcast_if_small(goal).alias("g"), F.col("h.source").eqNullSafe(F.col("g.source"))).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("upto")))
-    edge = common.settled(edge.select("h.source", "bucket", "before", "rest"))
-    inside = sized.alias("d").join(common.broadcast_if_small(edge).alias("e"), F.col("d.source").eqNullSafe(F.col("e.source")) & (F.shiftright("d.place", shift) == F.col("e.bucket")))
-    inside = inside.groupBy("d.source", "place").agg(F.sum("d.size").alias("size"), F.first("before").alias("before"), F.first("rest").alias("rest"))
-    upto = W.partitionBy("source").orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow)
-    middle = F.col("before") + F.sum("size").over(upto) - F.col("size") / 2
-    cut = inside.withColumn("middle", middle).groupBy("source").agg(F.max(F.when(F.col("middle") <= F.col("rest"), F.col("place"))).alias("last"))
-    cut = edge.alias("e").join(cut.alias("c"), F.col("e.source").eqNullSafe(F.col("c.source"))).select("e.source", F.coalesce("last", F.shiftleft("bucket", shift) - 1).alias("last"))
+    open_ = goal.select(F.col("source").alias("of"), F.lit(0).cast("long").alias("spent"), "rest")
+    cuts, used = None, bits
+    while True:
+        upto = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
+        running = histogram.withColumn("upto", F.sum("size").over(upto)).join(common.broadcast_if_small(open_), F.col("source").eqNullSafe(F.col("of")))
+        running = running.withColumn("before", F.col("spent") + F.col("upto") - F.col("size"))
+        edge = common.settled(running.where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("spent") + F.col("upto"))).select("source", "bucket", "before", "rest", "size", "least", "greatest"))
+        # of the one place in which the budget ends, what comes nearer
+        last = F.when(F.col("before") + F.col("size") / 2 <= F.col("rest"), F.col("least")).otherwise(F.col("least") - 1)
+        found = edge.where("least = greatest").select(F.col("source").alias("of"), last.alias("last"))
+        cuts = found if cuts is None else cuts.union(found)
+        more = edge.where("least < greatest").select(F.col("source").alias("of"), F.col("bucket").alias("within"), F.col("before").alias("spent"), "rest")
+        if used >= HASH_BITS or more.isEmpty():
+            break
+        inside = sized.join(common.broadcast_if_small(more), F.col("source").eqNullSafe(F.col("of")) & (F.shiftright("place", HASH_BITS - used) == F.col("within")))
+        used = min(used + bits, HASH_BITS)
+        histogram = common.settled(inside.groupBy("source", F.shiftright("place", HASH_BITS - used).alias("bucket")).agg(F.sum("size").alias("size"), F.min("place").alias("least"), F.max("place").alias("greatest")))
+        open_ = more.select("of", "spent", "rest")
     # without an edge the budget's rest is all of the source or nothing
-    out = goal.alias("g").join(cut.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left")
+    out = goal.join(cuts, F.col("source").eqNullSafe(F.col("of")), "left")
     last = F.when(F.col("source_size") <= 0, F.lit(-1)).otherwise(F.coalesce("last", F.when(F.col("rest") >= F.col("source_size"), F.lit((1 << HASH_BITS) - 1)).otherwise(F.lit(-1))))
-    return common.settled(out.select("g.source", "source_size", "target", "whole", last.cast("long").alias("last")))
+    return common.settled(out.select("source", "source_size", "target", "whole", last.cast("long").alias("last")))
 
 
 def draw(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, bits: int = 14) -> tuple[DataFrame, DataFrame]:
