@@ -73,31 +73,29 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def telling(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """The TERMS terms, in at least LEAST_DOCS documents, whose presence tells most about the label (likelihood ratio)."""
-    key, back = np.unique(np.concatenate(docs) if docs else np.zeros(0, U64), return_inverse=True)
-    label = np.repeat(y, [len(d) for d in docs])
-    a = np.bincount(back, label, len(key))
-    n, many, toxic = np.bincount(back, minlength=len(key)).astype(float), float(len(docs)), float(y.sum())
-    g = np.zeros(len(key))
-    for o, e in ((a, n * toxic / many), (n - a, n * (many - toxic) / many), (toxic - a, (many - n) * toxic / many), (many - toxic - n + a, (many - n) * (many - toxic) / many)):
-        g += np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0)
-    ok = np.flatnonzero(n >= LEAST_DOCS)
-    return np.sort(key[ok[np.argsort(-g[ok], kind="stable")[:TERMS]]])
-
-
-def train(docs: list[np.ndarray], y: np.ndarray, weights: np.ndarray, epochs: int = 30, batch: int = 64, rate: float = 0.1, sparse: float = 2e-4, seed: int = 3) -> Machine:
-    """AdaGrad on the weighted logistic loss, with an L1 penalty on the linear weights."""
-    keys = telling(docs, y)
+def telling(sample: DataFrame, count: int = TERMS) -> np.ndarray:
+    """The `count` terms of a sample (toxic, terms), in at least LEAST_DOCS documents, whose presence tells most about the
+    label (likelihood ratio). Terms are counted where they are; only those chosen come to the driver."""
+    toxic = F.col("toxic") > 0
+    total = sample.agg(F.count(F.lit(1)).cast("double").alias("many"), F.count_if(toxic).cast("double").alias("bad")).first()
+    many, bad = F.lit(total["many"]), F.lit(total["bad"])
+    each = sample.select(toxic.alias("toxic"), F.explode("terms").alias("term")).groupBy("term").agg(F.count_if("toxic").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("n"))
+    a, n = F.col("a"), F.col("n")
+    part = lambda o, e: F.when(o > 0, o * F.ln(F.greatest(o, F.lit(1e-9)) / F.greatest(e, F.lit(1e-9)))).otherwise(0.0)
+    tells = part(a, n * bad / many) + part(n - a, n * (many - bad) / many) + part(bad - a, (many - n) * bad / many) + part(many - bad - n + a, (many - n) * (many - bad) / many)
+    best = each.where(n >= LEAST_DOCS).select("term", tells.alias("tells")).orderBy(F.desc("tells"), "term").limit(count)
+    return np.sort(np.array([r.term for r in best.select("term").collect()], np.int64)).astype(U64)
+
+
+def train(keys: np.ndarray, docs: list[np.ndarray], y: np.ndarray, weights: np.ndarray, epochs: int = 30, batch: int = 64, rate: float = 0.1, sparse: float = 2e-4, seed: int = 3) -> Machine:
+    """AdaGrad on the weighted logistic loss, with an L1 penalty on the linear weights. docs: of each document its terms, as
+    places in the sorted array keys."""
     m, rng = len(keys), np.random.default_rng(seed)
     theta = np.zeros((m, FACTORS + 1))
     theta[:, 1:] = rng.normal(0, 0.01, (m, FACTORS))
     prior = float(np.clip((weights * y).sum() / max(weights.sum(), 1e-9), 1e-3, 1 - 1e-3))
     bias, heat, bias_heat = float(np.log(prior / (1 - prior))), np.full((m, FACTORS + 1), 1e-3), 1e-1
-    rows = []
-    for d in docs if m else []:
-        at = np.minimum(np.searchsorted(keys, d), m - 1)
-        rows.append(at[keys[at] == d])
+    rows = [d.astype(np.int64) for d in docs]
     for _ in range(epochs if m else 0):
         order = rng.permutation(len(rows))
         for i in range(0, len(order), batch):
@@ -123,8 +121,9 @@ def train(docs: list[np.ndarray], y: np.ndarray, weights: np.ndarray, epochs: in
 
 def fitted(docs: DataFrame, labels: DataFrame, learn, per_class: int = SAMPLE_DOCS) -> Machine | None:
     """Learns from at most about per_class labelled documents of each class for which `learn` holds; classes are weighed back
-    to their shares. The terms are made where the documents are; only their hash buckets come to the driver. Where a document
-    has several labels the highest counts; null labels and ids don't. None where nothing is labelled."""
+    to their shares. Terms are made and chosen where the documents are; of a document only its places among the chosen ones
+    come to the driver, TERMS at most. Where a document has several labels the highest counts; null labels and ids don't. None
+    where nothing is labelled."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(learn)
     counts = {r[0]: r[1] for r in marks.groupBy((F.col("toxic") > 0).cast("int")).count().collect()}
     if not counts:
@@ -137,15 +136,27 @@ def fitted(docs: DataFrame, labels: DataFrame, learn, per_class: int = SAMPLE_DO
         for b in batches:
             for part, data, ends in slices(b, "text"):
                 x, bounds = terms(data, ends)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x[a:z].astype(np.uint32).tobytes() for a, z in zip(bounds, bounds[1:], strict=False)], pa.binary())], ["doc_id", "toxic", "terms"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(x.astype(np.int64)))], ["doc_id", "toxic", "terms"])
 
-    got = rows.mapInArrow(gather, "doc_id long, toxic int, terms binary").toArrow().sort_by("doc_id")
+    sample = common.settled(rows.mapInArrow(gather, "doc_id long, toxic int, terms array<long>"))
+    keys = telling(sample)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for x in b.column(2).to_pylist():
+                x = np.array(x, np.int64).astype(U64)
+                at = np.minimum(np.searchsorted(keys, x), max(len(keys) - 1, 0))
+                found.append((at[keys[at] == x] if len(keys) else at[:0]).astype(np.uint16).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["doc_id", "toxic", "places"])
+
+    got = sample.mapInArrow(place, "doc_id long, toxic int, places binary").toArrow().sort_by([("doc_id", "ascending"), ("places", "ascending")])
     y = (got.column("toxic").to_numpy() > 0).astype(np.float64)
     if not len(y):
         return None
     share = [counts.get(k, 0) / max((y == k).sum(), 1) for k in (0, 1)]
     weights = np.where(y > 0, share[1], share[0])
-    return train([np.frombuffer(t, np.uint32).astype(U64) for t in got.column("terms").to_pylist()], y, weights / weights.mean())
+    return train(keys, [np.frombuffer(t, np.uint16) for t in got.column("places").to_pylist()], y, weights / weights.mean())
 
 
 def scored(docs: DataFrame, machine: Machine | None) -> DataFrame:
