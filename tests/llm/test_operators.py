@@ -127,6 +127,33 @@ def test_lines_of_repeated_content_meet_at_any_length(spark):
     assert {k: got.get(k, k) for k in sets} == expected
 
 
+def test_many_lines_with_a_shared_start(spark):
+    """A group of hundreds of lines around few leaders, most of them unlike each other: what is dropped is exactly what is like
+    an earlier line, as the candidates of equal starts allow."""
+    r = random.Random(61)
+    start = prose(r, 18)
+    pool = [start + " " + prose(r, 14) for _ in range(500)]
+    data = [(k, pool[k]) for k in range(500)] + [(500 + k, pool[2 * k][:-1] + "#") for k in range(250)]
+    sets = {d: line_sets(t)[0] for d, t in data}
+    root = classes_of(sorted(sets), lambda a, b: jaccard_of(sets[a], sets[b]) >= 0.8)
+    got = {x.doc_id: x.n_dropped for x in lines.report(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    wrong = [d for d in sets if got[d] and root[d] == d]
+    missed = [d for d in sets if not got[d] and root[d] != d]
+    assert sum(root[d] != d for d in sets) >= 250 and not wrong and len(missed) <= 3
+
+
+def test_a_line_whose_shingles_are_all_passed_over_is_read_again(spark):
+    """Rulers and short periods have few distinct shingles, most often none in the quarter that is hashed first."""
+    pool = [c * n for c in "-=+*#~_.:;,!?/|" for n in (90, 130)] + [(a + b) * n for a in "abcd" for b in "wxyz" for n in (60, 80)]
+    found = lines.line_classes(spark.createDataFrame(list(enumerate(pool)), "doc_id long, text string")).collect()
+    by_class = defaultdict(set)
+    for x in found:
+        by_class[x.class_id].add(x.doc_id)
+    assert sorted(map(sorted, by_class.values())) == [[2 * k, 2 * k + 1] for k in range(len(pool) // 2)]
+    first = lines.minima(lines.line_table(spark.createDataFrame(list(enumerate(pool)), "doc_id long, text string")), lines.Hashes.drawn())
+    assert first.where("open").count() > 5
+
+
 def test_line_dedup_on_odd_rows(docs, empty):
     out = {x.doc_id: x for x in lines.report(docs).collect()}
     assert set(out) == {x[0] for x in rows()} and lines.report(docs).count() == docs.count()
@@ -502,6 +529,31 @@ def test_quality_matches_brute_force(docs, empty):
     assert Counter(map(tuple, flipped.collect())) == Counter(map(tuple, got))
 
 
+def test_repeated_windows_of_long_texts_and_of_colliding_hashes(spark, monkeypatch):
+    """With two bits for positions nearly no text can be packed; with sixty hashes differ in three bits only."""
+    r = random.Random(41)
+    data = [(k, " ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 60)))) for k in range(40)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want = {x.doc_id: x.n_repeat_words for x in quality.statistics(df).collect()}
+    for d, t in data:
+        w = t.split()
+        grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        assert want[d] == len({j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)})
+    for bits in (2, 60):
+        monkeypatch.setattr(quality, "POSITION_BITS", bits)
+        assert {x.doc_id: x.n_repeat_words for x in quality.statistics(df).collect()} == want
+
+
+def test_rules_are_ordered_by_what_was_measured(spark, monkeypatch):
+    rule = lambda n: quality.Rule(n, quality.F.lit(True))
+    monkeypatch.setattr(quality, "measured", lambda *_: [(0.1, 1.0), (0.5, 1.0), (0.0, 0.5), (0.4, 0.1), (0.0, 0.2)])
+    assert [r.name for r in quality.order_rules(None, [rule(n) for n in "abcde"])] == ["d", "b", "a", "e", "c"]
+    monkeypatch.undo()
+    sample = spark.range(100).withColumn("n_words", quality.F.lit(1))
+    (share, cost), = quality.measured(sample, [quality.Rule("half", quality.F.col("id") < 50)])
+    assert share == 0.5 and cost > 0
+
+
 # --- toxicity
 
 
@@ -538,9 +590,31 @@ def test_machine_learns_a_pairwise_interaction():
         y.append(float(a and b))
     ends = np.concatenate([[0], np.cumsum([len(t) for t in texts_])])
     x, bounds = toxicity.terms(np.frombuffer(b"".join(texts_), np.uint8), ends)
-    m = toxicity.train([x[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], np.array(y), np.ones(len(y)))
-    p = m.scores(np.frombuffer(b"".join(texts_), np.uint8), ends)
+    keys = np.unique(x)
+    m = toxicity.train(keys, [np.searchsorted(keys, x[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)], np.array(y), np.ones(len(y)))
+    data = np.frombuffer(b"".join(texts_), np.uint8)
+    p = m.scores(data, ends)
     assert ((p >= 0.5) == np.array(y)).mean() > 0.98
+    for k in range(0, 800, 40):  # the sum over pairs of terms, one by one
+        at = np.searchsorted(keys, x[bounds[k] : bounds[k + 1]])
+        z = m.bias + sum(m.w[i] for i in at) + sum(float(m.v[i] @ m.v[j]) for n, i in enumerate(at) for j in at[n + 1 :])
+        assert abs(p[k] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_telling_terms_match_a_plain_count(spark):
+    r = random.Random(14)
+    docs_ = [(int(r.random() < 0.3), sorted({r.randrange(60) for _ in range(12)})) for _ in range(200)]
+    docs_ = [(y, sorted({*t, 77}) if y and r.random() < 0.8 else t) for y, t in docs_]
+    many, bad = len(docs_), sum(y for y, _ in docs_)
+
+    def tells(term):
+        a, n = sum(y for y, t in docs_ if term in t), sum(term in t for _, t in docs_)
+        cells = ((a, n * bad), (n - a, n * (many - bad)), (bad - a, (many - n) * bad), (many - bad - n + a, (many - n) * (many - bad)))
+        return sum(o * math.log(o / (e / many)) for o, e in cells if o)
+
+    every = sorted({x for _, t in docs_ for x in t if sum(x in t for _, t in docs_) >= toxicity.LEAST_DOCS}, key=lambda x: (-round(tells(x), 9), x))
+    got = toxicity.telling(spark.createDataFrame(docs_, "toxic int, terms array<long>"), 10)
+    assert got.tolist() == sorted(every[:10]) and 77 in got
 
 
 # --- kernel
