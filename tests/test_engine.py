@@ -311,3 +311,143 @@ def test_rows_beyond_a_sheet_go_on_in_further_ones(spark, tmp_path):
         counts = [z.read(f"xl/worksheets/sheet{n}.xml").decode().count("<row ") - 1 for n in range(1, 6)]
     assert counts == [3, 3, 1, 3, 0]
     assert [x.split('"')[0] for x in book.split('<sheet name="')[1:]] == ["Main", "Main (2)", "Main (3)", "Full", "None"]
+
+
+def made_pdf(pages, compress=True, wide=False):
+    """A PDF file of one font whose pages show the given lines."""
+    import zlib
+
+    head = b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"", head]
+    if wide:
+        objects[2] = b"<< /Type /Font /Subtype /Type0 /ToUnicode 4 0 R >>"
+        objects.append(b"<< /Length 60 >>\nstream\n1 beginbfrange\n<0001> <005F> <0020>\nendbfrange\n1 beginbfchar\n<00FF> <4E2D>\nendbfchar\nendstream")
+    kids = []
+    for lines in pages:
+        shown = lambda t: b"<" + b"".join(b"%04X" % (0xFF if c == "中" else ord(c) - 31) for c in t) + b">" if wide else b"(" + t.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)").encode("cp1252") + b")"
+        body = b"BT /F1 12 Tf " + b" ".join(b"0 -14 Td " + shown(t) + b" Tj" for t in lines) + b" ET"
+        data, kind = (zlib.compress(body), b"/Filter /FlateDecode ") if compress else (body, b"")
+        objects.append(b"<< " + kind + b"/Length %d >>\nstream\n" % len(data) + data + b"\nendstream")
+        objects.append(b"<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % len(objects))
+        kids.append(len(objects))
+    objects[1] = b"<< /Type /Pages /Count %d /Kids [%s] >>" % (len(kids), b" ".join(b"%d 0 R" % k for k in kids))
+    return b"%PDF-1.4\n" + b"\n".join(b"%d 0 obj\n" % k + o + b"\nendobj" for k, o in enumerate(objects, 1)) + b"\ntrailer << /Root 1 0 R >>\n%%EOF"
+
+
+def test_pdf_pages(spark, tmp_path):
+    from gristmill.sources.pdf import page_texts
+
+    pages = [["The system (all of it) shall boot", "back\\slash"], [], ["third page"]]
+    want = [(1, "The system (all of it) shall boot back\\slash"), (3, "third page")]
+    assert list(page_texts(made_pdf(pages))) == want == list(page_texts(made_pdf(pages, compress=False)))
+    assert list(page_texts(made_pdf([["wide 中 text"]], wide=True))) == [(1, "wide 中 text")]
+    assert list(page_texts(b"%PDF-1.4 nothing here")) == []
+    with pytest.raises(ValueError):
+        list(page_texts(b"no pdf"))
+    (tmp_path / "a.pdf").write_bytes(made_pdf(pages))
+    got = files.page_blocks(files.read_rows(spark, str(tmp_path))).orderBy("page").collect()
+    assert [(x.page, x.block) for x in got] == [(n, f"[PDF PAGE {n}] {t}") for n, t in want]
+
+
+def block(path, at, cells, kind="row", sheet=None, table=None, row=None):
+    return (path, at, kind, sheet, table, row, cells)
+
+
+def sample_rows(spark):
+    rows = [block("/d/a.docx", k, [f"paragraph {k}"], "paragraph") for k in range(100)]
+    rows += [block("/d/a.docx", 100 + 10 * t + r, [f"id{t}.{r}", "", f"text {r}"], table=t, row=r) for t in range(1, 13) for r in range(1, 8)]
+    rows += [block("/d/b.xlsx", 10 * s + r, [str(k) for k in range(12)], sheet=f"S{s}", row=r) for s in range(6) for r in range(1, 10)]
+    rows += [block("/d/c.pdf", p, ["x" * 900], "page", row=p) for p in range(1, 9)]
+    return spark.createDataFrame(rows, files.BLOCK)
+
+
+def test_head_samples_are_bounded(spark):
+    from gristmill.plans import inference
+
+    got = {x.path: x.sample.split("\n") for x in inference.head_samples(sample_rows(spark)).collect()}
+    a, b, c = (got[f"/d/{n}"] for n in ("a.docx", "b.xlsx", "c.pdf"))
+    assert a[:3] == ["File: a.docx", "paragraph 0", "paragraph 1"] and sum(x.startswith("paragraph") for x in a) == 40
+    assert "Table 1 row 2: id1.2 | text 2" in a and "Table 1 id: id1.4" in a and "Table 1 id: id1.5" not in a and not any(x.startswith("Table 11") for x in a)
+    assert sum(" row " in x for x in b) == 16 and b[1] == "Sheet S0 row 1: 0 | 1 | 2 | 3 | 4 | 5 | 6 | 7"
+    assert len(c) == 6 and c[1] == "Page 1: " + "x" * 500
+
+
+def test_schemas_are_inferred_by_file_and_case(spark):
+    from gristmill.plans import inference
+
+    def factory():
+        def client(prompt):
+            if "one document" in prompt:
+                if "b.xlsx" in prompt:
+                    return "no json"
+                name = "a.docx" if "a.docx" in prompt else "c.pdf"
+                return json.dumps({"file": name, "format": "matrix", "is_main_requirement": name == "a.docx", "confidence": 0.8})
+            if "first rows of the sheet" in prompt:
+                return '{"header_row": 1, "req_id_col": 0, "requirement_col": 2}' if "S1" in prompt else "{}"
+            files_ = json.loads(next(x for x in prompt.split("\n") if x.startswith("[")))
+            return json.dumps({"rfq_format": "matrix", "main_files": [f["file"] for f in files_ if f["is_main_requirement"]]})
+
+        return client
+
+    found = inference.file_schemas(inference.head_samples(sample_rows(spark)), factory).cache()
+    assert {x.file: (x.format, x.is_main_requirement, x.confidence) for x in found.collect()} == {"a.docx": ("matrix", True, 0.8), "b.xlsx": ("unknown", False, 0.0), "c.pdf": ("matrix", False, 0.8)}
+    case = inference.case_schema(found, factory).collect()
+    assert len(case) == 1 and case[0].main_files == ["a.docx"] and inference.case_schema(found.limit(0), factory).count() == 0
+    columns_ = {x.sheet: x.requirement_col for x in inference.sheet_columns(sample_rows(spark), factory).collect()}
+    assert columns_["S1"] == 2 and columns_["S0"] is None
+
+
+def test_model_enrichment_overrides_by_field(spark):
+    from gristmill.plans import inference
+
+    items = spark.createDataFrame([("c", 1, "Fans {notes}", "quiet", "INFO", ["General"], "TBD", "PENDING", ["old"]), ("c", 2, "Bad answer", None, "MAY", ["BIOS"], "BIOS", "PENDING", [])], "case_id string, pos long, requirement string, notes string, must_level string, category array<string>, owner string, status string, redflag_messages array<string>")
+    prompts = [x.prompt for x in inference.enrich_prompts(items).orderBy("pos").collect()]
+    assert "Requirement: Fans {notes}" in prompts[0] and "Notes: quiet" in prompts[0] and "RF_CERT: FIPS" in prompts[0]
+
+    def factory():
+        return lambda p: '{"must_level": "MUST", "owner": "", "redflag_message": "loud", "stakeholder": ["PM"]}' if "Fans" in p else "broken"
+
+    got = {x.pos: x for x in inference.model_enriched(items, factory).collect()}
+    assert (got[1].must_level, got[1].owner, got[1].redflag_messages, got[1].stakeholder, got[1].llm_enriched) == ("MUST", "TBD", ["loud"], ["PM"], True)
+    assert (got[2].must_level, got[2].owner, got[2].redflag_messages, got[2].llm_enriched) == ("MAY", "BIOS", [], False)
+    assert [x.req_id for x in inference.mock_items(spark).collect()] == ["BIOS-4", "HOST-36", "AUTO-mock-1-001"]
+
+
+def test_settings_and_models():
+    from gristmill.functions import settings
+
+    got = settings.parsed_settings("# c\n\nexport a=1\nb = 'two words'\n=x\nnothing\nc=\"q\nd=e=f\n")
+    assert got == {"a": "1", "b": "two words", "c": '"q', "d": "e=f"}
+    assert settings.merged_settings({"a": "own"}, got)["a"] == "own" and settings.merged_settings({"a": "own"}, got, override=True)["a"] == "1"
+    m = settings.resolved_model({"openai.api_key": "secret", "timeout_seconds": "x"}, "small")
+    assert m.ready and m.model == "small" and m.timeout == 60 and "secret" not in str(m.shown())
+    m = settings.resolved_model({"provider": " Own ", "own.api_key": "k"}, "small")
+    assert not m.ready and m.missing == ("own.base_url", "own.model") and m.model == ""
+
+
+def test_positions_and_uncalled_helpers(spark, tmp_path):
+    chunk = "[TABLE 2 ROW 4][ROW_ID=HOST 36] a [TABLE 3 ROW 7] b [ROW_ID=BIOS-4] c [TABLE 5 ROW 1][ROW_ID=MB12]"
+    got = values(spark, S.table_position(A_, B_), ("RFQ-HOST-036", chunk), ("RFQ-BIOS-004", chunk), ("RFQ-MB-012", chunk), ("RFQ-X-1", chunk), ("x", "[TABLE 9 ROW 8] no id"), ("x", "nothing"))
+    assert [tuple(x) if x else None for x in got] == [(2, 4), (3, 7), (5, 1), (2, 4), (9, 8), None]
+    assert values(spark, S.short_source(A_, F.lit(3)), ("f.docx", "")) == ["f.docx#chunk3"]
+    assert values(spark, P.may_normalize(A_), ("Requirement", ""), ("note", ""), (None, "")) == [True, False, False]
+    assert values(spark, P.is_active(A_), ("auto_skip", ""), ("NEW", ""), (None, "")) == [False, True, True]
+    df = spark.createDataFrame([(1, [], ["x"], 10.0, 5, 20), (2, None, [], 10.0, 1, 20), (3, ["y"], None, 10.0, 20, 20)], "i int, a array<string>, b array<string>, s double, done long, total long")
+    assert [tuple(x) for x in df.select(P.has_flag(F.col("a"), F.col("b")).alias("f"), S.eta(F.col("s"), F.col("done"), F.col("total")).alias("e")).collect()] == [(True, 30), (False, None), (True, None)]
+    listed = spark.createDataFrame([("/a/z.pdf", "t1"), ("/a/b.docx", "t2"), ("/a/c.zip", "t3"), ("/a/a.txt", "t9"), ("/old/b.docx", "t1")], "path string, mtime string")
+    assert [x.path for x in T.by_extension(listed).collect()] == ["/a/b.docx", "/old/b.docx", "/a/z.pdf", "/a/a.txt"]
+    assert files.newest(listed, "none.json", "b.docx", "z.pdf").first().path == "/a/b.docx"
+    for name, text in (("one.jsonl", '{"a": 1}\n\n{"a": 2}\n'), ("two.jsonl", ""), ("three.txt", "x")):
+        (tmp_path / name).write_text(text)
+    assert sorted((x.path.rsplit("/", 1)[1], x.n_lines) for x in files.line_counts(spark, str(tmp_path)).collect()) == [("one.jsonl", 2), ("two.jsonl", 0)]
+    assert [x.text for x in files.text_files(spark, str(tmp_path), "*.txt").collect()] == ["x"]
+    (tmp_path / "d.json").write_text('{"a": 3}')
+    (tmp_path / "bad.json").write_text('{"a": ')
+    assert [x.a for x in files.json_documents(spark, str(tmp_path), "a long").collect()] == [3]
+    rows = spark.createDataFrame([("c1", 2, "b"), ("c1", 1, "a"), ("c2", 1, "z")], "case_id string, pos long, t string")
+    sinks.write_table(rows, str(tmp_path / "table"))
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 3
+    sinks.write_documents(rows, str(tmp_path / "docs"))
+    assert {x.case_id: [i.t for i in x["items"]] for x in spark.read.json(str(tmp_path / "docs")).collect()} == {"c1": ["a", "b"], "c2": ["z"]}
+    head = files.has_checklist(spark.createDataFrame([block("/x.xlsx", 0, ["Requirement", "Comply"], sheet="S", row=1)], files.BLOCK))
+    assert [x.path for x in head.collect()] == ["/x.xlsx"]
