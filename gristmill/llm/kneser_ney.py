@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +24,8 @@ SHARD_BYTES, FLUSH_TOKENS, SAMPLE_DOCS, SHARE = 16 << 20, 1_500_000, 2_000, 2e-4
 ID_BITS = 48
 BEGIN, END = U64(1), U64(2)
 SCORE_SLICE = 4 << 20
+#: Tables of shards that a task keeps mapped at once; each holds up to two open files.
+MAPPED = 128
 
 
 def six(a: np.ndarray) -> bytes:
@@ -107,7 +111,7 @@ def save(folder: str, name: str, **arrays: np.ndarray) -> None:
     for k, a in arrays.items():
         path = f"{folder}/{name}.{k}"
         os.makedirs(folder, exist_ok=True)
-        part = f"{path}.{os.getpid()}.part"
+        part = f"{path}.{uuid.uuid4().hex}.part"
         a.tofile(part)
         os.replace(part, path)
 
@@ -117,6 +121,30 @@ def mapped(folder: str, name: str, kind: str, dtype: str) -> np.ndarray:
     return np.memmap(path, dtype, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, dtype)
 
 
+class Tables:
+    """The sorted tables of a kind of shard, mapped when they are asked for; only the last MAPPED stay mapped."""
+
+    def __init__(self, read):
+        self.read, self.held = read, OrderedDict()
+
+    def __getitem__(self, s: int) -> tuple[np.ndarray, np.ndarray]:
+        if s in self.held:
+            self.held.move_to_end(s)
+        else:
+            self.held[s] = self.read(s)
+            if len(self.held) > MAPPED:
+                self.held.popitem(last=False)
+        return self.held[s]
+
+
+def parted(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard that occurs, and the places where it does, in order."""
+    order = np.argsort(shard, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1], [True]])) if len(shard) else np.zeros(1, np.int64)
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        yield int(shard[order[low]]), order[low:high]
+
+
 @dataclass
 class Model:
     """folder: where the shards are; frequent: words whose bigrams are spread over shards; totals and discounts."""
@@ -172,9 +200,7 @@ def fitted(docs: DataFrame, folder: str) -> Model:
     frequent = frequent_words(docs, size[0])
 
     def by_shard(shard: np.ndarray, *columns: np.ndarray) -> list[tuple[int, bytes]]:
-        order = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(shards + 1))
-        return [(s, pack(*(c[order[cut[s] : cut[s + 1]]] for c in columns))) for s in range(shards) if cut[s] < cut[s + 1]]
+        return [(s, pack(*(c[at] for c in columns))) for s, at in parted(shard)]
 
     def rows(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int64()), pa.array([b for _, b in found], pa.binary())], ["shard", "part"])
@@ -202,7 +228,8 @@ def fitted(docs: DataFrame, folder: str) -> Model:
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         s = int(group["shard"].iloc[0])
         key, before, token, c = count_pairs([tuple(unpack(b)) for b in group["part"]])
-        save(folder, f"pairs-{s}", keys=key, counts=np.minimum(c, (1 << 32) - 1).astype("<u4"))
+        wide = len(c) and int(c.max()) >= 1 << 32
+        save(folder, f"pairs-{s}", keys=key, **({"counts8": c.astype("<u8")} if wide else {"counts": c.astype("<u4")}))
         one = np.ones(len(key), np.int64)
         heads, figures = grouped_sums(before, c, (c == 1) * one, (c == 2) * one, (c >= 3) * one)
         tails, (met,) = grouped_sums(token, one)
@@ -235,22 +262,24 @@ def fitted(docs: DataFrame, folder: str) -> Model:
 
 
 class Scorer:
-    """Maps a model's arrays into memory and looks up a slice's words and bigrams, each distinct one once."""
+    """Maps a model's arrays into memory as they are needed and looks up a slice's words and bigrams, each distinct one once."""
 
     def __init__(self, model: Model):
         self.m = m = model
-        self.pairs = [(mapped(m.folder, f"pairs-{s}", "keys", "<u8"), mapped(m.folder, f"pairs-{s}", "counts", "<u4")) for s in range(m.shards)]
-        self.words = [(mapped(m.folder, f"words-{s}", "keys", "<u8"), mapped(m.folder, f"words-{s}", "figures", "<i8").reshape(-1, 5)) for s in range(m.shards)]
+        self.pairs = Tables(self.pair_table)
+        self.words = Tables(lambda s: (mapped(m.folder, f"words-{s}", "keys", "<u8"), mapped(m.folder, f"words-{s}", "figures", "<i8").reshape(-1, 5)))
+
+    def pair_table(self, s: int) -> tuple[np.ndarray, np.ndarray]:
+        counts = mapped(self.m.folder, f"pairs-{s}", "counts", "<u4")
+        return mapped(self.m.folder, f"pairs-{s}", "keys", "<u8"), counts if len(counts) else mapped(self.m.folder, f"pairs-{s}", "counts8", "<u8")
 
     @staticmethod
-    def lookup(key: np.ndarray, shard: np.ndarray, tables: list, width: tuple) -> np.ndarray:
+    def lookup(key: np.ndarray, shard: np.ndarray, tables: Tables, width: tuple) -> np.ndarray:
         """key is sorted; what is not there counts 0."""
         out = np.zeros((len(key), *width), np.int64)
-        order = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(len(tables) + 1))
-        for s, (keys, values) in enumerate(tables):
-            own = order[cut[s] : cut[s + 1]]
-            if len(own) and len(keys):
+        for s, own in parted(shard):
+            keys, values = tables[s]
+            if len(keys):
                 at = np.minimum(np.searchsorted(keys, key[own]), len(keys) - 1)
                 hit = keys[at] == key[own]
                 out[own[hit]] = values[at[hit]]

@@ -457,6 +457,25 @@ def test_kneser_ney_probabilities_sum_to_one(spark, tmp_path):
         assert abs(score(*w) - want) < 1e-9
 
 
+def test_a_model_of_many_shards_and_large_counts(spark, tmp_path, monkeypatch):
+    """More shards than stay mapped, and counts beyond 32 bits, score as one shard does."""
+    r = random.Random(16)
+    df = spark.createDataFrame([(k, prose(r, 60)) for k in range(60)], "doc_id long, text string")
+    one = kneser_ney.fitted(df, str(tmp_path / "one"))
+    monkeypatch.setattr(kneser_ney, "SHARD_BYTES", 200)
+    many = kneser_ney.fitted(df, str(tmp_path / "many"))
+    assert many.shards > 50 and (many.d1, many.d2, many.tokens, many.continued) == (one.d1, one.d2, one.tokens, one.continued)
+    monkeypatch.setattr(kneser_ney, "MAPPED", 7)
+    data = prose(r, 300).encode()
+    ends = np.array([0, 200, len(data)])
+    a, b = (kneser_ney.Scorer(m) for m in (one, many))
+    for x, y in zip(a.score(np.frombuffer(data, np.uint8), ends), b.score(np.frombuffer(data, np.uint8), ends), strict=True):
+        assert np.allclose(x, y, atol=1e-9)
+    assert len(b.pairs.held) <= 7 and len(b.words.held) <= 7
+    kneser_ney.save(str(tmp_path / "one"), "pairs-9", keys=np.array([1, 5], np.uint64), counts8=np.array([3, 1 << 40], "<u8"))
+    assert a.lookup(np.array([5], np.uint64), np.array([9]), a.pairs, ()).tolist() == [1 << 40]
+
+
 # --- mixing
 
 
