@@ -90,7 +90,7 @@ def sheet_columns(rows: DataFrame, factory: M.ClientFactory, template: str = COL
 
 def rules_context(book: R.RuleBook, most: int = 5) -> str:
     """The rule book as a prompt shows it: the first keywords of each category and flag."""
-    lines = ["Categories:", *(f"  {name}: {', '.join(words[:most])}" for name, words in book.category_keywords), "Flags:", *(f"  {r[0]}: {', '.join(r[1][:most])}" for r in book.redflags)]
+    lines = ["Categories:", *(f"  {name}: {', '.join(words[:most])}" for name, words in book.categories), "Flags:", *(f"  {r[0]}: {', '.join(r[1][:most])}" for r in book.redflags)]
     return "\n".join(lines)
 
 

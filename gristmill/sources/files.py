@@ -82,7 +82,8 @@ def json_map(documents: DataFrame, column: str, value: str) -> DataFrame:
 
 
 def line_counts(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> DataFrame:
-    """path and the number of lines that are not blank: how many errors, or parts, a log holds. Empty files count 0."""
+    """path and the number of lines that are not blank: how many errors, or parts, a log holds. A file
+    of blank lines counts 0; one without a byte gives no row, as Spark passes it over."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder).select("path")
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder).where(strip(F.col("value")) != "")
     found = rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("n"))

@@ -437,7 +437,7 @@ def test_positions_and_uncalled_helpers(spark, tmp_path):
     listed = spark.createDataFrame([("/a/z.pdf", "t1"), ("/a/b.docx", "t2"), ("/a/c.zip", "t3"), ("/a/a.txt", "t9"), ("/old/b.docx", "t1")], "path string, mtime string")
     assert [x.path for x in T.by_extension(listed).collect()] == ["/a/b.docx", "/old/b.docx", "/a/z.pdf", "/a/a.txt"]
     assert files.newest(listed, "none.json", "b.docx", "z.pdf").first().path == "/a/b.docx"
-    for name, text in (("one.jsonl", '{"a": 1}\n\n{"a": 2}\n'), ("two.jsonl", ""), ("three.txt", "x")):
+    for name, text in (("one.jsonl", '{"a": 1}\n\n{"a": 2}\n'), ("two.jsonl", "\n \n"), ("three.txt", "x")):
         (tmp_path / name).write_text(text)
     assert sorted((x.path.rsplit("/", 1)[1], x.n_lines) for x in files.line_counts(spark, str(tmp_path)).collect()) == [("one.jsonl", 2), ("two.jsonl", 0)]
     assert [x.text for x in files.text_files(spark, str(tmp_path), "*.txt").collect()] == ["x"]
