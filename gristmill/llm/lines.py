@@ -107,9 +107,10 @@ def line_classes(docs: DataFrame) -> DataFrame:
     classes = common.settled(roots.join(several, "node", "full_outer").select(F.col("node").alias("key"), F.coalesce("root", "node").alias("class_id")))
     alike = found.join(classes, "key").select("doc_id", "text_hash", "line", "class_id")
     first = alike.groupBy("class_id").agg(F.min(F.struct("doc_id", "text_hash", "line")).alias("first"))
-    alike = alike.join(first, "class_id")
-    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("text_hash").eqNullSafe(F.col("first.text_hash")) & (F.col("line") == F.col("first.line"))
-    return alike.select("doc_id", "text_hash", "line", "class_id", same.alias("kept"))
+    first = first.select(F.col("class_id").alias("of"), F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"), F.col("first.line").alias("at"))
+    # by class and place together, so that no class, however large, meets in one task
+    same = (F.col("class_id") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")) & (F.col("line") == F.col("at"))
+    return alike.join(first, same, "left").select("doc_id", "text_hash", "line", "class_id", F.col("of").isNotNull().alias("kept"))
 
 
 def by_document(docs: DataFrame) -> DataFrame:
