@@ -155,8 +155,9 @@ def test_a_line_whose_shingles_are_all_passed_over_is_read_again(spark):
 
 
 def test_line_dedup_on_odd_rows(docs, empty):
-    out = {x.doc_id: x for x in lines.report(docs).collect()}
-    assert set(out) == {x[0] for x in rows()} and lines.report(docs).count() == docs.count()
+    found = lines.report(docs).collect()
+    out, n = {x.doc_id: x for x in found}, len(found)
+    assert set(out) == {x[0] for x in rows()} and n == docs.count()
     assert out[None].n_lines == 1 and out[0].n_dropped == 0
     assert out[19].n_dropped == 1 and out[20].n_dropped == 1  # copies of document 0
     kept = lines.deduplicated(docs)
@@ -202,6 +203,32 @@ def test_tables_read_as_the_network_does():
     assert np.allclose(language.Reader(net).probabilities(x), p, atol=1e-4)
 
 
+def test_predictions_are_those_of_a_plain_loop_over_whole_texts(spark):
+    r = random.Random(19)
+    net = language.train([speech(r, x, 80) for x in ("xa", "yo", "zu") * 8], ["xa", "yo", "zu"] * 8, epochs=2)
+    data = [(k, speech(r, ("xa", "yo", "zu")[k % 3], n)) for k, n in enumerate((1, 3, 40, 200, 900))] + [(10, "GRÖSSE über"), (11, "a" * 256), (12, "12 !"), (13, None), (14, ""), (15, "x" + " " * 700)]
+
+    def plain(t):
+        raw = bytes(b + 32 if 65 <= b <= 90 else b for b in t.encode())
+        total, weight = np.zeros(3), 0
+        for i in range(0, max(len(raw), 1), language.WINDOW):
+            piece = raw[i : i + language.WINDOW]
+            e = net.embedding[np.frombuffer(piece.ljust(language.WINDOW), np.uint8)]
+            pooled = [np.maximum(np.max([e[k : k + w].reshape(-1) @ f + b for k in range(language.WINDOW - w + 1)], axis=0), 0) for w, f, b in zip(language.WIDTHS, net.filters, net.biases, strict=True)]
+            z = np.exp(np.concatenate(pooled) @ net.out + net.out_bias)
+            total += len(piece) * z / z.sum()
+            weight += len(piece)
+        return total / max(weight, 1)
+
+    for x in language.predicted(spark.createDataFrame(data, "doc_id long, text string"), net).collect():
+        t = dict(data)[x.doc_id]
+        if t is None or not any(c.isalpha() for c in t):
+            assert (x.lang_pred, x.score) == ("und", 0.0)
+        else:
+            p = plain(t)
+            assert x.lang_pred == net.languages[p.argmax()] and abs(x.score - p.max()) < 1e-4
+
+
 # --- fingerprints
 
 
@@ -230,6 +257,25 @@ def test_fingerprints(docs, empty, spark):
     assert one.near_next == 1.0
 
 
+def test_a_sketch_holds_every_shingle_hash_below_the_threshold(spark):
+    """Hash by hash: five words, one after the other the seed of the next, kept below a quarter of the range, else the least."""
+    import xxhash
+
+    def sketch(t):
+        w, out = WORD.findall(t), set()
+        for i in range(max(len(w) - 4, 1) if w else 0):
+            h = 42
+            for x in w[i : i + 5]:
+                h = xxhash.xxh64_intdigest(x.encode(), seed=h)
+            out.add(h - (1 << 64) if h >> 63 else h)
+        below = [h for h in out if h < fingerprints.NO_ID + (1 << 62)]
+        return "".join(f"{h & (1 << 64) - 1:016x}" for h in sorted(below or ([min(out)] if out else [])))
+
+    data = [(k, t) for k, t in enumerate(texts()) if t is not None]
+    got = {x.doc_id: x.fingerprint for x in fingerprints.fingerprinted(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {d: sketch(t) for d, t in data}
+
+
 def test_followers_of_many_keys(spark):
     r = random.Random(8)
     keys = sorted({r.randrange(-(1 << 40), 1 << 40) for _ in range(500)} | set(range(300)))
