@@ -91,7 +91,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     found = ws.write(banded(minima(line_table(docs), hashes)), "bands")
     again = common.settled(found.where("open").select("key"))
     if not again.isEmpty():
-        rest = common.only_near(line_table(docs), again).join(again, "key", "left_semi")
+        rest = common.only_near(line_table(docs), again).join(again, "key")  # a semi join would be pushed below the bitmap
         found = found.where("not open").union(common.settled(banded(minima(rest, hashes, True))))
     common.reclaim(spark)
     members = common.settled(shared_buckets(found.select("key", F.explode("bands").alias("bucket"))))
