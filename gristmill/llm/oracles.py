@@ -1,5 +1,8 @@
 """DuckDB SQL for the operators that SQL can express, over the tables as they stand."""
 
+from .clustering import CENTROIDS, DIMENSIONS, ROUNDS, SCALE
+from .licenses import template_grams
+
 WORDS = r"list_filter(regexp_split_to_array(coalesce({t}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 MIXING = r"""
@@ -59,3 +62,44 @@ c AS (SELECT conv_id, count(*) AS n_turns,
 SELECT conv_id, n_turns, turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars,
   regexp_full_match(roles, 's?(ua)+') AS valid FROM c
 """
+
+
+def clustering() -> str:
+    """Lloyd's rounds, one after the other, every vector against every centroid."""
+    to = lambda k: f"""
+a{k} AS (SELECT vec_id, row_id, arg_min(c, struct_pack(d := list_sum(list_transform(list_zip(p, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c := c)) AS c,
+  min(list_sum(list_transform(list_zip(p, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))::BIGINT AS d FROM v, c{k} GROUP BY vec_id, row_id)"""
+    moved = lambda k: f"""
+s{k} AS (SELECT c, i, sum(p[i])::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{k} JOIN v USING (row_id), range(1, {DIMENSIONS + 1}) AS r(i) GROUP BY c, i),
+m{k} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS m FROM s{k} GROUP BY c),
+c{k + 1} AS (SELECT c{k}.c, coalesce(m{k}.m, c{k}.m) AS m FROM c{k} LEFT JOIN m{k} ON c{k}.c = m{k}.c)"""
+    rounds = ",".join(f"{to(k)},{moved(k)}" for k in range(ROUNDS))
+    return f"""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings WHERE len(embedding) = {DIMENSIONS}),
+v AS (SELECT vec_id, row_number() OVER () AS row_id, list_transform(x, lambda y: floor({SCALE} * y)::BIGINT) AS p FROM e
+  WHERE len(list_filter(x, lambda y: y IS NOT NULL AND isfinite(y))) = {DIMENSIONS}),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, p AS m FROM v ORDER BY sha256('2:' || vec_id) LIMIT {CENTROIDS}),{rounds},{to(ROUNDS)}
+SELECT vec_id, a{ROUNDS}.c::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY a{ROUNDS}.c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a{ROUNDS} JOIN c{ROUNDS} ON a{ROUNDS}.c = c{ROUNDS}.c
+"""
+
+
+def licenses() -> str:
+    """Diagonal voting by words instead of hashes."""
+    grams = ", ".join(f"({t}, '{label}', {base}, {n}, {k}, {slack}, {share}, {j}, '{' '.join(g)}')" for t, label, base, n, k, slack, share, j, g in template_grams())
+    return rf"""
+WITH g(t, label, base, n, k, slack, share, j, gram) AS (VALUES {grams}),
+d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+e AS (SELECT r, w, unnest(range(len(w))) AS i FROM d),
+f AS (SELECT r, i, k, array_to_string(w[i + 1 : i + k], ' ') AS gram FROM e, (VALUES (2), (4)) AS x(k) WHERE i + k <= len(w)),
+l AS (SELECT r, t, label, base, n, g.k, slack, share, i - j AS diagonal, min(i) AS lo, bit_or(CASE g.k WHEN 2 THEN 3 ELSE 15 END::HUGEINT << j) AS covered
+  FROM f JOIN g ON f.k = g.k AND f.gram = g.gram GROUP BY ALL),
+m AS (SELECT *, coalesce((diagonal - lag(diagonal) OVER (PARTITION BY r, t ORDER BY diagonal) > slack)::INT, 0) AS new FROM l),
+o AS (SELECT *, sum(new) OVER (PARTITION BY r, t ORDER BY diagonal) AS island FROM m),
+s AS (SELECT r, label, base, min(lo) AS lo, bit_count(bit_or(covered)) / n AS part FROM o GROUP BY r, t, label, base, n, share, island HAVING bit_count(bit_or(covered)) / n >= share),
+h AS (SELECT r, count(*) FILTER (WHERE base) AS n_base, min(lo) FILTER (WHERE base) AS first_word, max(lo) FILTER (WHERE base) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(part) AS score FROM s GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN h USING (r)
+"""

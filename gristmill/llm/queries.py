@@ -1,4 +1,4 @@
-"""The contract queries op1 to op10, and the SQL that checks those SQL can express."""
+"""The contract queries op1 to op13, and the SQL that checks those SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprints, jaccard, kneser_ney, language, lines, mixing, oracles, packing, quality, toxicity
+from . import alignment, chat, clustering, fingerprints, jaccard, kneser_ney, language, licenses, lines, mixing, oracles, packing, quality, toxicity
 from .common import table
 
 
@@ -52,6 +52,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
@@ -63,10 +75,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_license_scan": op13_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_chat_formatting": oracles.CHAT,
     "op8_mixing": oracles.MIXING,
     "op9_quality_rules": oracles.QUALITY,
+    "op11_centroid_clustering": oracles.clustering(),
+    "op13_license_scan": oracles.licenses(),
 }
