@@ -1,4 +1,5 @@
-"""N-gram Jaccard join by a MinHash LSH forest: paths of minima in tries, matched prefixes shortened to a measured recall."""
+"""N-gram Jaccard join by a MinHash LSH forest: paths of minima in tries, matched prefixes shortened until each text has its
+recall."""
 
 from __future__ import annotations
 
@@ -7,23 +8,30 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
 from .components import linked_members, shared_buckets
 from .kernel import U64, mix, shingles, slices, words
 
-#: Words of a shingle, similarity, trees of the forest, depth of a tree (labels of a path), bytes of a label, target recall.
-SHINGLE, SIMILAR, TREES, DEPTH, LABEL, RECALL = 5, 0.8, 12, 10, 4, 0.995
-#: The sample that the recall is measured on: texts, others that they are held against, the depth at which candidates are
-#: looked up, pairs that are compared exactly, and links that must be among them; with fewer links the recall is taken to be
-#: that of texts just similar enough.
-PROBES, OTHERS, SHALLOW, PAIRS, LEAST_LINKS = 500, 100_000, 2, 20_000, 200
+#: Words of a shingle, similarity, trees of the forest, depth of a tree (labels of a path), bytes of a label, and the recall
+#: of two texts that are just similar enough.
+SHINGLE, SIMILAR, TREES, DEPTH, LABEL, RECALL = 5, 0.8, 16, 10, 4, 0.999
 
 
-def expected_recall(depth: int, similar: float = SIMILAR) -> float:
-    """Chance that two texts share a prefix of this depth in some tree."""
-    return 1 - (1 - similar**depth) ** TREES
+def expected_recall(*depths: int, similar: float = SIMILAR) -> float:
+    """Chance that two texts share a prefix in some tree; depths: the prefix's depth in each."""
+    missed = 1.0
+    for d in depths:
+        missed *= 1 - similar**d
+    return 1 - missed
+
+
+#: The depth to which prefixes are shortened at most, and in how many of its trees a text needs that; the others may stay at
+#: DEPTH.
+FLOOR = max(d for d in range(1, DEPTH + 1) if expected_recall(*[d] * TREES) >= RECALL)
+NEEDED = min(n for n in range(TREES + 1) if expected_recall(*[FLOOR] * n, *[DEPTH] * (TREES - n)) >= RECALL)
 
 
 def text_sets(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,10 +87,22 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text", F.lit(1)).alias("text_hash"), "text")
 
 
-def nodes(texts: DataFrame, depth: int) -> DataFrame:
-    """key, bucket: the tries' nodes of this depth that the paths of each key lead through."""
-    each = texts.select("key", F.posexplode("paths").alias("tree", "path"))
-    return each.select("key", F.xxhash64("tree", F.substring("path", 1, depth * LABEL)).alias("bucket"))
+def matched_nodes(texts: DataFrame) -> DataFrame:
+    """key, bucket: the tries' nodes in which texts are compared. texts: key, paths.
+
+    Every text begins with its whole paths and has them shortened, the least crowded tree first, to FLOOR, until two texts
+    that are just similar enough are found with RECALL; that leaves the paths of its most crowded trees long. A node in which one
+    text needs the short prefix is short for all in it, so that what a text needs doesn't hang on the others. Nodes that one
+    text has alone are left out."""
+    node = lambda d: F.xxhash64("tree", F.substring("path", 1, d * LABEL))
+    each = texts.select("key", F.posexplode("paths").alias("tree", "path")).select("key", node(FLOOR).alias("bucket"), node(DEPTH).alias("deep"))
+    each = common.settled(each.distinct())
+    crowd = common.settled(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    met = common.only_near(each, crowd, "bucket").join(crowd, "bucket")
+    crowded = F.row_number().over(W.partitionBy("key").orderBy(F.desc("n"), "bucket"))
+    met = common.settled(met.select("key", "bucket", "deep", (crowded > TREES - NEEDED).alias("short")))
+    long = met.groupBy("bucket").agg(F.max("short").alias("needed")).where("not needed")
+    return met.join(long, "bucket", "left").select("key", F.when(F.col("needed").isNull(), F.col("bucket")).otherwise(F.col("deep")).alias("bucket"))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -106,47 +126,15 @@ def one_text_each(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return common.settled(rows.join(keys, "key", "left_semi").groupBy("key").agg(F.min("text_hash").alias("text_hash")))
 
 
-def matched_depth(docs: DataFrame, rows: DataFrame) -> int:
-    """The depth to which matched prefixes are shortened: starting at DEPTH, the first at which the links of a sample are
-    found with the target recall.
-
-    The links are those of about PROBES texts to about OTHERS texts, both drawn by hash: their candidates at depth SHALLOW,
-    where hardly a link is missed, one probe to a node, so that no text meets more than TREES; at most about PAIRS of them,
-    drawn by hash, compared by their exact sets. The sample only sets the depth; every text is indexed and looked up."""
-    n = rows.count()
-    share = lambda x, most, of: F.pmod(x, F.lit(1 << 30)) < int(min(1.0, most / max(of, 1)) * (1 << 30))
-    texts = rows.where("key <> 0")
-    probes = texts.where(share(F.xxhash64("key", F.lit(3)), PROBES, n)).groupBy("key").agg(F.first("paths").alias("paths"))
-    low = nodes(probes, SHALLOW).groupBy("bucket").agg(F.min_by("key", F.xxhash64("bucket", "key")).alias("probe"))
-    low = common.broadcast_if_small(common.settled(low), 4 * PROBES * TREES)
-    others = texts.where(share(F.xxhash64("key", F.lit(4)), OTHERS, n)).groupBy("key").agg(F.first("paths").alias("paths"))
-    pairs = common.settled(nodes(others, SHALLOW).join(low, "bucket").where("key <> probe").select("probe", "key").distinct())
-    pairs = common.settled(pairs.where(share(F.xxhash64("probe", "key"), PAIRS, pairs.count())))
-    keys = pairs.select(F.explode(F.array("probe", "key")).alias("key")).distinct()
-    sets = common.settled(sets_of(docs, one_text_each(rows, keys)))
-    own = sets.join(texts.select("key", "paths").dropDuplicates(["key"]), "key")
-    other = own.select(F.col("key").alias("probe"), F.col("set").alias("other"), F.col("paths").alias("led"))
-    both = pairs.join(own, "key").join(other, "probe").withColumn("same", F.size(F.array_intersect("set", "other")))
-    links = both.where(F.col("same") >= SIMILAR * (F.size("set") + F.size("other") - F.col("same")) - 1e-9)
-    meet = lambda d: F.exists(F.zip_with("paths", "led", lambda x, y: F.substring(x, 1, d * LABEL) == F.substring(y, 1, d * LABEL)), lambda z: z)
-    met = links.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(meet(d)).alias(f"d{d}") for d in range(SHALLOW, DEPTH + 1)]).first()
-    depth = DEPTH
-    while depth > SHALLOW and (expected_recall(depth) if met["n"] < LEAST_LINKS else met[f"d{depth}"] / met["n"]) < RECALL:
-        depth -= 1
-    return depth
-
-
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """rows (doc_id, text_hash, key), classes (node, root) of keys, and (key, n_links): with how many others a key has Jaccard
     similarity SIMILAR or more.
 
-    Equal shingle sets share a key and are joined once. A trie node of the matched depth that several keys share is a bucket;
+    Equal shingle sets share a key and are joined once. A matched trie node that several keys share is a bucket;
     linked_members compares them all, by their exact sets, without a row for a pair."""
     rows = common.settled(signed(docs))
-    depth = matched_depth(docs, rows)
+    members = common.settled(shared_buckets(common.settled(matched_nodes(rows.where("key <> 0")))))
     common.reclaim(docs.sparkSession)
-    placed = nodes(rows.where("key <> 0"), depth).distinct()
-    members = common.settled(shared_buckets(common.settled(placed)))
     sets = common.settled(sets_of(docs, one_text_each(rows, members.select("key").distinct())))
     common.reclaim(docs.sparkSession)
     return rows.select("doc_id", "text_hash", "key"), *linked_members(members, lambda t: t.join(sets, "key"), SIMILAR)
@@ -168,7 +156,7 @@ def join(docs: DataFrame) -> DataFrame:
 
     class_id is the least doc_id of all documents that links connect, text_id that of the documents with the same shingle set
     (words in lower case A-Z; fewer than five words are one shingle). n_links counts the other
-    texts that its text is linked to, all of them; copies are not expanded. Texts without words are one class without links. A
+    texts that its text is linked to, of which each is found with a chance of RECALL or more; copies are not expanded. Texts without words are one class without links. A
     null id is left out of the ids. Rows repeat as they come; an empty table gives no rows; other columns of docs play no part."""
     return classed(docs).select("doc_id", "class_id", "text_id", "n_links")
 

@@ -344,17 +344,50 @@ def edited(r, words, n):
     return " ".join(w)
 
 
-def test_matched_prefixes_are_shortened_until_the_sample_has_the_recall(spark):
+def test_prefixes_are_shortened_as_far_as_the_recall_needs(spark):
+    assert jaccard.expected_recall(*[jaccard.FLOOR] * jaccard.TREES) >= jaccard.RECALL > jaccard.expected_recall(*[jaccard.FLOOR + 1] * jaccard.TREES)
+    assert 0 < jaccard.NEEDED < jaccard.TREES
     r = random.Random(31)
-    stem = prose(r, 200).split()
-    few = spark.createDataFrame(list(enumerate(prose(r, 60) for _ in range(40))), "doc_id long, text string")
-    assert jaccard.matched_depth(few, jaccard.signed(few)) == max(d for d in range(2, 11) if jaccard.expected_recall(d) >= jaccard.RECALL)
-    near = [(k, edited(r, stem, 1)) for k in range(60)]  # all links are of 0.9 and more: deep prefixes find them
-    df = spark.createDataFrame(near, "doc_id long, text string")
-    deep = jaccard.matched_depth(df, jaccard.signed(df))
-    far = [(k, edited(r, stem, r.randint(2, 4))) for k in range(60)]
-    df = spark.createDataFrame(far, "doc_id long, text string")
-    assert deep > jaccard.matched_depth(df, jaccard.signed(df))
+    near = [(k, edited(r, prose(random.Random(1), 200).split(), 1)) for k in range(60)]
+    texts_ = jaccard.signed(spark.createDataFrame([*near, (99, prose(r, 60))], "doc_id long, text string"))
+    paths = {x.key: [bytes(p) for p in x.paths] for x in texts_.collect()}
+    node = lambda p, d: p[: d * jaccard.LABEL]
+    crowd = Counter((t, node(p, jaccard.FLOOR)) for own in paths.values() for t, p in enumerate(own))
+    found = {(x.key, x.bucket) for x in jaccard.matched_nodes(texts_).collect()}
+    alone = sum(crowd[t, node(p, jaccard.FLOOR)] == 1 for own in paths.values() for t, p in enumerate(own))
+    assert len(found) == len(paths) * jaccard.TREES - alone
+    meet = defaultdict(set)
+    for key, bucket in found:
+        meet[bucket].add(key)
+    buckets = [frozenset(v) for v in meet.values()]
+    for key, own in paths.items():  # in its NEEDED least crowded trees a text meets all that share its short prefix
+        whole = 0
+        for t, p in enumerate(own):
+            short = {k for k, q in paths.items() if node(q[t], jaccard.FLOOR) == node(p, jaccard.FLOOR)}
+            whole += len(short) == 1 or any(key in b and b == short for b in buckets)
+        assert whole >= jaccard.NEEDED
+
+
+def test_a_template_does_not_hide_pairs_that_are_just_similar(spark):
+    """1,500 texts with one edit each of 400 words beside 400 pairs of about 0.815."""
+    r = random.Random(33)
+    lexicon = [f"w{k}" for k in range(5_000)]
+    stem = [r.choice(lexicon) for _ in range(400)]
+    data = [(k, edited(r, stem, 1)) for k in range(1_500)]
+    for k in range(400):
+        w = [r.choice(lexicon) for _ in range(400)]
+        v = list(w)
+        for place in range(20, 380, 45):
+            v[place] = f"other{place}"
+        data += [(10_000 + 2 * k, " ".join(w)), (10_001 + 2 * k, " ".join(v))]
+    sets = word_sets(data[1_500:1_502])
+    assert 0.80 <= jaccard_of(*sets.values()) <= 0.83
+    got = {x.doc_id: x.n_links for x in jaccard.join(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    found = [got[10_000 + 2 * k] for k in range(400)]
+    assert max(found) == 1 and sum(found) >= 0.98 * 400
+    assert sum(got[10_000 + 2 * k] for k in range(0, 400, 25)) >= 15  # ids divisible by 50
+    texts_ = {t for _, t in data[:1_500]}
+    assert min(got[k] for k in range(1_500)) >= 0.99 * (len(texts_) - 1)
 
 
 def test_jaccard_join_recall_against_brute_force(spark):
