@@ -336,4 +336,8 @@ ORACLE_SQL: dict[str, str] = {
     "progress_stream": STATE,
     "confidence_guard": "WITH a AS (SELECT o_orderkey AS pos, least(greatest(o_custkey / 300.0 - 1, 0.0), CASE WHEN o_orderkey % 2 = 0 THEN 0.5 ELSE 1.0 END) AS c FROM orders) SELECT pos, round_even(c, 2) AS confidence FROM a",
     "field_guide": "SELECT * FROM (VALUES " + ", ".join(f"({i}, {q(n)}, {q(t)}, {q(e)}, {q(o)}, {q(X.GUIDE_NOTES['internal' if o == 'Yes' else 'editable' if e == 'Yes' else 'fixed'])})" for i, (n, t, e, o) in enumerate(X.GUIDE)) + ") AS v(ord, column_name, explanation, editable, internal_only, note)",
+    "answer_errors": "SELECT o_orderkey AS pos, CASE o_orderkey % 6 WHEN 5 THEN 'call' WHEN 3 THEN 'shape' ELSE 'answer' END AS kind, CASE o_orderkey % 6 WHEN 5 THEN 'TimeoutError: busy' WHEN 3 THEN 'no list of requirements' ELSE 'no JSON in the answer' END AS error, CASE o_orderkey % 6 WHEN 2 THEN 'no answer to ' || o_orderkey WHEN 3 THEN '{\"note\": 1}' WHEN 4 THEN '' END AS excerpt FROM orders WHERE o_orderkey % 6 > 1",
+    "answer_requirements": "SELECT o_orderkey AS pos, 1 AS k, concat('R', o_orderkey) AS req_id, 'must' AS requirement, '' AS notes, 0.5::DOUBLE AS confidence FROM orders WHERE o_orderkey % 6 < 2",
+    "log_lines_apart": "WITH e AS (SELECT user_id, event_id, event_id % 7 AS k, CASE event_id % 7 WHEN 1 THEN '{\"chunk\": ' || event_id WHEN 3 THEN '{\"chunk\": \"x\"}' END AS bad FROM events WHERE event_id % 7 <> 2) SELECT user_id, count(*) FILTER (WHERE bad IS NULL) AS good, sum(event_id) FILTER (WHERE bad IS NULL)::BIGINT AS chunks, count(bad) AS bad, max(bad) AS last_bad FROM e GROUP BY user_id",
+    "cached_answers": "WITH n AS (SELECT count(*) AS n, count(DISTINCT o_custkey % 300) AS d, count(DISTINCT CASE WHEN o_custkey % 300 < 7 THEN o_custkey % 300 END) AS c FROM orders) SELECT run, CASE run[1] WHEN '1' THEN d WHEN '2' THEN 0 WHEN '3' THEN c ELSE d END AS asked, n AS rows_answered, n AS rows_right FROM n, (VALUES ('1 first'), ('2 same'), ('3 changed'), ('4 other model')) AS r(run)",
 }

@@ -15,6 +15,7 @@ from gristmill.functions.text import strip, word_count
 from gristmill.items import clean_items, raw_items, responses
 from gristmill.operators import ordered as O
 from gristmill.operators import tables as T
+from gristmill.operators.settle import scratch, settled
 from gristmill.plans import analyses as A
 from gristmill.plans import stages as G
 
@@ -593,15 +594,79 @@ def progress_state(spark, sf_dir):
 @query
 def progress_stream(spark, sf_dir):
     """The same as a stream over log files, run to its end."""
-    import uuid
-
-    from gristmill.operators.settle import settled, shared_folder
     from gristmill.streaming.progress import run_progress
 
-    folder = f"{shared_folder(spark)}/progress-{uuid.uuid4().hex}"
-    df = read(spark, sf_dir, "events").select(F.concat(F.lit("run"), (F.col("user_id") % 20).cast("string")).alias("run"), F.col("event_id").alias("seq"), _progress_line().alias("line"))
-    df.write.json(f"{folder}/log")
-    out = settled(run_progress(spark, f"{folder}/log", f"{folder}/out", f"{folder}/state"))
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return out
+    with scratch(spark, "progress") as folder:
+        df = read(spark, sf_dir, "events").select(F.concat(F.lit("run"), (F.col("user_id") % 20).cast("string")).alias("run"), F.col("event_id").alias("seq"), _progress_line().alias("line"))
+        df.write.json(f"{folder}/log")
+        return settled(run_progress(spark, f"{folder}/log", f"{folder}/out", f"{folder}/state"))
+
+
+# --- what failed, kept apart; answers that are kept
+
+
+def _model_calls(spark, sf_dir):
+    """Calls of a model by order: whole answers, answers with talk around them, no JSON, no list, and calls that failed."""
+    k = F.col("o_orderkey") % 6
+    whole = F.concat(F.lit('{"requirements": [{"req_id": "R'), F.col("o_orderkey").cast("string"), F.lit('", "requirement": "must", "notes": "", "confidence": 0.5}]}'))
+    answer = F.when(k == 0, whole).when(k == 1, F.concat(F.lit("Sure: "), whole)).when(k == 2, F.concat(F.lit("no answer to "), F.col("o_orderkey").cast("string"))).when(k == 3, '{"note": 1}').when(k == 4, "")
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), answer.alias("answer"), F.when(k == 5, "TimeoutError: busy").alias("error"))
+
+
+@query
+def answer_errors(spark, sf_dir):
+    """The side table of calls that gave no requirements."""
+    from gristmill.functions.answers import requirements_apart
+
+    with scratch(spark, "answers") as folder:
+        return settled(requirements_apart(_model_calls(spark, sf_dir), folder, "pos")[1])
+
+
+@query
+def answer_requirements(spark, sf_dir):
+    """What goes on of the same calls."""
+    from gristmill.functions.answers import requirements_apart
+
+    with scratch(spark, "answers") as folder:
+        return settled(requirements_apart(_model_calls(spark, sf_dir), folder, "pos")[0].drop("problem"))
+
+
+@query
+def log_lines_apart(spark, sf_dir):
+    """Lines of a log, good ones and broken ones told apart, counted by user."""
+    from gristmill.operators.quarantine import parsed_lines, set_apart
+
+    o = F.col("event_id")
+    line = F.when(o % 7 == 1, F.concat(F.lit('{"chunk": '), o.cast("string"))).when(o % 7 == 2, " ").when(o % 7 == 3, '{"chunk": "x"}').otherwise(F.concat(F.lit('{"file": "a", "chunk": '), o.cast("string"), F.lit("}")))
+    tried = parsed_lines(read(spark, sf_dir, "events").select("user_id", line.alias("line")), "line", "file string, chunk long")
+    with scratch(spark, "log") as folder:
+        good, bad = set_apart(tried, folder, "user_id")
+        good = good.groupBy("user_id").agg(F.count(F.lit(1)).alias("good"), F.sum("chunk").alias("chunks"))
+        bad = bad.groupBy("user_id").agg(F.count(F.lit(1)).alias("bad"), F.max("excerpt").alias("last_bad"))
+        return settled(good.join(bad, "user_id", "full_outer").select("user_id", F.coalesce("good", F.lit(0)).alias("good"), "chunks", F.coalesce("bad", F.lit(0)).alias("bad"), "last_bad"))
+
+
+@query
+def cached_answers(spark, sf_dir):
+    """What four runs ask: all prompts, the same again, some changed, and the same with another model."""
+    from gristmill.functions.answers import ask_new, asked_counts, with_answers
+
+    def prompts(changed: bool, model: str):
+        text = F.concat(F.lit("Requirement "), (F.col("o_custkey") % 300).cast("string"), F.when(F.lit(changed) & (F.col("o_custkey") % 300 < 7), "!").otherwise(""))
+        rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), text.alias("prompt"))
+        return rows.withColumn("signature", S.cache_signature(F.lit("h"), S.text_hash(F.col("prompt")), F.lit("1"), F.lit("1"), F.lit(model)))
+
+    def client():
+        return lambda prompt: f"answer to {prompt}"
+
+    runs = {"1 first": (False, "m"), "2 same": (False, "m"), "3 changed": (True, "m"), "4 other model": (False, "n")}
+    with scratch(spark, "cache") as folder:
+        out = spark.createDataFrame([(r,) for r in runs], "run string")
+        rows = []
+        for run, how in runs.items():
+            ask_new(prompts(*how), folder, run, client)
+            told = with_answers(prompts(*how), folder)
+            told = told.agg(F.lit(run).alias("run"), F.count("answer").alias("rows_answered"), F.count_if(F.col("answer") == F.concat(F.lit("answer to "), "prompt")).alias("rows_right"))
+            rows.append(settled(told))  # one plan over several states of the folder would take them for one table
+        told = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+        return settled(out.join(asked_counts(spark, folder), "run", "left").join(told, "run").select("run", F.coalesce("asked", F.lit(0)).alias("asked"), "rows_answered", "rows_right"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import fixed as X
 from gristmill.functions import scalars as S
 from gristmill.functions.text import strip
+from gristmill.operators.quarantine import EXCERPT, PROBLEM, good_rows, parsed_lines
 from gristmill.sources.pdf import page_texts
 
 BLOCK = "path string, ord int, kind string, sheet string, table int, row int, cells array<string>"
@@ -68,6 +69,11 @@ def json_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def tried_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A log of JSON lines as tried rows with the path they are from; lines that don't parse have a problem."""
+    return parsed_lines(spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value"), "value", schema)
+
+
 def json_documents(spark: SparkSession, folder: str, schema: str, glob: str = "*.json") -> DataFrame:
     """One JSON document a file, with its path; unreadable ones give no row."""
     df = spark.read.schema(schema + ", _bad string").option("columnNameOfCorruptRecord", "_bad").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).json(folder)
@@ -179,26 +185,40 @@ def pdf_rows(content: bytes) -> Iterator[tuple]:
 READERS = {"docx": docx_rows, "doc": docx_rows, "xlsx": xlsx_rows, "xls": xlsx_rows, "txt": plain_rows, "md": plain_rows, "pdf": pdf_rows}
 
 
-def read_rows(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("docx", "doc", "xlsx", "xls", "txt", "md", "pdf")) -> DataFrame:
-    """Typed rows of all documents below a folder: path, ord, kind, sheet, table, row, cells."""
+def tried_rows(spark: SparkSession, folder: str, kinds: tuple[str, ...] = tuple(READERS)) -> DataFrame:
+    """Typed rows of all documents below a folder: path, ord, kind, sheet, table, row, cells, and problem. A file that its reader can't read,
+    because it is broken, encrypted or no such file, gives one row with its path and problem, and no others; one without a
+    byte gives none, as Spark passes it over."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     ext = F.element_at(F.split(F.lower(S.file_name(F.col("path"))), r"\."), -1)
     readers = dict(READERS)
+    types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.struct([("kind", pa.string()), ("error", pa.string()), ("excerpt", pa.string())])]
+
+    def rows_of(path: str, content: bytes) -> list[tuple]:
+        kind = path.rsplit(".", 1)[-1].lower()
+        try:
+            rows = list(readers[kind](content))
+        except MemoryError:
+            raise
+        except Exception as e:  # noqa: BLE001 - whatever a broken file makes a parser raise is recorded with the file
+            if kind != "doc":
+                seen = content[:EXCERPT].decode("ascii", "replace").replace("\N{REPLACEMENT CHARACTER}", "?")
+                return [(path, None, None, None, None, None, None, {"kind": kind, "error": f"{type(e).__name__}: {e}", "excerpt": seen})]
+            rows = list(plain_rows(content))
+        return [(path, k, *r, None) for k, r in enumerate(rows)]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                kind = path.rsplit(".", 1)[-1].lower()
-                try:
-                    rows = list(readers[kind](content))
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-                    if kind != "doc":
-                        raise
-                    rows = list(plain_rows(content))
-                cols = list(zip(*[(path, k, *r) for k, r in enumerate(rows)], strict=True)) or [[]] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string())), strict=True)], ["path", "ord", "kind", "sheet", "table", "row", "cells"])
-
-    return df.where(ext.isin(*kinds)).select("path", "content").mapInArrow(read, BLOCK)
+                cols = list(zip(*rows_of(path, content), strict=True)) or [[]] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["path", "ord", "kind", "sheet", "table", "row", "cells", "problem"])
+
+    return df.where(ext.isin(*kinds)).select("path", "content").mapInArrow(read, f"{BLOCK}, problem {PROBLEM}")
+
+
+def read_rows(spark: SparkSession, folder: str, kinds: tuple[str, ...] = tuple(READERS)) -> DataFrame:
+    """The rows of all documents that can be read; quarantine.set_apart(tried_rows(...)) also tells of the others."""
+    return good_rows(tried_rows(spark, folder, kinds))
 
 
 def docx_blocks(rows: DataFrame) -> DataFrame:
