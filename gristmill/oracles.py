@@ -340,4 +340,8 @@ ORACLE_SQL: dict[str, str] = {
     "answer_requirements": "SELECT o_orderkey AS pos, 1 AS k, concat('R', o_orderkey) AS req_id, 'must' AS requirement, '' AS notes, 0.5::DOUBLE AS confidence FROM orders WHERE o_orderkey % 6 < 2",
     "log_lines_apart": "WITH e AS (SELECT user_id, event_id, event_id % 7 AS k, CASE event_id % 7 WHEN 1 THEN '{\"chunk\": ' || event_id WHEN 3 THEN '{\"chunk\": \"x\"}' END AS bad FROM events WHERE event_id % 7 <> 2) SELECT user_id, count(*) FILTER (WHERE bad IS NULL) AS good, sum(event_id) FILTER (WHERE bad IS NULL)::BIGINT AS chunks, count(bad) AS bad, max(bad) AS last_bad FROM e GROUP BY user_id",
     "cached_answers": "WITH n AS (SELECT count(*) AS n, count(DISTINCT o_custkey % 300) AS d, count(DISTINCT CASE WHEN o_custkey % 300 < 7 THEN o_custkey % 300 END) AS c FROM orders) SELECT run, CASE run[1] WHEN '1' THEN d WHEN '2' THEN 0 WHEN '3' THEN c ELSE d END AS asked, n AS rows_answered, n AS rows_right FROM n, (VALUES ('1 first'), ('2 same'), ('3 changed'), ('4 other model')) AS r(run)",
+    "progress_live": f"WITH s AS ({STATE}), t AS (SELECT concat('run', user_id % 20) AS run, min(date_trunc('second', ts)) AS started, max(date_trunc('second', ts)) AS latest FROM events GROUP BY 1), u AS (SELECT *, date_diff('second', started, latest) AS elapsed_s, CASE WHEN coalesce(chunk_total, 0) > 0 THEN chunk_done ELSE item_done END AS d, CASE WHEN coalesce(chunk_total, 0) > 0 THEN chunk_total ELSE item_total END AS n FROM s JOIN t USING (run)) SELECT * EXCLUDE (d, n), CASE WHEN d >= 2 AND n > 0 AND d < n THEN floor(elapsed_s * (n - d) / d)::BIGINT END AS eta_s FROM u",
+    "lock_periods": "WITH e AS (SELECT concat('case', user_id % 40) AS case_id, date_trunc('second', ts) AS ts FROM events), f AS (SELECT *, (ts - lag(ts) OVER w <= INTERVAL 2 HOUR) IS NOT TRUE AS new FROM e WINDOW w AS (PARTITION BY case_id ORDER BY ts)), g AS (SELECT *, sum(new::INT) OVER (PARTITION BY case_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM f) SELECT case_id, min(ts) AS acquired, max(ts) + INTERVAL 2 HOUR AS expires, count(*) AS renewals FROM g GROUP BY case_id, k",
+    "error_windows": "SELECT concat('case', user_id % 5) AS case_id, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01') AS start, count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) FILTER (WHERE event_type = 'view') AS retries FROM events WHERE event_type IN ('error', 'view') GROUP BY 1, 2",
+    "resume_stream": "SELECT DISTINCT concat('f', o_orderkey % 13) AS file, (o_custkey % 80)::INT AS chunk, concat('f', o_orderkey % 13, '-', o_custkey % 80) AS done FROM orders",
 }

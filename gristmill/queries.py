@@ -670,3 +670,60 @@ def cached_answers(spark, sf_dir):
             rows.append(settled(told))  # one plan over several states of the folder would take them for one table
         told = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
         return settled(out.join(asked_counts(spark, folder), "run", "left").join(told, "run").select("run", F.coalesce("asked", F.lit(0)).alias("asked"), "rows_answered", "rows_right"))
+
+
+# --- live state of runs
+
+
+def _stream_of(rows: DataFrame, folder: str, files: int, *order: str) -> DataFrame:
+    """The rows as a stream over JSON files, one file a batch."""
+    rows.repartitionByRange(files, *order).sortWithinPartitions(*order).write.json(folder)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).json(folder)
+
+
+@query
+def progress_live(spark, sf_dir):
+    """The state of each run with elapsed seconds, seconds left, and whether it fell silent."""
+    from gristmill.streaming.runs import run_live_progress
+
+    with scratch(spark, "live") as folder:
+        ts = F.date_trunc("second", "ts").alias("ts")
+        df = read(spark, sf_dir, "events").select(F.concat(F.lit("run"), (F.col("user_id") % 20).cast("string")).alias("run"), F.col("event_id").alias("seq"), ts, _progress_line().alias("line"))
+        lines = _stream_of(df, f"{folder}/log", 3, "ts")
+        return settled(run_live_progress(lines, f"{folder}/out", f"{folder}/state", "2 hours", "60 days").drop("idle"))
+
+
+@query
+def lock_periods(spark, sf_dir):
+    """When cases were locked, by the times of what their users did."""
+    from gristmill.streaming.runs import lock_periods as periods
+
+    e = read(spark, sf_dir, "events").select(F.concat(F.lit("case"), (F.col("user_id") % 40).cast("string")).alias("case_id"), F.date_trunc("second", "ts").alias("ts"))
+    return periods(e)
+
+
+def _run_events(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "retry").otherwise("ok")
+    e = read(spark, sf_dir, "events").select("event_id", F.concat(F.lit("case"), (F.col("user_id") % 5).cast("string")).alias("case_id"), "ts", kind.alias("kind"))
+    return e.unionByName(e.where("event_id % 4 = 0"))  # some come twice
+
+
+@query
+def error_windows(spark, sf_dir):
+    from gristmill.streaming.runs import error_windows as windows
+
+    return windows(_run_events(spark, sf_dir), "6 hours")
+
+
+@query
+def resume_stream(spark, sf_dir):
+    """Chunks that come again and again, each done once by a stream that is run twice."""
+    from gristmill.streaming.runs import committed, once_each
+
+    o = read(spark, sf_dir, "orders").select(F.concat(F.lit("f"), (F.col("o_orderkey") % 13).cast("string")).alias("file"), (F.col("o_custkey") % 80).cast("int").alias("chunk"))
+    with scratch(spark, "resume") as folder:
+        chunks = _stream_of(o.withColumn("n", F.col("chunk") % 7), f"{folder}/in", 3, "n")
+        work = lambda df: df.select("file", "chunk", F.concat_ws("-", "file", "chunk").alias("done"))
+        for _ in range(2):
+            once_each(chunks, work, f"{folder}/out", f"{folder}/state").awaitTermination()
+        return settled(committed(spark, f"{folder}/out", f"{folder}/state", "file string, chunk int, done string").drop("batch"))
