@@ -135,26 +135,21 @@ def priority(code: Column) -> Column:
     return looked_up(F.upper(strip(code)), X.PRIORITIES, "INFO")
 
 
-def risk_tag(text: Column) -> Column:
-    """The short tag of a flag: by its name, by how the message starts, by an RF_ name in it, by a keyword; else null."""
-    t = strip(text)
-    found = F.when(t == "", F.lit(None).cast("string"))
-    for name, tag in X.RISK_TAGS.items():
-        found = found.when(t == name, tag)
-    for prefix, tag in X.MESSAGE_PREFIXES:
-        found = found.when(F.startswith(t, F.lit(prefix)), tag)
-    named = F.upper(F.regexp_extract(t, r"(?i)RF_(CERT|RELIABILITY|PRICE|SCHEDULE|IP|ROADMAP|GLOSSARY)", 1))
-    for name, tag in X.RISK_TAGS.items():
-        if name.startswith("RF_"):
-            found = found.when(named == name[3:], tag)
-    for pattern, tag in X.TAG_PATTERNS:
-        found = found.when(matches(t, pattern, True), tag)
-    return found
+def risk_tag(t: Column) -> Column:
+    """The short tag of a stripped flag: by its name, by how the message starts, by an RF_ name in it, by a keyword; else null."""
+    named = lambda tags: F.create_map(*[F.lit(x) for pair in tags.items() for x in pair])
+    first = lambda rules, holds: F.coalesce(*[F.when(holds(x), tag) for x, tag in rules])
+    within = F.upper(F.regexp_extract(t, r"(?i)RF_(CERT|RELIABILITY|PRICE|SCHEDULE|IP|ROADMAP|GLOSSARY)", 1))
+    return F.coalesce(
+        F.try_element_at(named(X.RISK_TAGS), t), first(X.MESSAGE_PREFIXES, lambda x: F.startswith(t, F.lit(x))),
+        F.try_element_at(named({n[3:]: tag for n, tag in X.RISK_TAGS.items() if n.startswith("RF_")}), within), first(X.TAG_PATTERNS, lambda x: matches(t, x, True)),
+    )
 
 
 def risk_tags(raw: Column) -> Column:
     """Canonical tags in the order first seen, each once; what has no tag stays as it is."""
-    tags = F.transform(F.coalesce(raw, F.array().cast("array<string>")), lambda x: F.coalesce(risk_tag(x), strip(x)))
+    flags = F.array_distinct(F.transform(F.coalesce(raw, F.array().cast("array<string>")), strip))
+    tags = F.transform(F.filter(flags, lambda t: t != ""), lambda t: F.coalesce(risk_tag(t), t))
     return F.array_distinct(F.filter(tags, lambda x: x != ""))
 
 

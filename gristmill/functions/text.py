@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 U, UI = "(?Ud)", "(?iUd)"
 
 
+#: Unicode's white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(x: Column) -> Column:
     """Both ends without white space of any kind; null becomes empty."""
-    return F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.btrim(F.coalesce(x, F.lit("")), F.lit(WHITE))
 
 
 def matches(x: Column, pattern: str, ignore_case: bool = False) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,47 +139,101 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(strip(text), U + r"(?<=[.!?；。])\s+"), strip), lambda s: s != "")
 
 
-def packed_sentences(text: Column, most: int) -> Column:
-    """Pieces of at most `most` characters, filled sentence by sentence; a longer sentence is cut. One fold over a row."""
+#: What an element of a text to be packed is: a block, a sentence, or what stays alone.
+BLOCK, SENTENCE, ALONE = 0, 1, 2
+
+
+def _bounds(most: int, group_size: int):
+    """The groups that elements of given lengths are packed in, first come first packed: (at, n) of each.
+
+    Prefix sums of the lengths tell for each element where the group that began with it would end, all at once by binary
+    search; the groups are found by going from end to end. So a text of n elements takes n log n steps, where a fold with a
+    growing array, all that the built-in array functions offer, takes n squared. Only lengths go to Python and only places come back."""
+
+    @F.arrow_udf("array<struct<at:int,n:int>>")
+    def bounds(length: pa.Array, kind: pa.Array, first: pa.Array) -> pa.Array:
+        flat = lambda x: x.flatten().to_numpy(zero_copy_only=False)
+        size, what = flat(length).astype(np.int64), flat(kind)
+        n = length.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.concatenate([[0], np.cumsum(n)])
+        here = np.arange(len(size))
+        cut = flat(first).astype(bool)
+        cut[1:] |= what[1:] != what[:-1]
+        cuts = np.union1d(np.flatnonzero(cut), starts)
+        end = lambda gap, room: np.searchsorted(c := np.concatenate([[0], np.cumsum(size + gap)]), c[:-1] + room, "right") - 1
+        to = np.select([what == SENTENCE, what == BLOCK], [end(1, most + 1), np.minimum(end(2, most), here + group_size)], here + 1)
+        to = np.minimum(np.maximum(to, here + 1), cuts[np.searchsorted(cuts, here, "right")] if len(here) else here).tolist()
+        at, k = [], 0
+        while k < len(to):
+            at.append(k)
+            k = to[k]
+        at = np.array(at, np.int64)
+        of = np.searchsorted(at, starts)
+        found = pa.StructArray.from_arrays([pa.array((at - np.repeat(starts[:-1], np.diff(of))).astype(np.int32)), pa.array(np.diff(np.append(at, len(to))).astype(np.int32))], ["at", "n"])
+        return pa.ListArray.from_arrays(pa.array(of.astype(np.int32)), found)
+
+    return bounds
+
+
+def packed(elements: Column, most: int, group_size: int = 4) -> Column:
+    """The pieces that elements (x, kind, first) are packed in. Sentences are joined by blanks up to `most` characters, blocks
+    by line feeds up to group_size and about `most` characters; a sentence that is longer is cut. Where `first` holds, or the
+    kind changes, a new piece begins. Elements should be a column of the table: they are read twice."""
+    of = lambda name: F.transform(elements, lambda e: e[name])
+    groups = _bounds(most, group_size)(F.transform(elements, lambda e: F.length(e["x"])), of("kind"), of("first"))
+
+    def piece(g: Column) -> Column:
+        x = F.get(g, F.lit(0))
+        text = x["x"]
+        cuts = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.length(text) - 1) / most), F.lit(0)).cast("int")), lambda i: strip(text.substr(i * most + 1, F.lit(most)))), lambda c: c != "")
+        joined = lambda by: F.array_join(F.transform(g, lambda e: e["x"]), by)
+        return (
+            F.when(x["kind"] == BLOCK, F.array(strip(joined("\n")))).when(x["kind"] == ALONE, F.filter(F.array(text), lambda t: t != ""))
+            .when(F.length(text) > most, cuts).otherwise(F.array(joined(" ")))
+        )
+
+    whole = F.transform(F.array(F.struct(elements.alias("e"), groups.alias("g"))), lambda t: F.flatten(F.transform(t["g"], lambda g: piece(F.slice(t["e"], g["at"] + 1, g["n"])))))
+    return F.get(whole, F.lit(0))
+
+
+def _element(x: Column, kind: int, first: Column) -> Column:
+    return F.struct(x.alias("x"), F.lit(kind).alias("kind"), first.alias("first"))
+
+
+def sentence_elements(text: Column, most: int) -> Column:
+    """A text's sentences, or the text as one if it is short enough, for packed()."""
     t = strip(text)
+    parts = F.when(t == "", F.array().cast("array<string>")).when(F.length(t) <= most, F.array(t)).otherwise(sentences(t))
+    return F.transform(parts, lambda s, i: _element(s, SENTENCE, i == 0))
+
 
-    def step(acc: Column, s: Column) -> Column:
-        fits = F.length(acc["buf"]) + F.length(s) + 1 <= most
-        kept = F.when(acc["buf"] != "", F.concat(acc["out"], F.array(acc["buf"]))).otherwise(acc["out"])
-        cuts = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.length(s) - 1) / most), F.lit(0)).cast("int")), lambda i: strip(s.substr(i * most + 1, F.lit(most)))), lambda x: x != "")
-        return F.struct(
-            F.when(fits, acc["out"]).when(F.length(s) > most, F.concat(kept, cuts)).otherwise(kept).alias("out"),
-            F.when(fits, strip(F.concat_ws(" ", acc["buf"], s))).when(F.length(s) > most, "").otherwise(s).alias("buf"),
-        )
+def paragraph_elements(text: Column, most: int = 3500) -> Column:
+    """The sentences of a text's paragraphs, which blank lines part, for packed()."""
+    blocks = F.filter(F.transform(F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), U + r"\n\s*\n"), strip), lambda b: b != "")
+    parts = lambda b: F.when(F.length(b) <= most, F.array(b)).otherwise(sentences(b))
+    return F.flatten(F.transform(F.transform(blocks, parts), lambda p: F.transform(p, lambda s, i: _element(s, SENTENCE, i == 0))))
 
-    zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("buf"))
-    folded = F.aggregate(sentences(t), zero, step, lambda a: F.when(a["buf"] != "", F.concat(a["out"], F.array(a["buf"]))).otherwise(a["out"]))
-    return F.when(t == "", F.array().cast("array<string>")).when(F.length(t) <= most, F.array(t)).otherwise(folded)
+
+def block_elements(blocks: Column, most: int = 1200) -> Column:
+    """Blocks for packed(): a longer one as its sentences, but one that carries a row id stays whole."""
+    one = lambda b: F.when(F.length(b) <= most, F.array(_element(b, BLOCK, F.lit(False)))).when(F.contains(b, F.lit("[ROW_ID=")), F.array(_element(b, ALONE, F.lit(True)))).otherwise(long(b))
+    long = lambda b: F.when(strip(b) == "", F.array(_element(F.lit(""), ALONE, F.lit(True)))).otherwise(sentence_elements(b, most))
+    return F.flatten(F.transform(blocks, one))
+
+
+def packed_sentences(text: Column, most: int) -> Column:
+    """Pieces of at most `most` characters, filled sentence by sentence; a longer sentence is cut."""
+    return packed(sentence_elements(text, most), most)
 
 
 def paragraph_chunks(text: Column, most: int = 3500) -> Column:
-    blocks = F.filter(F.transform(F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), U + r"\n\s*\n"), strip), lambda b: b != "")
-    return F.flatten(F.transform(blocks, lambda b: packed_sentences(b, most)))
+    return packed(paragraph_elements(text, most), most)
 
 
 def packed_blocks(blocks: Column, most: int = 1200, group_size: int = 4) -> Column:
     """Blocks joined to chunks of at most group_size blocks and about `most` characters. A longer block is split by its
     sentences, but one that carries a row id stays whole."""
-
-    def step(acc: Column, b: Column) -> Column:
-        long = F.length(b) > most
-        full = (F.size(acc["buf"]) > 0) & ((F.size(acc["buf"]) >= group_size) | (acc["n"] + F.length(b) + 2 > most))
-        out = F.when((long | full) & (F.size(acc["buf"]) > 0), F.concat(acc["out"], F.array(strip(F.array_join(acc["buf"], "\n"))))).otherwise(acc["out"])
-        whole = F.when(F.contains(b, F.lit("[ROW_ID=")), F.array(b)).otherwise(packed_sentences(b, most))
-        none = F.array().cast("array<string>")
-        return F.struct(
-            F.when(long, F.concat(out, whole)).otherwise(out).alias("out"),
-            F.when(long, none).when(full, F.array(b)).otherwise(F.concat(acc["buf"], F.array(b))).alias("buf"),
-            F.when(long, F.lit(0)).when(full, F.length(b) + 2).otherwise(acc["n"] + F.length(b) + 2).alias("n"),
-        )
-
-    zero = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("buf"), F.lit(0).alias("n"))
-    return F.aggregate(blocks, zero, step, lambda a: F.when(F.size(a["buf"]) > 0, F.concat(a["out"], F.array(strip(F.array_join(a["buf"], "\n"))))).otherwise(a["out"]))
+    return packed(block_elements(blocks, most), most, group_size)
 
 
 def sheet_rows(chunk: Column) -> Column:

@@ -78,7 +78,8 @@ def metrics(summary: DataFrame) -> DataFrame:
 
 def estimate(documents: DataFrame, provider: str, most: int = 600) -> DataFrame:
     """What extraction would cost by file: chunks and seconds. documents: case_id, name, text."""
-    rows = documents.select("case_id", "name", F.length(F.coalesce("text", F.lit(""))).alias("chars"), F.size(O.paragraph_chunks(F.col("text"), most)).alias("chunks"))
+    rows = documents.select("case_id", "name", F.length(F.coalesce("text", F.lit(""))).alias("chars"), O.paragraph_elements(F.col("text"), most).alias("e"))
+    rows = rows.select("case_id", "name", "chars", F.size(O.packed(F.col("e"), most)).alias("chunks"))
     total = rows.groupBy("case_id").agg(F.count(F.lit(1)).alias("file_count"), F.sum("chars").alias("total_chars"), F.sum("chunks").alias("chunks"))
     seconds = F.col("chunks") * R.seconds_per_call(F.lit(provider))
     return total.withColumn("est_runtime_sec", seconds).withColumns({"est_runtime_human": S.duration(F.col("est_runtime_sec")), "risk": risk_of(F.col("est_runtime_sec"))})

@@ -408,14 +408,14 @@ def latest_status(spark, sf_dir):
 @query
 def paragraph_chunks(spark, sf_dir):
     """Every document in chunks of at most 600 characters."""
-    d = read(spark, sf_dir, "documents").select("doc_id", O.paragraph_chunks(F.replace("text", F.lit("\n"), F.lit("\n\n")), 600).alias("c"))
+    d = read(spark, sf_dir, "documents").select("doc_id", O.paragraph_elements(F.replace("text", F.lit("\n"), F.lit("\n\n")), 600).alias("e")).select("doc_id", O.packed(F.col("e"), 600).alias("c"))
     return d.select("doc_id", F.posexplode("c").alias("chunk", "text"))
 
 
 @query
 def greedy_pack(spark, sf_dir):
     """Lines of every document packed to chunks."""
-    d = read(spark, sf_dir, "documents").select("doc_id", O.packed_blocks(F.filter(F.split("text", "\n"), lambda x: x != ""), 1200, 4).alias("c"))
+    d = read(spark, sf_dir, "documents").select("doc_id", O.block_elements(F.filter(F.split("text", "\n"), lambda x: x != ""), 1200).alias("e")).select("doc_id", O.packed(F.col("e"), 1200, 4).alias("c"))
     return d.select("doc_id", F.posexplode("c").alias("chunk", "text"))
 
 

@@ -143,6 +143,57 @@ def test_chunking_against_a_loop(spark):
     assert values(spark, O.paragraph_chunks(A_, 100), ("a\r\n\r\nb\n \nc", "")) == [["a", "b", "c"]]
 
 
+def plain_pack(blocks, most, group_size):
+    """A plain loop with the same contract as packed_blocks."""
+    out, buf, n = [], [], 0
+    flush = lambda: out.append("\n".join(buf).strip()) if buf else None
+    for b in blocks:
+        if len(b) > most:
+            flush()
+            out += [b] if "[ROW_ID=" in b else reference_split(b, most)
+            buf, n = [], 0
+            continue
+        if buf and (len(buf) >= group_size or n + len(b) + 2 > most):
+            flush()
+            buf, n = [], 0
+        buf.append(b)
+        n += len(b) + 2
+    flush()
+    return out
+
+
+def test_packed_blocks_against_a_loop(spark):
+    import random
+
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abc") for _ in range(r.randint(1, 12))) + r.choice(["", "", ".", "!"])
+    block = lambda: r.choice(["", "[ROW_ID=1] ", " "]) + " ".join(word() for _ in range(r.choice([0, 1, 2, 4, 30])))
+    rows = [[block() for _ in range(r.randint(0, 25))] for _ in range(60)] + [[" " * 90, "a", " " * 90, "b", "c"], [], ["x" * 200]]
+    df = spark.createDataFrame([(k, b) for k, b in enumerate(rows)] + [(999, None)], "i int, b array<string>").repartition(3)
+    got = {x.i: x.c for x in df.select("i", O.packed_blocks(F.col("b"), 60, 4).alias("c")).collect()}
+    assert not got.pop(999)
+    assert got == {k: plain_pack(b, 60, 4) for k, b in enumerate(rows)}
+    texts = [r.choice(["\n\n", "\r\n \r\n", "\n"]).join(" ".join(word() for _ in range(r.randint(0, 40))) for _ in range(r.randint(0, 8))) for _ in range(40)]
+    import re
+
+    paragraphs = lambda t: [p for b in re.split(r"\n\s*\n", t.replace("\r\n", "\n")) if b.strip() for p in reference_split(b.strip(), 50)]
+    assert values(spark, O.paragraph_chunks(A_, 50), *[(t, "") for t in texts]) == [paragraphs(t) for t in texts]
+
+
+def test_a_long_text_is_packed_in_linear_time(spark):
+    import time
+
+    def seconds(n):
+        df = spark.range(1).select(F.repeat(F.lit("A sentence of some words. "), n).alias("t")).select(O.sentence_elements(F.col("t"), 600).alias("e"))
+        began = time.time()
+        assert df.select(F.size(O.packed(F.col("e"), 600)).alias("n")).first().n == -(-n // 23)
+        return time.time() - began
+
+    seconds(100)
+    small, large = seconds(25_000), seconds(800_000)  # 20 MB
+    assert large < 40 and large < 40 * max(small, 1)
+
+
 def test_sheet_rows_and_best_row(spark):
     rows = O.sheet_rows(A_)
     got = values(spark, rows, ("[FILE:a b.xlsx SHEET:S 1 ROW 3] alpha beta [FILE:a b.xlsx SHEET:S 1 ROW 4] gamma", ""), ("[SHEET:T ROW 9] delta", ""), ("none", ""))
