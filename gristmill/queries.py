@@ -426,6 +426,18 @@ def best_row_match(spark, sf_dir):
     return df.select("pos", O.best_row(F.col("requirement"), F.col("rows")).alias("r")).select("pos", "r.file", "r.sheet", "r.row")
 
 
+@query
+def best_row_join(spark, sf_dir):
+    """Of the lines of a source the one that a document's first line, cut or with words added, is from."""
+    from gristmill.operators.matching import best_rows
+
+    d = read(spark, sf_dir, "documents").select(F.col("source").alias("file"), "doc_id", F.split("text", "\n", -1).alias("l"))
+    rows = d.select("file", "doc_id", F.posexplode("l").alias("line", "text")).select("file", F.struct("doc_id", "line").alias("ord"), F.col("doc_id").alias("sheet"), F.col("line").alias("row"), "text")
+    head = F.get("l", F.lit(0))
+    text = F.when(F.length(head) % 3 == 0, head).when(F.length(head) % 3 == 1, head.substr(5, 40)).otherwise(F.concat(F.lit("Added "), head, F.lit(" added words")))
+    return best_rows(d.select("file", F.col("doc_id").alias("pos"), text.alias("text")), rows).select("pos", "sheet", "row")
+
+
 @query
 def chunk_positions(spark, sf_dir):
     chunk = F.concat(F.lit("[TABLE 2 ROW 4][ROW_ID=HOST 36] text [TABLE 3 ROW 7] more [ROW_ID=BIOS-"), (F.col("pos") % 50).cast("string"), F.lit("] end [PDF PAGE 12] [FILE:x.xlsx SHEET:S ROW 5]"))

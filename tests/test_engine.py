@@ -201,6 +201,37 @@ def test_sheet_rows_and_best_row(spark):
     assert values(spark, O.best_row(B_, rows)["row"], ("[SHEET:T ROW 1] one two [SHEET:T ROW 2] two three", "three two x"), ("[SHEET:T ROW 1] q [SHEET:T ROW 2] Whole", "whole"), ("", "x")) == [2, 2, None]
 
 
+def test_best_rows_against_all_pairs(spark):
+    import random
+
+    from gristmill.operators.matching import best_rows
+
+    r = random.Random(9)
+    words = ["fan", "tray", "power", "supply", "unit", "must", "shall", "be", "hot", "hotswap", "a", "b12", "größe", "模組"]
+    prose = lambda most: r.choice(["", " "]) + r.choice([" ", "  "]).join(r.choice(words) for _ in range(r.randint(0, most))) + r.choice(["", ".", " "])
+    rows = [(r.choice(["f", "g"]), k, f"s{k % 3}", k % 7, r.choice([str.upper, str])(prose(8)) or "x") for k in range(90)]
+    rows += [("g", 200, "s", 1, ""), ("h", 300, "s", 2, "only words that nothing shares"), ("h", 301, "s", 3, "zzz"), (None, 400, "s", 4, "no file")]
+    items = [(r.choice(["f", "f", "g", "h", "none"]), k, prose(6)) for k in range(120)]
+    items += [("f", 500 + k, x[4][1:9]) for k, x in enumerate(rows[:40])] + [("f", 600, None), ("f", 601, ""), ("f", 602, "  "), (None, 603, "file"), ("f", 604, "ower sup"), ("f", 605, "o"), ("h", 606, "zzzz zz")]
+    split = lambda x: [w for w in re.split(r"\s+", x) if w]
+
+    def plain(file, text):
+        own = sorted((x for x in rows if (x[0] or "") == (file or "")), key=lambda x: x[1])
+        t = (text or "").lower()
+        inside = [x for x in own if t in x[4].lower() or x[4].lower() in t]
+        best = inside[0] if inside else max(own, key=lambda x: len(set(split(x[4].lower())) & set(split(t))), default=None)
+        return best and (best[2], best[3])
+
+    import re
+
+    df = best_rows(spark.createDataFrame(items, "file string, pos long, text string").repartition(3), spark.createDataFrame(rows, "file string, ord int, sheet string, row int, text string").repartition(3))
+    got = {x.pos: x.sheet and (x.sheet, x.row) for x in df.collect()}
+    assert got == {pos: plain(file, text) for file, pos, text in items}
+    assert df.limit(0).columns == ["file", "pos", "text", "sheet", "row"]
+    none = spark.createDataFrame([], "file string, ord int, sheet string, row int, text string")
+    assert best_rows(spark.createDataFrame(items[:3], "file string, pos long, text string"), none).where("sheet is null").count() == 3
+
+
 def test_failure_gate(spark):
     df = spark.createDataFrame([("c", i, i in (3, 5, 11)) for i in range(20)], "case_id string, pos long, failed boolean")
     assert [r.pos for r in O.failure_gate(df, most=2, least_attempts=10, most_percent=50).where("abort").collect()] == [11]
