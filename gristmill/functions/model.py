@@ -105,15 +105,25 @@ def extracted(answers: DataFrame) -> DataFrame:
 
 
 def enriched(items: DataFrame, answers: DataFrame) -> DataFrame:
-    """What a model said of an item overrides the rules, field by field. answers: case_id, pos, json."""
-    said = F.from_json("json", "struct<must_level:string,category:string,owner:string,status:string,redflag:array<string>,redflag_message:string,stakeholder:array<string>>")
-    df = items.join(answers.select("case_id", "pos", said.alias("_m")), ["case_id", "pos"], "left")
+    """What a model said of an item overrides the rules, field by field: level, category, owner, status and message. Flags
+    that it names ask for evidence, and put the rules' overrides out of force; one stakeholder counts as a list of one. The type that it names has
+    no effect, as items are typed by rule. answers: case_id, pos, json."""
+    names = "must_level category owner status redflag redflag_message stakeholder"
+    said = F.from_json("json", "struct<" + ",".join(f"{n}:string" for n in names.split()) + ">")
+    df = items.join(answers.select("case_id", "pos", said.alias("_m"), F.json_object_keys("json").alias("_keys")), ["case_id", "pos"], "left")
     m = lambda c: F.nullif(F.col(f"_m.{c}"), F.lit(""))
-    has = F.col("_m").isNotNull()
-    return df.withColumns({
+    none = F.array().cast("array<string>")
+    listed = lambda c: F.coalesce(F.from_json(F.when(F.startswith(m(c), F.lit("[")), m(c)), "array<string>"), F.when(m(c).isNotNull(), F.array(m(c))), none)
+    has = F.coalesce(F.size("_keys") > 0, F.lit(False))
+    made = {
         "must_level": F.coalesce(m("must_level"), F.col("must_level")), "category": F.when(m("category").isNotNull(), F.array(m("category"))).otherwise(F.col("category")), "owner": F.coalesce(m("owner"), F.col("owner")), "status": F.coalesce(m("status"), F.col("status")),
-        "redflag_messages": F.when(has, F.filter(F.array(m("redflag_message")), lambda x: x.isNotNull())).otherwise(F.col("redflag_messages")), "stakeholder": F.coalesce("_m.stakeholder", F.array().cast("array<string>")), "llm_enriched": has,
-    }).drop("_m")
+        "redflag_messages": F.when(has, F.filter(F.array(m("redflag_message")), lambda x: x.isNotNull())).otherwise(F.col("redflag_messages")), "stakeholder": listed("stakeholder"), "llm_enriched": has,
+    }
+    if "redflag_overrides" in items.columns:
+        kind = items.schema["redflag_overrides"].dataType
+        asks = F.struct(*[(F.when(F.size(listed("redflag")) > 0, True) if f.name == "require_evidence" else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields])
+        made["redflag_overrides"] = F.when(has, asks).otherwise(F.col("redflag_overrides"))
+    return df.withColumns(made).drop("_m", "_keys")
 
 
 def normalized(items: DataFrame, answers: DataFrame) -> DataFrame:

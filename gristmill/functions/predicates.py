@@ -127,6 +127,13 @@ def is_active(status: Column, any_case: bool = True) -> Column:
     return (F.upper(s) if any_case else s) != "AUTO_SKIP"
 
 
+def is_enriched(columns: list[str]) -> Column:
+    """Whether an earlier stage has judged a row: it has any of six fields. columns: those of the table; a null counts as a
+    field that the row lacks."""
+    own = [F.col(f"`{c}`").isNotNull() for c in ("must_level", "owner", "status", "redflag_messages", "redflag_overrides", "category") if c in columns]
+    return F.coalesce(*[F.when(x, True) for x in own], F.lit(False))
+
+
 def has_flag(*tags: Column) -> Column:
     """Whether the first of the tag arrays that is given has any."""
     return F.coalesce(*[F.when(F.size(t) > 0, F.lit(True)) for t in tags], F.lit(False))

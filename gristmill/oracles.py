@@ -345,4 +345,6 @@ ORACLE_SQL: dict[str, str] = {
     "error_windows": "SELECT concat('case', user_id % 5) AS case_id, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01') AS start, count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) FILTER (WHERE event_type = 'view') AS retries FROM events WHERE event_type IN ('error', 'view') GROUP BY 1, 2",
     "resume_stream": "SELECT DISTINCT concat('f', o_orderkey % 13) AS file, (o_custkey % 80)::INT AS chunk, concat('f', o_orderkey % 13, '-', o_custkey % 80) AS done FROM orders",
     "best_row_join": "WITH d AS (SELECT source, doc_id, string_split(text, chr(10)) AS l FROM documents), r AS (SELECT source, doc_id, k - 1 AS line, lower(l[k]) AS x, list_distinct(list_filter(string_split_regex(lower(l[k]), '\\s+'), lambda w: w <> '')) AS y FROM d, range(1, 100000) AS n(k) WHERE k <= len(l)), i AS (SELECT source, doc_id AS pos, lower(CASE length(l[1]) % 3 WHEN 0 THEN l[1] WHEN 1 THEN substr(l[1], 5, 40) ELSE 'Added ' || l[1] || ' added words' END) AS t FROM d), j AS (SELECT *, list_distinct(list_filter(string_split_regex(t, '\\s+'), lambda w: w <> '')) AS u FROM i), m AS (SELECT pos, doc_id, line, contains(x, t) OR contains(t, x) AS inside, CASE WHEN contains(x, t) OR contains(t, x) THEN 0 ELSE len(list_intersect(u, y)) END AS n FROM j JOIN r USING (source)) SELECT pos, doc_id AS sheet, line::INT AS row FROM m QUALIFY row_number() OVER (PARTITION BY pos ORDER BY inside DESC, n DESC, doc_id, line) = 1",
+    "enriched_rows": f"{I} SELECT pos, must_level IS NOT NULL OR pos % 7 = 0 OR pos % 11 = 0 AS enriched FROM items",
+    "model_overrides": f"{I} SELECT pos, pos % 4 < 2 AS llm_enriched, CASE pos % 4 WHEN 0 THEN 'SHOULD' END AS must_level, CASE pos % 4 WHEN 1 THEN 'BIOS' END AS category, CASE pos % 4 WHEN 0 THEN 'keys' WHEN 1 THEN '' END AS messages, CASE pos % 4 WHEN 0 THEN 'PM,QA' WHEN 1 THEN 'PM' ELSE '' END AS stakeholder, CASE pos % 4 WHEN 0 THEN true END AS require_evidence FROM items",
 }

@@ -273,6 +273,25 @@ def plain_triage(spark, sf_dir):
     return df.select("pos", "type", "must_level", "category", "owner", F.array_join("risk_tags", ",").alias("risk_tags"), "evidence_needed", "next_action", "status")
 
 
+@query
+def enriched_rows(spark, sf_dir):
+    """Rows that an earlier stage has judged, by any of its fields."""
+    df = raw_items(spark, sf_dir).withColumns({"owner": F.when(F.col("pos") % 7 == 0, "QA"), "redflag_messages": F.when(F.col("pos") % 11 == 0, F.array().cast("array<string>"))})
+    return df.select("pos", P.is_enriched(df.columns).alias("enriched"))
+
+
+@query
+def model_overrides(spark, sf_dir):
+    """Enriched items after a model's answers, of which some are empty or say little."""
+    df = G.enrich(raw_items(spark, sf_dir))
+    k = F.col("pos") % 4
+    said = F.when(k == 0, '{"must_level": "SHOULD", "owner": "", "redflag": ["RF_IP"], "redflag_message": "keys", "stakeholder": ["PM", "QA"]}').when(k == 1, '{"category": "BIOS", "redflag": [], "stakeholder": "PM"}').when(k == 2, "{}")
+    out = M.enriched(df, df.select("case_id", "pos", said.alias("json")).where("json is not null"))
+    return out.where(k < 2).select("pos", "llm_enriched", F.when(k == 0, F.col("must_level")).alias("must_level"), F.when(k == 1, F.array_join("category", ",")).alias("category"), F.array_join("redflag_messages", "~").alias("messages"), F.array_join("stakeholder", ",").alias("stakeholder"), F.col("redflag_overrides.require_evidence").alias("require_evidence")).unionByName(
+        out.where(k >= 2).select("pos", "llm_enriched", F.lit(None).cast("string").alias("must_level"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("messages"), F.array_join("stakeholder", ",").alias("stakeholder"), F.lit(None).cast("boolean").alias("require_evidence"))
+    )
+
+
 # --- predicates and scalars
 
 

@@ -492,6 +492,14 @@ def test_model_enrichment_overrides_by_field(spark):
     got = {x.pos: x for x in inference.model_enriched(items, factory).collect()}
     assert (got[1].must_level, got[1].owner, got[1].redflag_messages, got[1].stakeholder, got[1].llm_enriched) == ("MUST", "TBD", ["loud"], ["PM"], True)
     assert (got[2].must_level, got[2].owner, got[2].redflag_messages, got[2].llm_enriched) == ("MAY", "BIOS", [], False)
+    flagged = items.withColumn("redflag_overrides", F.struct(F.lit("Thermal").alias("force_category"), F.lit(None).cast("boolean").alias("require_evidence")))
+    said = spark.createDataFrame([("c", 1, '{"redflag": ["RF_IP"], "stakeholder": "PM", "type": "note"}'), ("c", 2, "{}")], "case_id string, pos long, json string")
+    got = {x.pos: x for x in M.enriched(flagged, said).collect()}
+    assert (got[1].redflag_overrides.require_evidence, got[1].redflag_overrides.force_category, got[1].redflag_messages, got[1].stakeholder) == (True, None, [], ["PM"])
+    assert (got[2].redflag_overrides.force_category, got[2].llm_enriched, got[2].stakeholder) == ("Thermal", False, [])
+    rows = spark.createDataFrame([(1, None, None), (2, "", None), (3, None, [])], "i int, owner string, category array<string>")
+    assert [x.e for x in rows.orderBy("i").select(P.is_enriched(rows.columns).alias("e")).collect()] == [False, True, True]
+    assert [x.e for x in rows.select(P.is_enriched(["i"]).alias("e")).collect()] == [False] * 3
     assert [x.req_id for x in inference.mock_items(spark).collect()] == ["BIOS-4", "HOST-36", "AUTO-mock-1-001"]
 
 
