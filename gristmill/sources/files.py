@@ -37,7 +37,7 @@ def cases(spark: SparkSession, folder: str) -> DataFrame:
 
 def text_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """path and whole text; bytes that are no UTF-8 are left out."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder)
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder, wholetext=True)
     return df.select(F.col("_metadata.file_path").alias("path"), F.replace("value", F.lit("�"), F.lit("")).alias("text"))
 
 
