@@ -77,7 +77,8 @@ def asked(df: DataFrame, prompt: str, factory: ClientFactory, retries: int = 3,
 
 
 def parsed_answers(df: DataFrame) -> DataFrame:
-    """Adds json: the answer cleaned by expressions, then repaired where it does not parse. Only broken rows meet Python."""
+    """Adds json: the answer cleaned by expressions, then repaired where it does not parse. df is read once, as its rows may be
+    calls; Python gets the texts of broken rows, and nulls for the others."""
 
     @F.pandas_udf("string")
     def mend(s: pd.Series) -> pd.Series:
@@ -90,10 +91,8 @@ def parsed_answers(df: DataFrame) -> DataFrame:
         return s.map(one, na_action="ignore")
 
     df = df.withColumn("_clean", parsed_json(F.col("answer")))
-    ok = F.expr("try_parse_json(_clean)").isNotNull()
-    good = df.where(ok).withColumn("json", F.col("_clean"))
-    bad = df.where(~F.coalesce(ok, F.lit(False))).withColumn("json", mend("_clean"))
-    return good.unionByName(bad).drop("_clean")
+    df = df.withColumn("_broken", F.when(F.expr("try_parse_json(_clean)").isNull(), F.col("_clean")))
+    return df.withColumn("json", F.when(F.col("_broken").isNull(), F.col("_clean")).otherwise(mend("_broken"))).drop("_clean", "_broken")
 
 
 def extracted(answers: DataFrame) -> DataFrame:

@@ -175,9 +175,13 @@ def compare_distributions(left: DataFrame, right: DataFrame, column: str) -> Dat
     return both.select("key", F.coalesce("left_n", F.lit(0)).alias("left_n"), F.coalesce("right_n", F.lit(0)).alias("right_n"))
 
 
+#: What two runs are compared by, in the order of a report.
+RUN_METRICS = ["total_items", "requirements", "glossary", "notes", "duplicate_ids", "empty_requirement", "empty_category", "empty_owner"]
+
+
 def compare_runs(left: DataFrame, right: DataFrame) -> DataFrame:
     """The same metrics of two runs side by side."""
-    names = ["total_items", "requirements", "glossary", "notes", "duplicate_ids", "empty_requirement", "empty_category", "empty_owner"]
+    names = RUN_METRICS
 
     def long(df: DataFrame, side: str) -> DataFrame:
         return run_stats(df).agg(*[F.sum(n).alias(n) for n in names]).unpivot([], names, "metric", "value").withColumn("side", F.lit(side))
@@ -185,6 +189,26 @@ def compare_runs(left: DataFrame, right: DataFrame) -> DataFrame:
     return long(left, "left").unionByName(long(right, "right")).groupBy("metric").pivot("side", ["left", "right"]).agg(F.sum("value"))
 
 
+def compare_report(left: DataFrame, right: DataFrame) -> DataFrame:
+    """section, ord, key, line: the comparison of two runs as the lines of a Markdown text, in this order: metrics, the first
+    ids that a case has twice, requirements by category, level and status. A section's title and table head come at ord 0."""
+    spark = left.sparkSession
+    row = lambda key, a, b: F.concat(F.lit("| "), key, F.lit(" | "), a.cast("string"), F.lit(" | "), b.cast("string"), F.lit(" |"))
+    entry = lambda section, order, key, line: [F.lit(section).alias("section"), order.alias("ord"), key.alias("key"), line.alias("line")]
+    head = lambda title, key: f"## {title}\n\n| {key} | left | right |\n|---|---|---|"
+    titles = [(1, head("Counts", "metric")), (2, "## Ids that occur twice"), (3, head("Categories", "key")), (4, head("Levels", "key")), (5, head("Status", "key"))]
+    out = spark.createDataFrame([(s, 0, "", t) for s, t in titles], "section int, ord int, key string, line string")
+    metric = F.array_position(F.array(*map(F.lit, RUN_METRICS)), F.col("metric")).cast("int")
+    out = out.unionByName(compare_runs(left, right).select(*entry(1, metric, F.col("metric"), row(F.col("metric"), F.col("left"), F.col("right")))))
+    for order, (side, items) in enumerate((("left", left), ("right", right)), 1):
+        line = F.concat(F.lit(f"- {side}, "), "case_id", F.lit(": "), F.col("n").cast("string"), F.lit(" ("), F.array_join("first_ids", ", "), F.lit(")"))
+        out = out.unionByName(duplicate_ids(items).select(*entry(2, F.lit(order), F.col("case_id"), line)))
+    asked = [df.where("type = 'requirement'") for df in (left, right)]
+    for section, column in enumerate(("category", "must_level", "status"), 3):
+        out = out.unionByName(compare_distributions(*asked, column).select(*entry(section, F.lit(1), F.col("key"), row(F.col("key"), F.col("left_n"), F.col("right_n")))))
+    return out
+
+
 def modal_file(items: DataFrame) -> DataFrame:
     """Each case's most common file: .docx ones if there are any, ties to the first met; numbers and placeholders don't count."""
     f = strip(F.col("file"))

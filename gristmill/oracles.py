@@ -251,6 +251,16 @@ c AS (SELECT *, list_filter(list_transform(wanted, lambda w: list_filter(range(1
 SELECT pos, t[coalesce(k, 1)]::INT AS "table", r[coalesce(k, 1)]::INT AS table_row, CASE WHEN starts_with(req_id, 'RFQ-') THEN req_id ELSE 'RFQ-' || upper(split_part(replace(usable[1], '-', ' '), ' ', 1)) || '-' || printf('%03d', split_part(replace(usable[1], '-', ' '), ' ', 2)::INT) END AS matrix_id, 12 AS page, 'S' AS sheet, 5 AS row,
   CASE WHEN req_id = '' THEN 'AUTO-f.docx-3-' || printf('%03d', (pos % 1200)::INT) ELSE req_id END AS repaired FROM c"""
 
+REPORT = f"""WITH c AS ({CLEAN}), l AS ({SIDE.format(k=0)}), r AS ({SIDE.format(k=1)}), m AS (SELECT unnest(range(1, {len(METRICS) + 1}))::INT AS ord, unnest([{', '.join(map(q, METRICS))}]) AS key, unnest([{', '.join('l.' + m for m in METRICS)}]) AS a, unnest([{', '.join('r.' + m for m in METRICS)}]) AS b FROM l, r),
+t AS (SELECT case_id, pos % 2 AS side, req_id FROM c WHERE req_id <> '' GROUP BY ALL HAVING count(*) > 1), u AS (SELECT case_id, side, count(*) AS n, array_to_string(list_sort(list(req_id))[:10], ', ') AS ids FROM t GROUP BY ALL),
+k AS (SELECT pos, unnest([3, 4, 5])::INT AS section, unnest([coalesce(nullif({first_cat('category')}, ''), '(none)'), coalesce(must_level, '(none)'), coalesce(nullif(status, ''), '(none)')]) AS key FROM c WHERE type = 'requirement'),
+d AS (SELECT section, key, count(*) FILTER (WHERE pos % 2 = 0) AS a, count(*) FILTER (WHERE pos % 2 = 1) AS b FROM k GROUP BY ALL)
+SELECT 1 AS section, ord, key, concat('| ', key, ' | ', a, ' | ', b, ' |') AS line FROM m
+UNION ALL SELECT 2, (side + 1)::INT, case_id, concat('- ', CASE side WHEN 0 THEN 'left' ELSE 'right' END, ', ', case_id, ': ', n, ' (', ids, ')') FROM u
+UNION ALL SELECT section, 1, key, concat('| ', key, ' | ', a, ' | ', b, ' |') FROM d
+UNION ALL SELECT section, 0, '', CASE section WHEN 2 THEN '## ' || t ELSE concat('## ', t, chr(10), chr(10), '| ', h, ' | left | right |', chr(10), '|---|---|---|') END FROM (VALUES (1, 'Counts', 'metric'), (2, 'Ids that occur twice', ''), (3, 'Categories', 'key'), (4, 'Levels', 'key'), (5, 'Status', 'key')) AS v(section, t, h)"""
+BLOCKS = "WITH b AS (SELECT *, string_split(t, ' ') AS c FROM (SELECT doc_id, doc_id % 4 AS m, doc_id || ['.docx', '.doc', '.xlsx', '.pdf'][doc_id % 4 + 1] AS file, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents))"
+
 
 ORACLE_SQL: dict[str, str] = {
     "summary_matrix": summarised(f"WITH {MERGED}"),
@@ -267,6 +277,10 @@ ORACLE_SQL: dict[str, str] = {
     "export_sheets": f"WITH {MERGED}, s AS (SELECT case_id, unnest(CASE WHEN sheet = 'Main' THEN ['Compliance Matrix', CASE {BUCKET} {' '.join(f'WHEN {q(n)} THEN {q(f"{i}. {n}")}' for i, (n, _) in enumerate(X.BUCKETS, 3))} END] ELSE [sheet] END) AS sheet FROM w) SELECT case_id, sheet, count(*) AS n FROM s GROUP BY ALL",
     "review_filter": f"WITH c AS ({CLEAN}), r AS ({RESP}) SELECT c.case_id, c.pos, c.req_id FROM c LEFT JOIN r USING (case_id, req_id) WHERE coalesce(c.status, '') <> 'AUTO_SKIP' AND coalesce(nullif(r.status, ''), c.status, 'NEW') = 'PARTIAL' AND owner = 'QA'",
     "compare_runs": f"WITH c AS ({CLEAN}), l AS ({SIDE.format(k=0)}), r AS ({SIDE.format(k=1)}) SELECT unnest([{', '.join(map(q, METRICS))}]) AS metric, unnest([{', '.join('l.' + m for m in METRICS)}]) AS \"left\", unnest([{', '.join('r.' + m for m in METRICS)}]) AS \"right\" FROM l, r",
+    "compare_report": REPORT,
+    "head_samples": f"{BLOCKS}, s AS (SELECT file, ord, CASE m WHEN 0 THEN CASE WHEN ord < 40 THEN t END WHEN 3 THEN CASE WHEN ord < 5 THEN 'Page ' || (ord + 1) || ': ' || left(t, 500) END WHEN 1 THEN CASE WHEN ord >= 50 THEN NULL WHEN ord % 5 < 2 THEN 'Table ' || (ord // 5 + 1) || ' row ' || (ord % 5 + 1) || ': ' || array_to_string(list_filter(c, lambda x: x <> ''), ' | ') WHEN ord % 5 < 4 AND c[1] <> '' THEN 'Table ' || (ord // 5 + 1) || ' id: ' || c[1] END ELSE CASE WHEN ord < 24 AND ord % 6 < 4 THEN 'Sheet S' || (ord // 6) || ' row ' || (ord % 6 + 1) || ': ' || array_to_string(list_filter(c, lambda x: x <> '')[:8], ' | ') END END AS line FROM b) SELECT '/in/' || file AS path, 'File: ' || file || chr(10) || string_agg(line, chr(10) ORDER BY ord) AS sample FROM s GROUP BY file",
+    "sheet_samples": f"{BLOCKS} SELECT '/in/' || file AS path, 'S' || (ord // 6) AS sheet, string_agg('Row ' || (ord % 6 + 1) || ': ' || array_to_string(c, ' | '), chr(10) ORDER BY ord) AS sample FROM b WHERE m = 2 GROUP BY 1, 2",
+    "case_schemas": f"{BLOCKS}, f AS (SELECT DISTINCT doc_id // 10 AS case_id, file, m FROM b) SELECT case_id, CASE WHEN count(*) FILTER (WHERE m = 2) > 0 THEN 'matrix' ELSE 'unknown' END AS rfq_format, 'B' AS requirement_col, coalesce(string_agg(file, ',' ORDER BY file) FILTER (WHERE m = 2), '') AS main_files, (count(*) FILTER (WHERE m = 3))::INT AS n_appendix FROM f GROUP BY case_id",
     "plain_triage": PLAIN,
     "source_ref": f"{I}, {PRIMARY}, {SOURCED.format(src='items')}, z AS (SELECT *, {SHOWN} AS nm FROM sourced) SELECT pos, f AS file, {PLACE} AS source FROM z",
     "text_clean": f"{I}, a AS (SELECT pos, requirement, {strip(f"regexp_replace(' Falls under RF_CERT  per redflag: ' || requirement || '  ., ', {q(X.PROMPT_TRACES)}, '', 'gi')")} AS c FROM items) SELECT pos, trim(regexp_replace(c, '\\s{{2,}}', ' ', 'g'), ' .,;') AS cleaned, CASE WHEN length(requirement) > 30 THEN left(requirement, 30) || ' ...' ELSE requirement END AS excerpt, left({strip(f"""regexp_replace(regexp_replace({strip("'a/b:  ' || requirement")}, '[\\\\/:*?"<>|]+', '_', 'g'), '\\s+', ' ', 'g')""")}, 80) AS safe_key, {strip("split_part(requirement || ' , x', ',', 1)")} AS first, regexp_replace(left('é中' || requirement, 20), '[^\\x00-\\x7F]', '?', 'g') AS preview FROM items JOIN a USING (pos, requirement)",

@@ -10,6 +10,7 @@ from gristmill.functions import fixed as X
 from gristmill.functions import model as M
 from gristmill.functions import rules as R
 from gristmill.functions import scalars as S
+from gristmill.sources import sinks
 
 #: How much of a file its sample shows: paragraphs, tables and rows of each, first cells that may be ids, sheets, their rows and
 #: cells, pages and characters of each.
@@ -33,8 +34,8 @@ Notes: {notes}
 Rules:
 {rules}
 Keys: type (requirement, glossary, note), must_level (MUST, SHOULD, MAY, INFO), category, owner, stakeholder (list), redflag (list), redflag_message, status (PENDING, NEED_REVIEW, AUTO_SKIP)."""
-FILE_SCHEMA = "struct<file:string,file_type:string,format:string,is_main_requirement:boolean,req_id_style:string,req_id_rule:string,confidence:double,notes:string>"
-CASE_SCHEMA = "struct<customer:string,rfq_format:string,req_id_style:string,req_id_rule:string,main_files:array<string>,appendix_files:array<string>,language:string,confidence:double,notes:string>"
+FILE_SCHEMA = "struct<file:string,file_type:string,format:string,is_main_requirement:boolean,req_id_style:string,req_id_rule:string,table_cols:string,confidence:double,notes:string>"
+CASE_SCHEMA = "struct<customer:string,rfq_format:string,req_id_style:string,req_id_rule:string,table_structure:struct<id_col:string,requirement_col:string,comment_col:string>,main_files:array<string>,appendix_files:array<string>,language:string,confidence:double,notes:string>"
 COLUMN_SCHEMA = "struct<header_row:int,req_id_col:int,requirement_col:int>"
 
 
@@ -66,25 +67,44 @@ def _filled(template: str, **columns) -> F.Column:
 
 
 def file_schemas(samples: DataFrame, factory: M.ClientFactory, template: str = FILE_PROMPT, **options) -> DataFrame:
-    """The first round: path and what the model says of each file. An answer that can't be read makes the file unknown."""
+    """The first round: case_id, path and what the model says of each file of samples (case_id, path, sample). An answer that
+    can't be read makes the file unknown."""
     asked = M.asked(samples.withColumn("prompt", _filled(template, sample=F.left("sample", F.lit(PROMPT_CHARS)))), "prompt", factory, **options)
-    said = M.parsed_answers(asked).select("path", F.from_json("json", FILE_SCHEMA).alias("s"))
-    return said.select("path", F.coalesce("s.file", S.file_name(F.col("path"))).alias("file"), "s.file_type", F.coalesce("s.format", F.lit("unknown")).alias("format"), F.coalesce("s.is_main_requirement", F.lit(False)).alias("is_main_requirement"), "s.req_id_style", "s.req_id_rule", F.coalesce("s.confidence", F.lit(0.0)).alias("confidence"), "s.notes")
+    said = M.parsed_answers(asked).select("case_id", "path", F.from_json("json", FILE_SCHEMA).alias("s"))
+    return said.select("case_id", "path", F.coalesce("s.file", S.file_name(F.col("path"))).alias("file"), "s.file_type", F.coalesce("s.format", F.lit("unknown")).alias("format"), F.coalesce("s.is_main_requirement", F.lit(False)).alias("is_main_requirement"), "s.req_id_style", "s.req_id_rule", "s.table_cols", F.coalesce("s.confidence", F.lit(0.0)).alias("confidence"), "s.notes")
 
 
 def case_schema(files: DataFrame, factory: M.ClientFactory, template: str = CASE_PROMPT, **options) -> DataFrame:
-    """The second round: one row for the files of a case (one row for each file: a case has few), asked together."""
-    listed = files.agg(F.to_json(F.array_sort(F.collect_list(F.struct("file", "file_type", "format", "is_main_requirement", "req_id_style", "req_id_rule", "confidence")))).alias("files")).where("files <> '[]'")
+    """The second round: one row a case, whose files are asked together (a row a file: a case has few). A case whose answer
+    can't be read has no row."""
+    shown = F.struct("file", "file_type", "format", "is_main_requirement", "req_id_style", "req_id_rule", "table_cols", "confidence")
+    listed = files.groupBy("case_id").agg(F.to_json(F.array_sort(F.collect_list(shown))).alias("files"))
     asked = M.asked(listed.withColumn("prompt", _filled(template, files=F.col("files"))), "prompt", factory, **options)
-    return M.parsed_answers(asked).select(F.from_json("json", CASE_SCHEMA).alias("s")).select("s.*")
+    said = M.parsed_answers(asked).select("case_id", F.from_json("json", CASE_SCHEMA).alias("s"), F.json_object_keys("json").alias("keys"))
+    return said.where(F.size("keys") > 0).select("case_id", "s.*")
 
 
-def sheet_columns(rows: DataFrame, factory: M.ClientFactory, template: str = COLUMN_PROMPT, **options) -> DataFrame:
-    """path, sheet, header_row, req_id_col, requirement_col, as far as the model can tell them from the sheet's first rows."""
+def case_schemas_once(samples: DataFrame, path: str, factory: M.ClientFactory, **options) -> DataFrame:
+    """The schemas of the cases of samples (case_id, path, sample), each inferred once: a case that the table at path has is
+    not asked again, whatever became of its files, and new ones are added there. A case whose answer can't be read is asked
+    again by the next call."""
+    kept = sinks.kept(samples.sparkSession, path)
+    new = samples if kept is None else samples.join(kept.select("case_id"), "case_id", "left_anti")
+    case_schema(file_schemas(new, factory, **options), factory, **options).write.mode("append").parquet(path)
+    return samples.sparkSession.read.parquet(path).join(samples.select("case_id"), "case_id", "left_semi")
+
+
+def sheet_samples(rows: DataFrame) -> DataFrame:
+    """path, sheet, sample: the first rows of each sheet."""
     head = rows.where("sheet is not null").withColumn("at", F.row_number().over(Window.partitionBy("path", "sheet").orderBy("ord"))).where(F.col("at") <= COLUMN_ROWS)
     line = F.concat(F.lit("Row "), F.col("at").cast("string"), F.lit(": "), F.array_join("cells", " | "))
-    samples = head.groupBy("path", "sheet").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", line.alias("line")))), lambda x: x["line"]), "\n").alias("sample"))
-    asked = M.asked(samples.withColumn("prompt", _filled(template, sheet=F.col("sheet"), sample=F.col("sample"))), "prompt", factory, **options)
+    return head.groupBy("path", "sheet").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", line.alias("line")))), lambda x: x["line"]), "\n").alias("sample"))
+
+
+def sheet_columns(rows: DataFrame, factory: M.ClientFactory, template: str = COLUMN_PROMPT, **options) -> DataFrame:
+    """path, sheet, header_row, req_id_col, requirement_col, as far as the model can tell them from the sheet's first rows."""
+    prompts = sheet_samples(rows).withColumn("prompt", _filled(template, sheet=F.col("sheet"), sample=F.col("sample")))
+    asked = M.asked(prompts, "prompt", factory, **options)
     return M.parsed_answers(asked).select("path", "sheet", F.from_json("json", COLUMN_SCHEMA).alias("s")).select("path", "sheet", "s.*")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -179,6 +181,13 @@ def compare_runs(spark, sf_dir):
     return T.compare_runs(df.where("pos % 2 = 0"), df.where("pos % 2 = 1"))
 
 
+@query
+def compare_report(spark, sf_dir):
+    """The same two runs as the lines of a report."""
+    df = clean_items(spark, sf_dir)
+    return T.compare_report(df.where("pos % 2 = 0"), df.where("pos % 2 = 1"))
+
+
 @query
 def distinct_domains(spark, sf_dir):
     df = clean_items(spark, sf_dir)
@@ -703,6 +712,63 @@ def cached_answers(spark, sf_dir):
         return settled(out.join(asked_counts(spark, folder), "run", "left").join(told, "run").select("run", F.coalesce("asked", F.lit(0)).alias("asked"), "rows_answered", "rows_right"))
 
 
+# --- what a model infers of files and cases
+
+
+def _blocks(spark, sf_dir):
+    """The documents as rows of files: paragraphs, tables of five rows, sheets of six rows, or pages, by id."""
+    m, ord_ = F.pmod("doc_id", F.lit(4)), F.col("line")
+    cells = F.split("text", " ")
+    return lines(spark, sf_dir).select(
+        F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.element_at(F.array(*map(F.lit, (".docx", ".doc", ".xlsx", ".pdf"))), (m + 1).cast("int"))).alias("path"), ord_.alias("ord"),
+        F.when(m == 3, "page").otherwise("row").alias("kind"), F.when(m == 2, F.concat(F.lit("S"), F.floor(ord_ / 6).cast("string"))).alias("sheet"), F.when(m == 1, (F.floor(ord_ / 5) + 1).cast("int")).alias("table"),
+        F.when(m == 1, ord_ % 5 + 1).when(m == 2, ord_ % 6 + 1).otherwise(ord_ + 1).alias("row"), F.when(m.isin(1, 2), cells).otherwise(F.array("text")).alias("cells"),
+    )
+
+
+@query
+def head_samples(spark, sf_dir):
+    from gristmill.plans.inference import head_samples as samples
+
+    return samples(_blocks(spark, sf_dir))
+
+
+@query
+def sheet_samples(spark, sf_dir):
+    from gristmill.plans.inference import sheet_samples as samples
+
+    return samples(_blocks(spark, sf_dir))
+
+
+def _schema_client():
+    """Stands for a model: a file's kind by its name, and a case's main files by what was said of each."""
+
+    def client(prompt: str) -> str:
+        if "one document" in prompt:
+            name = re.search(r"^File: (.*)$", prompt, re.M)[1]
+            if name.endswith(".pdf"):
+                return "can't tell"
+            return json.dumps({"file": name, "format": "matrix" if name.endswith(".xlsx") else "plain_text", "is_main_requirement": name.endswith(".xlsx"), "table_cols": "A, B", "confidence": 0.5})
+        told = json.loads(next(x for x in prompt.split("\n") if x.startswith("[")))
+        main = [f["file"] for f in told if f["is_main_requirement"]]
+        return json.dumps({"rfq_format": "matrix" if main else "unknown", "table_structure": {"id_col": "A", "requirement_col": "B"}, "main_files": main, "appendix_files": [f["file"] for f in told if f["format"] == "unknown"], "confidence": 0.5})
+
+    return client
+
+
+@query
+def case_schemas(spark, sf_dir):
+    """The schema of each case of about ten files, inferred in two rounds: half of the cases first, then all."""
+    from gristmill.plans.inference import case_schemas_once
+    from gristmill.plans.inference import head_samples as samples
+
+    found = samples(_blocks(spark, sf_dir)).withColumn("case_id", F.floor(F.regexp_extract("path", r"(\d+)", 1).cast("long") / 10))
+    with scratch(spark, "schemas") as folder:
+        case_schemas_once(found.where("case_id % 2 = 0"), f"{folder}/kept", _schema_client)
+        told = case_schemas_once(found, f"{folder}/kept", _schema_client)
+        return settled(told.select("case_id", "rfq_format", F.col("table_structure.requirement_col").alias("requirement_col"), F.array_join(F.array_sort("main_files"), ",").alias("main_files"), F.size("appendix_files").alias("n_appendix")))
+
+
 # --- live state of runs
 
 

@@ -6,7 +6,7 @@ import itertools
 import zipfile
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions import fixed as X
@@ -26,13 +26,23 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def kept(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at a path, None if nothing is there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return spark.read.parquet(path) if there else None
+
+
 def write_once(df: DataFrame, path: str) -> DataFrame:
     """Reads what is at the path; if nothing is, writes df there first."""
-    spark = df.sparkSession
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    if kept(df.sparkSession, path) is None:
         df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """The lines of a report (section, ord, key, line) as one text file in a folder; a report has as many rows as keys."""
+    report.orderBy("section", "ord", "key").coalesce(1).select("line").write.mode("overwrite").text(path)
 
 
 def _cell(k: int, row: int, v) -> str:

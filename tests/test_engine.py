@@ -471,14 +471,55 @@ def test_schemas_are_inferred_by_file_and_case(spark):
 
         return client
 
-    found = inference.file_schemas(inference.head_samples(sample_rows(spark)), factory).cache()
+    samples = inference.head_samples(sample_rows(spark)).withColumn("case_id", F.lit("k"))
+    found = inference.file_schemas(samples, factory).cache()
     assert {x.file: (x.format, x.is_main_requirement, x.confidence) for x in found.collect()} == {"a.docx": ("matrix", True, 0.8), "b.xlsx": ("unknown", False, 0.0), "c.pdf": ("matrix", False, 0.8)}
     case = inference.case_schema(found, factory).collect()
-    assert len(case) == 1 and case[0].main_files == ["a.docx"] and inference.case_schema(found.limit(0), factory).count() == 0
+    assert len(case) == 1 and (case[0].case_id, case[0].main_files) == ("k", ["a.docx"]) and inference.case_schema(found.limit(0), factory).count() == 0
     columns_ = {x.sheet: x.requirement_col for x in inference.sheet_columns(sample_rows(spark), factory).collect()}
     assert columns_["S1"] == 2 and columns_["S0"] is None
 
 
+def test_schemas_are_inferred_once_a_case(spark, tmp_path):
+    """Each prompt is one line of a log: a case that is kept costs none, one without a readable answer is asked again."""
+    from gristmill.plans import inference
+
+    log = tmp_path / "asked"
+
+    def factory():
+        def client(prompt):
+            with open(log, "a") as f:
+                f.write(prompt.split("\n")[0][:20] + "\n")
+            if "one document" in prompt:
+                return "{'file': 'x.docx', 'table_cols': 'id, text',}" if "new" in prompt else '{"file": "y.docx", "is_main_requirement": true}'
+            return "none" if "x.docx" in prompt else '{"main_files": ["y.docx"], "table_structure": {"id_col": "Ref"}}'
+
+        return client
+
+    sample = lambda *rows: spark.createDataFrame(list(rows), "case_id string, path string, sample string")
+    asked = lambda: len(log.read_text().split("\n")) - 1 if log.exists() else 0
+    path, first, second = str(tmp_path / "kept"), ("a", "/a/y.docx", "old"), ("b", "/b/x.docx", "new")
+    got = inference.case_schemas_once(sample(first), path, factory).collect()
+    assert [(x.case_id, x.main_files, x.table_structure.id_col) for x in got] == [("a", ["y.docx"], "Ref")] and asked() == 2
+    assert inference.case_schemas_once(sample(first), path, factory).count() == 1 and asked() == 2
+    got = inference.case_schemas_once(sample(first, second), path, factory).collect()
+    assert [x.case_id for x in got] == ["a"] and asked() == 4
+    assert inference.case_schemas_once(sample(second), path, factory).count() == 0 and asked() == 6
+    assert inference.case_schemas_once(sample(first).limit(0), path, factory).count() == 0 and asked() == 6
+
+
+def test_a_comparison_reads_as_a_text(spark, tmp_path):
+    items = "case_id string, pos long, req_id string, type string, requirement string, category string, owner string, must_level string, status string"
+    left = spark.createDataFrame([("c", 1, "R1", "requirement", "x", "BIOS, Fan", "QA", "MUST", "NEW"), ("c", 2, "R1", "requirement", "", None, None, None, "")], items)
+    right = spark.createDataFrame([("c", 1, "R1", "note", None, "BIOS", "QA", "MUST", "NEW")], items)
+    sinks.write_report(T.compare_report(left, right), str(tmp_path / "report"))
+    text = spark.read.text(str(tmp_path / "report"), wholetext=True).first().value
+    assert text.startswith("## Counts\n\n| metric | left | right |\n|---|---|---|\n| total_items | 2 | 1 |\n| requirements | 2 | 0 |\n")
+    assert "## Ids that occur twice\n- left, c: 1 (R1)\n## Categories" in text
+    assert "|---|---|---|\n| (none) | 1 | 0 |\n| BIOS | 1 | 0 |\n## Levels" in text and text.endswith("| (none) | 1 | 0 |\n| NEW | 1 | 0 |\n")
+    assert T.compare_report(left.limit(0), right.limit(0)).where("ord = 0").count() == 5
+
+
 def test_model_enrichment_overrides_by_field(spark):
     from gristmill.plans import inference
 
@@ -527,10 +568,10 @@ def test_positions_and_uncalled_helpers(spark, tmp_path):
     listed = spark.createDataFrame([("/a/z.pdf", "t1"), ("/a/b.docx", "t2"), ("/a/c.zip", "t3"), ("/a/a.txt", "t9"), ("/old/b.docx", "t1")], "path string, mtime string")
     assert [x.path for x in T.by_extension(listed).collect()] == ["/a/b.docx", "/old/b.docx", "/a/z.pdf", "/a/a.txt"]
     assert files.newest(listed, "none.json", "b.docx", "z.pdf").first().path == "/a/b.docx"
-    for name, text in (("one.jsonl", '{"a": 1}\n\n{"a": 2}\n'), ("two.jsonl", "\n \n"), ("three.txt", "x")):
+    for name, text in (("one.jsonl", '{"a": 1}\n\n{"a": 2}\n'), ("two.jsonl", "\n \n"), ("three.txt", "x\n\ny\n")):
         (tmp_path / name).write_text(text)
     assert sorted((x.path.rsplit("/", 1)[1], x.n_lines) for x in files.line_counts(spark, str(tmp_path)).collect()) == [("one.jsonl", 2), ("two.jsonl", 0)]
-    assert [x.text for x in files.text_files(spark, str(tmp_path), "*.txt").collect()] == ["x"]
+    assert [x.text for x in files.text_files(spark, str(tmp_path), "*.txt").collect()] == ["x\n\ny\n"]
     (tmp_path / "d.json").write_text('{"a": 3}')
     (tmp_path / "bad.json").write_text('{"a": ')
     assert [x.a for x in files.json_documents(spark, str(tmp_path), "a long").collect()] == [3]
