@@ -650,6 +650,13 @@ def test_rules_are_ordered_by_what_was_measured(spark, monkeypatch):
     sample = spark.range(100).withColumn("n_words", quality.F.lit(1))
     (share, cost), = quality.measured(sample, [quality.Rule("half", quality.F.col("id") < 50)])
     assert share == 0.5 and cost > 0
+    text = quality.F.lit("some letters " * 400)
+    dear = quality.Rule("dear", quality.F.regexp_count(quality.F.concat(text, quality.F.col("id").cast("string")), quality.F.lit(r"\p{L}")) > 5_000)
+    cheap = quality.Rule("cheap", quality.F.col("n_words") > 5)
+    for _ in range(3):
+        (a, b), (c, d) = quality.measured(sample, [cheap, dear])
+        assert (a, c) == (0.0, 0.0) and b < d / 10
+        assert [x.name for x in quality.order_rules(sample, [dear, cheap])] == ["cheap", "dear"]
 
 
 # --- toxicity
