@@ -1,4 +1,4 @@
-"""Language-model scoring: an interpolated modified Kneser-Ney bigram model counted in Spark, kept as sorted hash arrays."""
+"""Language-model scoring: an interpolated modified Kneser-Ney model of any order, counted in Spark, kept as sorted hash arrays."""
 
 from __future__ import annotations
 
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from . import common
 from .kernel import U64, mix, slices, words
 
+#: Words of an n-gram, unless a caller says otherwise; README tells what a higher order takes.
+ORDER = 2
 #: Bytes of text for each shard of the model; tokens that a task counts before it hands counts on; documents of the sample that
 #: tells frequent words, and the share of tokens that makes a word frequent (no more than 1 / SHARE words can be).
 SHARD_BYTES, FLUSH_TOKENS, SAMPLE_DOCS, SHARE = 16 << 20, 1_500_000, 2_000, 2e-4
@@ -62,48 +64,61 @@ def unpack(b: bytes) -> list[np.ndarray]:
     return out
 
 
-def chain(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bigrams (before, token) of the texts, each text with its begin before and its end after its words, and bounds."""
+def chain(data: np.ndarray, ends: np.ndarray, order: int = ORDER) -> tuple[list[np.ndarray], np.ndarray]:
+    """The n-grams of the texts, a column a place, the last one the tokens: each text's words and its end. Before its first word
+    come begins. Also each text's bounds."""
     h, first = words(data, ends)
     ids = np.maximum(h >> U64(64 - ID_BITS), U64(3))
     n = np.diff(first)
     bounds = first + np.arange(len(first))
     token = np.full(len(ids) + len(n), END, U64)
-    at = np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)
-    token[at] = ids
-    before = np.full(len(token), BEGIN, U64)
-    before[at + 1] = ids
-    return before, token, bounds
+    token[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
+    place = np.arange(len(token)) - np.repeat(bounds[:-1], n + 1)
+    back = lambda j: np.where(place >= j, token[np.maximum(np.arange(len(token)) - j, 0)], BEGIN)
+    return [*(back(j) for j in range(order - 1, 0, -1)), token], bounds
 
 
-def key_of(before: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return mix(before * U64(0x9E3779B97F4A7C15) + token)
+def key_of(ids: list[np.ndarray]) -> np.ndarray:
+    key = ids[0]
+    for x in ids[1:]:
+        key = mix(key * U64(0x9E3779B97F4A7C15) + x)
+    return key
 
 
-def shard_of(before: np.ndarray, key: np.ndarray, frequent: np.ndarray, shards: int) -> np.ndarray:
-    """A bigram lies in the shard of its first word; if that is frequent, in one drawn by the bigram itself."""
+def shard_of(ids: list[np.ndarray], key: np.ndarray, frequent: np.ndarray, shards: int) -> np.ndarray:
+    """An n-gram lies in the shard of the word before its last; if that is frequent, in one drawn by the n-gram itself. A word
+    lies in its own."""
+    if len(ids) == 1:
+        return (mix(ids[0]) % U64(shards)).astype(np.int64)
+    before = ids[-2]
     own = mix(before) % U64(shards)
     at = np.minimum(np.searchsorted(frequent, before), max(len(frequent) - 1, 0))
     hot = frequent[at] == before if len(frequent) else np.zeros(len(before), bool)
     return np.where(hot, key % U64(shards), own).astype(np.int64)
 
 
-def grouped_sums(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+def starts_of(key: np.ndarray) -> np.ndarray:
+    """Where each distinct one of sorted keys starts."""
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+
+
+def summed(ids: list[np.ndarray], *values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Distinct n-grams in the order of their keys: keys, ids, and the sums of their values."""
+    key = key_of(ids)
     order = np.argsort(key, kind="stable")
     key = key[order]
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key[start], [np.add.reduceat(v[order], start) if len(start) else v[:0] for v in values]
+    start = starts_of(key)
+    return key[start], [c[order[start]] for c in ids], [np.add.reduceat(v[order], start) if len(start) else v[:0] for v in values]
 
 
-def count_pairs(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct bigrams of (before, token, count) parts: key, before, token, count, in key order."""
-    before, token, count = (np.concatenate([p[k] for p in pairs]) for k in range(3))
-    key = key_of(before, token)
-    order = np.argsort(key, kind="stable")
-    sorted_ = key[order]
-    start = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(key) else np.zeros(0, np.int64)
-    head = order[start]
-    return sorted_[start], before[head], token[head], np.add.reduceat(count[order], start) if len(start) else count[:0]
+def lower_grams(ids: list[np.ndarray], count: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """What distinct n-grams tell of those a word shorter: keys, ids, and of each its distinct words before, its occurrences,
+    and as a context the sum of counts and how many successors have a count of one, two, three or more."""
+    one, none, met = np.ones(len(count), np.int64), np.zeros(len(count), np.int64), count > 0
+    context = [none, none, count, (count == 1) * one, (count == 2) * one, (count >= 3) * one]
+    suffix = [one[met], raw[met], *[none[met]] * 4]
+    shorter = [np.concatenate([a, b[met]]) for a, b in zip(ids[:-1], ids[1:], strict=True)]
+    return summed(shorter, *(np.concatenate(x) for x in zip(context, suffix, strict=True)))
 
 
 def save(folder: str, name: str, **arrays: np.ndarray) -> None:
@@ -140,25 +155,41 @@ class Tables:
 def parted(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each shard that occurs, and the places where it does, in order."""
     order = np.argsort(shard, kind="stable")
-    edges = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1], [True]])) if len(shard) else np.zeros(1, np.int64)
+    edges = np.append(starts_of(shard[order]), len(shard))
     for low, high in zip(edges[:-1], edges[1:], strict=True):
         yield int(shard[order[low]]), order[low:high]
 
 
+#: Figures of an n-gram that is a context too: distinct words before it, occurrences, and four as a context.
+FIGURES = 6
+
+
+def table_name(k: int) -> str:
+    return {1: "words", 2: "pairs"}.get(k, f"grams{k}")
+
+
 @dataclass
 class Model:
-    """folder: where the shards are; frequent: words whose bigrams are spread over shards; totals and discounts."""
+    """folder: where the shards are; frequent: words whose n-grams are spread over shards; totals, and discounts by length."""
 
     folder: str
+    order: int
     shards: int
     frequent: np.ndarray
     tokens: int
     distinct: int
     continued: int
-    d1: tuple[float, float, float]
-    d2: tuple[float, float, float]
+    discounts: dict[int, tuple[float, float, float]]
     level: float
 
+    @property
+    def d1(self) -> tuple[float, float, float]:
+        return self.discounts[1]
+
+    @property
+    def d2(self) -> tuple[float, float, float]:
+        return self.discounts[2]
+
 
 def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
     """Chen and Goodman's three discounts from counts of counts; where those are too few to tell, 0.5 of a count."""
@@ -178,8 +209,8 @@ def frequent_words(docs: DataFrame, n: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, ends in slices(batch, "text"):
-                before, _, _ = chain(data, ends)
-                key, (c,) = grouped_sums(before, np.ones(len(before), np.int64))
+                (before, _), _ = chain(data, ends, 2)
+                key, _, (c,) = summed([before], np.ones(len(before), np.int64))
                 keep = c >= SHARE / 2 * c.sum()
                 yield pa.RecordBatch.from_arrays([pa.array(key[keep].astype(np.int64)), pa.array(c[keep]), pa.array(np.full(keep.sum(), c.sum()))], ["word", "c", "n"])
 
@@ -188,90 +219,101 @@ def frequent_words(docs: DataFrame, n: int) -> np.ndarray:
     return np.unique(np.concatenate([top.astype(np.uint64), [BEGIN]])).astype(np.uint64)
 
 
-def fitted(docs: DataFrame, folder: str) -> Model:
-    """Counts every bigram of docs' whole texts and writes the model to a folder that all executors share.
+def fitted(docs: DataFrame, folder: str, order: int = ORDER) -> Model:
+    """Counts every n-gram of `order` words (2 or more) of docs' whole texts and writes the model to a folder that all
+    executors share.
 
-    Tasks count the bigrams they read, and hand on distinct ones by shard, as packed arrays. Each shard merges its parts and
-    keeps its bigrams as sorted hashes with their counts. What it knows of words (successors of a first word by their count,
-    distinct words before a second one) goes on, pre-summed, to the word shards, which hold each word's figures likewise."""
+    Tasks count the n-grams they read, and hand on distinct ones by shard, as packed arrays. Each shard merges its parts and
+    keeps its n-grams as sorted hashes with their counts. What it knows of those a word shorter (successors of a context by
+    their count, distinct words before a suffix, occurrences) goes on, pre-summed, to the shards of those, and so down to words."""
+    if order < 2:
+        raise ValueError("a model's order is 2 or more")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     shards = max(1, -(-(size[1] or 0) // SHARD_BYTES))
     frequent = frequent_words(docs, size[0])
 
-    def by_shard(shard: np.ndarray, *columns: np.ndarray) -> list[tuple[int, bytes]]:
-        return [(s, pack(*(c[at] for c in columns))) for s, at in parted(shard)]
-
-    def rows(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int64()), pa.array([b for _, b in found], pa.binary())], ["shard", "part"])
+    def by_shard(key: np.ndarray, ids: list[np.ndarray], values: list[np.ndarray]) -> list[tuple[int, bytes]]:
+        if len(ids) > 1:  # equal words before the last next to each other pack better
+            near = np.argsort(ids[-2], kind="stable")
+            key, ids, values = key[near], [c[near] for c in ids], [v[near] for v in values]
+        return [(s, pack(*(c[at] for c in (*ids, *values)))) for s, at in parted(shard_of(ids, key, frequent, shards))]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
-            key, before, token, c = count_pairs(held)
-            order = np.argsort(before, kind="stable")  # equal first words next to each other pack better
-            key, before, token, c = key[order], before[order], token[order], c[order]
-            return rows(by_shard(shard_of(before, key, frequent, shards), before, token, c))
+            found = by_shard(*summed([np.concatenate(c) for c in zip(*held, strict=True)], np.ones(n, np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int64()), pa.array([b for _, b in found], pa.binary())], ["shard", "part"])
 
         for batch in batches:
             for _, data, ends in slices(batch, "text"):
-                before, token, _ = chain(data, ends)
-                held.append((before, token, np.ones(len(before), np.int64)))
-                n += len(before)
+                grams, _ = chain(data, ends, order)
+                held.append(grams)
+                n += len(grams[0])
                 if n >= FLUSH_TOKENS:
                     yield flush()
                     held, n = [], 0
         if n:
             yield flush()
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        s = int(group["shard"].iloc[0])
-        key, before, token, c = count_pairs([tuple(unpack(b)) for b in group["part"]])
-        wide = len(c) and int(c.max()) >= 1 << 32
-        save(folder, f"pairs-{s}", keys=key, **({"counts8": c.astype("<u8")} if wide else {"counts": c.astype("<u4")}))
-        one = np.ones(len(key), np.int64)
-        heads, figures = grouped_sums(before, c, (c == 1) * one, (c == 2) * one, (c >= 3) * one)
-        tails, (met,) = grouped_sums(token, one)
-        ends = c[token == END].sum()
-        out = by_shard((mix(heads) % U64(shards)).astype(np.int64), heads, *figures, np.zeros(len(heads), np.int64))
-        none = np.zeros(len(tails), np.int64)
-        seen = np.where(tails == END, ends, 0)
-        out += by_shard((mix(tails) % U64(shards)).astype(np.int64), tails, seen, none, none, none, met)
-        stats = np.array([(c == k).sum() for k in (1, 2, 3, 4)], np.int64)
-        return pd.DataFrame([(x, b, 0, 0, 0, 0) for x, b in out] + [(-1, b"", *stats.tolist())], columns=["shard", "part", "n1", "n2", "n3", "n4"])
+    def merged(group: pd.DataFrame, k: int) -> tuple[int, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        parts = [unpack(b) for b in group["part"]]
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        return int(group["shard"].iloc[0]), *summed(columns[:k], *columns[k:])
+
+    def merge(k: int):
+        def run(group: pd.DataFrame) -> pd.DataFrame:
+            s, key, ids, figures = merged(group, k)
+            c, raw = figures[0], figures[0 if k == order else 1]
+            kept = np.stack(figures, axis=1)
+            wide = len(kept) and int(kept.max()) >= 1 << 32
+            save(folder, f"{table_name(k)}-{s}", keys=key, **({"counts8": kept.astype("<u8")} if wide else {"counts": kept.astype("<u4")}))
+            stats = [int((c == j).sum()) for j in (1, 2, 3, 4)]
+            return pd.DataFrame([(x, b, 0, 0, 0, 0) for x, b in by_shard(*lower_grams(ids, c, raw))] + [(-1, b"", *stats)], columns=["shard", "part", "n1", "n2", "n3", "n4"])
+
+        return run
 
     def merge_words(group: pd.DataFrame) -> pd.DataFrame:
-        s = int(group["shard"].iloc[0])
-        parts = [unpack(b) for b in group["part"]]
-        word, (c, n1, n2, n3, met) = grouped_sums(*(np.concatenate([p[k] for p in parts]) for k in range(6)))
-        save(folder, f"words-{s}", keys=word, figures=np.stack([c, n1, n2, n3, met], axis=1).astype("<i8"))
-        token = word != BEGIN
-        return pd.DataFrame([(int(c[token].sum()), int((token & (c > 0)).sum()), int(met.sum()), *(int((met == k).sum()) for k in (1, 2, 3, 4)), int((met >= 3).sum()))], columns=["tokens", "distinct", "continued", "m1", "m2", "m3", "m4", "m3p"])
-
-    pairs = docs.mapInArrow(count, "shard long, part binary").groupBy("shard").applyInPandas(merge, "shard long, part binary, n1 long, n2 long, n3 long, n4 long")
-    pairs = common.settled(pairs)
-    n = pairs.where("shard < 0").agg(*[F.sum(f"n{k}") for k in (1, 2, 3, 4)]).first()
-    out = pairs.where("shard >= 0").select("shard", "part").groupBy("shard").applyInPandas(merge_words, "tokens long, distinct long, continued long, m1 long, m2 long, m3 long, m4 long, m3p long")
+        s, word, _, figures = merged(group, 1)
+        save(folder, f"words-{s}", keys=word, figures=np.stack(figures, axis=1).astype("<i8"))
+        met, raw = figures[:2]
+        return pd.DataFrame([(int(raw.sum()), int((raw > 0).sum()), int(met.sum()), *(int((met == k).sum()) for k in (1, 2, 3, 4)), int((met >= 3).sum()))], columns=["tokens", "distinct", "continued", "m1", "m2", "m3", "m4", "m3p"])
+
+    found, d = docs.mapInArrow(count, "shard long, part binary"), {}
+    for k in range(order, 1, -1):
+        held = common.settled(found.groupBy("shard").applyInPandas(merge(k), "shard long, part binary, n1 long, n2 long, n3 long, n4 long"))
+        n = held.where("shard < 0").agg(*[F.sum(f"n{j}") for j in (1, 2, 3, 4)]).first()
+        d[k] = discounts(*(float(x or 0) for x in n))
+        found = held.where("shard >= 0").select("shard", "part")
+    out = found.groupBy("shard").applyInPandas(merge_words, "tokens long, distinct long, continued long, m1 long, m2 long, m3 long, m4 long, m3p long")
     t = out.agg(*[F.sum(c).alias(c) for c in out.columns]).first()
     tokens, distinct, continued = (t[k] or 0 for k in ("tokens", "distinct", "continued"))
-    d1 = discounts(*(float(t[f"m{k}"] or 0) for k in (1, 2, 3, 4)))
-    d2 = discounts(*(float(x or 0) for x in n))
-    level = (d1[0] * (t["m1"] or 0) + d1[1] * (t["m2"] or 0) + d1[2] * (t["m3p"] or 0)) / max(continued, 1)
-    return Model(folder, shards, frequent, tokens, distinct, continued, d1, d2, level)
+    d[1] = discounts(*(float(t[f"m{k}"] or 0) for k in (1, 2, 3, 4)))
+    level = (d[1][0] * (t["m1"] or 0) + d[1][1] * (t["m2"] or 0) + d[1][2] * (t["m3p"] or 0)) / max(continued, 1)
+    return Model(folder, order, shards, frequent, tokens, distinct, continued, d, level)
 
 
 class Scorer:
-    """Maps a model's arrays into memory as they are needed and looks up a slice's words and bigrams, each distinct one once."""
+    """Maps a model's arrays into memory as they are needed and looks up a slice's n-grams, each distinct one once."""
 
     def __init__(self, model: Model):
         self.m = m = model
-        self.pairs = Tables(self.pair_table)
-        self.words = Tables(lambda s: (mapped(m.folder, f"words-{s}", "keys", "<u8"), mapped(m.folder, f"words-{s}", "figures", "<i8").reshape(-1, 5)))
+        words_of = lambda s: (mapped(m.folder, f"words-{s}", "keys", "<u8"), mapped(m.folder, f"words-{s}", "figures", "<i8").reshape(-1, FIGURES))
+        self.tables = {1: Tables(words_of)} | {k: Tables(self.reader(k)) for k in range(2, m.order + 1)}
+        self.words, self.pairs = self.tables[1], self.tables[2]
+
+    def width(self, k: int) -> tuple[int, ...]:
+        return () if k == self.m.order else (FIGURES,)
 
-    def pair_table(self, s: int) -> tuple[np.ndarray, np.ndarray]:
-        counts = mapped(self.m.folder, f"pairs-{s}", "counts", "<u4")
-        return mapped(self.m.folder, f"pairs-{s}", "keys", "<u8"), counts if len(counts) else mapped(self.m.folder, f"pairs-{s}", "counts8", "<u8")
+    def reader(self, k: int):
+        def read(s: int) -> tuple[np.ndarray, np.ndarray]:
+            name = f"{table_name(k)}-{s}"
+            counts = mapped(self.m.folder, name, "counts", "<u4")
+            counts = counts if len(counts) else mapped(self.m.folder, name, "counts8", "<u8")
+            return mapped(self.m.folder, name, "keys", "<u8"), counts.reshape(-1, *self.width(k))
+
+        return read
 
     @staticmethod
     def lookup(key: np.ndarray, shard: np.ndarray, tables: Tables, width: tuple) -> np.ndarray:
@@ -285,25 +327,31 @@ class Scorer:
                 out[own[hit]] = values[at[hit]]
         return out
 
+    def figures(self, ids: list[np.ndarray]) -> np.ndarray:
+        """What the model holds of n-grams, a row each."""
+        k = len(ids)
+        key, some, again = np.unique(key_of(ids), return_index=True, return_inverse=True)
+        return self.lookup(key, shard_of([c[some] for c in ids], key, self.m.frequent, self.m.shards), self.tables[k], self.width(k))[again]
+
     def score(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base_score and score of each text."""
         m = self.m
-        before, token, bounds = chain(data, ends)
+        grams, bounds = chain(data, ends, m.order)
         n = np.diff(bounds)
-        word, back = np.unique(np.concatenate([token, before]), return_inverse=True)
-        figures = self.lookup(word, (mix(word) % U64(m.shards)).astype(np.int64), self.words, (5,))
-        c = np.where(word == BEGIN, 0, figures[:, 0])
+        earlier = np.arange(len(grams[0])) - 1
+        earlier[bounds[:-1]] = -1  # a first token's context is begins, whose figures stand last
+        with_begin = [np.append(c, BEGIN) for c in grams]
+        held = self.figures(with_begin[-1:])
+        c, met = held[:-1, 1], held[:-1, 0]
         base = np.log10((c + 0.1) / (m.tokens + 0.1 * (m.distinct + 1)))
-        low = (discounted(figures[:, 4], m.d1) + (m.level if m.continued else 1.0) * max(m.continued, 1) / (m.distinct + 1)) / max(m.continued, 1)
-        back_off = np.where(figures[:, 0] > 0, (figures[:, 1:4] * np.array(m.d2)).sum(axis=1) / np.maximum(figures[:, 0], 1), 1.0)
-        of, head = back[: len(token)], back[len(token) :]
-        key, again = np.unique(key_of(before, token), return_inverse=True)
-        some = np.zeros(len(key), np.int64)
-        some[again] = np.arange(len(token))
-        pair = self.lookup(key, shard_of(before[some], key, m.frequent, m.shards), self.pairs, ())[again]
-        p = discounted(pair, m.d2) / np.maximum(figures[head, 0], 1) + back_off[head] * low[of]
+        p = (discounted(met, m.d1) + (m.level if m.continued else 1.0) * max(m.continued, 1) / (m.distinct + 1)) / max(m.continued, 1)
+        for k in range(2, m.order + 1):
+            total, successors = held[earlier, 2], held[earlier, 3:]
+            back_off = np.where(total > 0, (successors * np.array(m.discounts[k])).sum(axis=1) / np.maximum(total, 1), 1.0)
+            held = self.figures(with_begin[-k:])
+            p = discounted(held[:-1] if k == m.order else held[:-1, 0], m.discounts[k]) / np.maximum(total, 1) + back_off * p
         add = lambda x: np.add.reduceat(x, bounds[:-1]) if len(n) else x[:0]
-        return n, add((c[of] > 0).astype(np.int64)), add(base[of]), add(np.log10(p))
+        return n, add((c > 0).astype(np.int64)), add(base), add(np.log10(p))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -330,8 +378,8 @@ def model_folder(docs: DataFrame) -> str:
     return path
 
 
-def language_model(docs: DataFrame) -> DataFrame:
+def language_model(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """op7's contract: learns where crc32 of the id, mod 10, is not 0, and scores all."""
     held: Column = F.pmod(common.crc_of_id(F.col("doc_id")), F.lit(10)) == 0
-    out = scored(docs, fitted(docs.where(~held), model_folder(docs)))
+    out = scored(docs, fitted(docs.where(~held), model_folder(docs), order))
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -536,6 +536,50 @@ def test_kneser_ney_probabilities_sum_to_one(spark, tmp_path):
         assert abs(score(*w) - want) < 1e-9
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney_of_any_order_agrees_with_a_plain_one(spark, tmp_path, monkeypatch, order):
+    """One shard and many: the recursion written out over counters, whose probabilities sum to one in every context."""
+    r = random.Random(61)
+    train = [(k, prose(r, r.randint(0, 12), ["p", "q", "r", "t"])) for k in range(60)] + [(98, None), (99, "p p p p p p p")]
+    df = spark.createDataFrame(train, "doc_id long, text string")
+    texts = [[*(t or "").split(), ">"] for _, t in train]
+    counts = {order: Counter()}
+    for t in texts:
+        padded = ["<"] * (order - 1) + t
+        counts[order].update(tuple(padded[i : i + order]) for i in range(len(t)))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    d = {k: kneser_ney.discounts(*(float(sum(x == j for x in c.values())) for j in (1, 2, 3, 4))) for k, c in counts.items()}
+    off = lambda x, k: max(x - d[k][min(x, 3) - 1], 0) if x else 0
+    total = sum(counts[1].values())
+    level = sum(d[1][min(x, 3) - 1] for x in counts[1].values()) / total
+
+    def p(context, w):
+        if not context:
+            return off(counts[1][(w,)], 1) / total + level / (len(counts[1]) + 1)
+        k = len(context) + 1
+        own = {g[-1]: x for g, x in counts[k].items() if g[:-1] == context}
+        if not own:
+            return p(context[1:], w)
+        return (off(own.get(w, 0), k) + sum(d[k][min(x, 3) - 1] for x in own.values()) * p(context[1:], w)) / sum(own.values())
+
+    for context in {g[:-1] for g in counts[order]} | {("unseen",) * (order - 1)}:
+        assert abs(sum(p(context, w) for (w,) in [*counts[1], ("unseen",)]) - 1) < 1e-9
+    probes = ["p q r", "t t unseen u p q", "", "q r t p p q r t t"]
+    data, ends = "".join(probes).encode(), np.cumsum([0, *map(len, probes)])
+    for size in (16 << 20, 60):
+        monkeypatch.setattr(kneser_ney, "SHARD_BYTES", size)
+        model = kneser_ney.fitted(df, str(tmp_path / str(size)), order)
+        assert (model.shards > 1) == (size == 60) and model.discounts == d and model.tokens == sum(map(len, texts))
+        got = kneser_ney.Scorer(model).score(np.frombuffer(data, np.uint8), ends)
+        for text, x in zip(probes, got[3], strict=True):
+            padded = ["<"] * (order - 1) + text.split() + [">"]
+            want = sum(math.log10(p(tuple(padded[i - order + 1 : i]), padded[i])) for i in range(order - 1, len(padded)))
+            assert abs(x - want) < 1e-9
+    with pytest.raises(ValueError):
+        kneser_ney.fitted(df, str(tmp_path / "one"), 1)
+
+
 def test_a_model_of_many_shards_and_large_counts(spark, tmp_path, monkeypatch):
     """More shards than stay mapped, and counts beyond 32 bits, score as one shard does."""
     r = random.Random(16)
