@@ -117,19 +117,25 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-#: Bits of the bitmap of only_near.
-BITMAP_BITS = 1 << 23
+#: Of the bitmap of only_near: bits for each key, and words of 64 bits in a row.
+KEY_BITS, ROW_WORDS = 16, 1024
 
 
 def only_near(rows: DataFrame, keys: DataFrame, column: str = "key") -> DataFrame:
-    """The rows whose `column`, a long, may be among those of `keys`, other rows passing by chance: it keeps rows that an
-    exact join would drop out of that join's shuffle. What goes to all tasks is a bitmap of fixed size, 64 bits to a row."""
-    at = F.pmod(F.col(column), F.lit(BITMAP_BITS))
-    word, bit = F.shiftright(at, 6), F.pmod(at, F.lit(64)).cast("int")
-    of = keys.where(F.col(column).isNotNull()).select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit"))
-    bitmap = of.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    rows = rows.withColumn("_word", word).join(F.broadcast(settled(bitmap)), "_word")
-    return rows.where(F.getbit("_bits", bit) == 1).drop("_word", "_bits")
+    """The rows whose `column`, a long hash, may be among those of `keys`, about one in fifty others passing by chance, however many
+    keys there are: it keeps rows that an exact join would drop out of that join's shuffle. keys is read twice. What goes to all tasks is
+    a bitmap of KEY_BITS bits a key, in which a key sets two bits of one word."""
+    n = max(keys.count() * KEY_BITS // 64 + 1, ROW_WORDS)
+    at, one = F.pmod(F.col(column), F.lit(n)), F.lit(1).cast("long")
+    bit = lambda shift: F.call_function("shiftleft", one, F.shiftrightunsigned(F.col(column), shift).bitwiseAND(63).cast("int"))
+    both = bit(58).bitwiseOR(bit(52))
+    of = keys.where(F.col(column).isNotNull()).select(at.alias("_at"), both.alias("_bits"))
+    of = of.union(rows.sparkSession.range(n).select("id", F.lit(0).cast("long"))).groupBy("_at").agg(F.bit_or("_bits").alias("_bits"))
+    words = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_bits"))), lambda x: x["_bits"])
+    bitmap = of.groupBy(F.floor(F.col("_at") / ROW_WORDS).alias("_row")).agg(words.alias("_words"))
+    rows = rows.withColumn("_row", F.floor(at / ROW_WORDS)).join(F.broadcast(settled(bitmap)), "_row")
+    held = F.get("_words", F.pmod(at, F.lit(ROW_WORDS)).cast("int"))
+    return rows.where(held.bitwiseAND(both) == both).drop("_row", "_words")
 
 
 def unused(name: str, *tables: DataFrame) -> str:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,33 +44,34 @@ def n_shingles(b: Column) -> Column:
 def line_table(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, line (position), plain, key: the non-blank lines. key is the 64-bit hash
     that a line is known by; plain is what lines are compared by: lower case, no blanks at either end. Texts are put in lower
-    case whole, and blanks other than spaces are looked for only where a text has any."""
-    text = F.coalesce("text", F.lit(""))
-    base = docs.select("doc_id", F.xxhash64("text", F.lit(1)).alias("text_hash"), F.rlike(text, F.lit(r"[\t\x0B\f\r]")).alias("tabs"), F.lower(text).alias("low"))
-    base = base.select("doc_id", "text_hash", "tabs", F.posexplode(F.split("low", "\n", -1)).alias("line", "raw"))
-    plain = F.when(F.col("tabs"), F.btrim("raw", F.lit(common.BLANKS))).otherwise(F.trim("raw"))
+    case whole, and blanks other than spaces are cut off only where a line has any at its ends."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    base = docs.select("doc_id", F.xxhash64("text", F.lit(1)).alias("text_hash"), F.posexplode(F.split(low, "\n", -1)).alias("line", "raw"))
+    base = base.withColumn("plain", F.trim("raw"))
+    odd = reduce(or_, [at("plain", F.lit(c)) for c in common.BLANKS if c not in " \n" for at in (F.startswith, F.endswith)])
+    plain = F.when(odd, F.btrim("raw", F.lit(common.BLANKS))).otherwise(F.col("plain"))
     return base.select("doc_id", "text_hash", "line", plain.alias("plain")).where("plain <> ''").withColumn("key", F.xxhash64("plain"))
 
 
 def minima(lines: DataFrame, hashes: Hashes, all_shingles: bool = False) -> DataFrame:
-    """key, n (rows of the line), m0, m1, ... for the rows (key, plain) of lines: the minima of the hashes of each line's
+    """key, n (rows of the line), home, m0, m1, ... for the rows (key, text_hash, plain) of lines: the minima of the hashes of each line's
     shingles. A shingle is a row only inside one generated stage: it is sliced, hashed and folded into its line's minima where
     the text was read. Without all_shingles, those that cannot be a minimum are passed over, but for a line whose every shingle
-    was passed over, which is `open`: it has to be read again."""
-    rows = lines.select("key", units(F.col("plain")).alias("b"))
-    rows = rows.select("key", "b", F.explode(F.sequence(F.lit(1), 2 * n_shingles(F.col("b")) - 1, F.lit(2))).alias("i"))
+    was passed over, which is `open`: it has to be read again, from the text with the hash home."""
+    rows = lines.select("key", "text_hash", units(F.col("plain")).alias("b"))
+    rows = rows.select("key", "text_hash", "b", F.explode(F.sequence(F.lit(1), 2 * n_shingles(F.col("b")) - 1, F.lit(2))).alias("i"))
     long = F.length("b") > 2 * (SHORT + SHINGLE - 1)
-    rows = rows.select("key", "i", long.alias("long"), F.xxhash64(F.substring(F.col("b"), F.col("i"), F.lit(2 * SHINGLE))).alias("h"))
+    rows = rows.select("key", "text_hash", "i", long.alias("long"), F.xxhash64(F.substring(F.col("b"), F.col("i"), F.lit(2 * SHINGLE))).alias("h"))
     if not all_shingles:
         rows = rows.where((F.col("h") < QUARTER) | ~F.col("long") | (F.col("i") == 1))
-    rows = rows.groupBy("key").agg(F.sum((F.col("i") == 1).cast("int")).alias("n"), F.max("long").alias("long"), *[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(hashes.masks)])
+    rows = rows.groupBy("key").agg(F.sum((F.col("i") == 1).cast("int")).alias("n"), F.max("long").alias("long"), F.max(F.when(F.col("long") & (F.col("i") == 1), F.col("text_hash"))).alias("home"), *[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(hashes.masks)])
     return rows.withColumn("open", F.lit(False) if all_shingles else F.col("long") & (F.col("m0") >= QUARTER)).drop("long")
 
 
 def banded(found: DataFrame) -> DataFrame:
-    """key, n, open, bands: the band keys of minima."""
+    """key, n, open, home of open ones, bands: the band keys of minima."""
     bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
-    return found.select("key", "n", "open", bands.alias("bands"))
+    return found.select("key", "n", "open", F.when(F.col("open"), F.col("home")).alias("home"), bands.alias("bands"))
 
 
 def hashed(rows: DataFrame, line: str, out: str) -> DataFrame:
@@ -89,10 +92,12 @@ def line_classes(docs: DataFrame) -> DataFrame:
     spark, hashes = docs.sparkSession, Hashes.drawn()
     ws = common.Workspace(spark, "lines")
     found = ws.write(banded(minima(line_table(docs), hashes)), "bands")
-    again = common.settled(found.where("open").select("key"))
+    again = common.settled(found.where("open").select("key", "n", "home"))
     if not again.isEmpty():
-        rest = common.only_near(line_table(docs), again).join(again, "key")  # a semi join would be pushed below the bitmap
-        found = found.where("not open").union(common.settled(banded(minima(rest, hashes, True))))
+        homes = common.only_near(docs.select("doc_id", "text", F.xxhash64("text", F.lit(1)).alias("home")), again, "home")
+        rest = common.only_near(line_table(homes), again).join(again.select("key"), "key")  # a semi join would be pushed below the bitmap
+        whole = banded(minima(rest, hashes, True)).select("key", "bands").join(again, "key")
+        found = found.where("not open").unionByName(common.settled(whole.select("key", "n", F.lit(False).alias("open"), "home", "bands")))
     common.reclaim(spark)
     members = common.settled(shared_buckets(found.select("key", F.explode("bands").alias("bucket"))))
     several = common.settled(found.where("n > 1").select(F.col("key").alias("node")))

@@ -10,9 +10,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from gristmill.llm import chat, fingerprints, jaccard, kernel, kneser_ney, language, lines, mixing, packing, quality, toxicity
+from gristmill.llm import chat, common, fingerprints, jaccard, kernel, kneser_ney, language, lines, mixing, packing, quality, toxicity
 from gristmill.llm import components as component_tables
 from gristmill.llm.components import components
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -154,6 +155,21 @@ def test_a_line_whose_shingles_are_all_passed_over_is_read_again(spark):
     assert first.where("open").count() > 5
 
 
+def test_a_line_read_again_counts_in_all_its_documents(spark):
+    ruler = "-=" * 90
+    found = lines.line_classes(spark.createDataFrame([(k, f"text {k} of its own\n \t{ruler.upper()}\x0c ") for k in range(3)] + [(3, ruler)], "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.line, x.kept) for x in found if x.line or x.doc_id == 3) == [(0, 1, True), (1, 1, False), (2, 1, False), (3, 0, False)]
+
+
+def test_few_rows_pass_a_bitmap_by_chance_however_many_keys_it_has(spark):
+    hashes = lambda low, high: spark.range(low, high).select(F.xxhash64("id").alias("key"), "id")
+    keys = hashes(0, 2_000_000).select("key")
+    near = common.only_near(hashes(1_990_000, 2_200_000), keys)
+    got = near.agg(F.count_if(F.col("id") < 2_000_000).alias("held"), F.count_if(F.col("id") >= 2_000_000).alias("chance")).collect()[0]
+    assert got.held == 10_000 and got.chance < 10_000
+    assert common.only_near(hashes(0, 100), keys.limit(0)).count() == 0
+
+
 def test_line_dedup_on_odd_rows(docs, empty):
     found = lines.report(docs).collect()
     out, n = {x.doc_id: x for x in found}, len(found)
