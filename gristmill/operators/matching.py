@@ -36,7 +36,9 @@ def contained(small: DataFrame, large: DataFrame) -> DataFrame:
     short = tokens.where("size(l) between 1 and 2").select("file", F.col("id").alias("small"), begins.alias("gram"))
     each = lambda t: F.flatten(F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length(t) - i + 1)), lambda n: t.substr(i, n))))
     wanted = short.select("file", "gram").distinct()
-    grams = index.select("file", "large", F.explode(F.array_distinct(each(F.col("token")))).alias("gram")).join(wanted, ["file", "gram"], "left_semi").distinct()
+    # of each distinct token of a file the grams, not of each text that has it: only tokens with a wanted one meet their texts
+    grams = often.select("file", "token", F.explode(F.array_distinct(each(F.col("token")))).alias("gram")).join(wanted, ["file", "gram"], "left_semi")
+    grams = grams.join(index, ["file", "token"]).select("file", "large", "gram").distinct()
     met = met.unionByName(short.join(grams, ["file", "gram"]).select("small", "large"))
     texts = lambda df, name: df.select(F.col("id").alias(name), F.col("x").alias(f"{name}_x"))
     both = met.join(texts(small, "small"), "small").join(texts(large, "large"), "large")
