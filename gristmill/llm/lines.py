@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,18 +18,23 @@ SHINGLE, SIMILAR, BANDS, ROWS = 8, 0.8, 8, 4
 #: The masks are below 2**62, so that XOR keeps a hash's two upper bits: of any line with hashes below QUARTER the least by any
 #: mask is one of those. Lines of up to SHORT shingles often have none.
 QUARTER, SHORT = -(1 << 62), 64
+#: Strata of hashes, by the bits below those two, and their first bit: masks that differ in these bits only share their minima
+#: within strata, so that a hash is folded in for one mask in STRATA.
+STRATA, STRATUM = 8, 59
 
 
 @dataclass(frozen=True)
 class Hashes:
-    """XOR masks: the least value of hash XOR mask over a line's shingles is one minimum."""
+    """XOR masks: the least value of hash XOR mask over a line's shingles is one minimum. Each lower part drawn comes with
+    every stratum once, in random order: bands that meet the strata in turn would find fewer of the short lines."""
 
     masks: tuple[int, ...]
 
     @classmethod
     def drawn(cls, n: int = BANDS * ROWS, seed: int = 17) -> Hashes:
         r = random.Random(seed)
-        return cls(tuple(r.getrandbits(62) for _ in range(n)))
+        low = [r.getrandbits(STRATUM) for _ in range(-(-n // STRATA))]
+        return cls(tuple(r.sample([s << STRATUM | x for x in low for s in range(STRATA)], n)))
 
 
 def units(line: Column) -> Column:
@@ -57,14 +62,29 @@ def minima(lines: DataFrame, hashes: Hashes, all_shingles: bool = False) -> Data
     """key, n (rows of the line), home, m0, m1, ... for the rows (key, text_hash, plain) of lines: the minima of the hashes of each line's
     shingles. A shingle is a row only inside one generated stage: it is sliced, hashed and folded into its line's minima where
     the text was read. Without all_shingles, those that cannot be a minimum are passed over, but for a line whose every shingle
-    was passed over, which is `open`: it has to be read again, from the text with the hash home."""
+    was passed over, which is `open`: it has to be read again, from the text with the hash home.
+
+    A row is folded in for each distinct lower part of the masks, within its hash's stratum. XOR with a mask's stratum bits
+    leaves the order within a stratum as it is, so the least of a lower part's minima XOR those bits is the mask's minimum."""
     rows = lines.select("key", "text_hash", units(F.col("plain")).alias("b"))
     rows = rows.select("key", "text_hash", "b", F.explode(F.sequence(F.lit(1), 2 * n_shingles(F.col("b")) - 1, F.lit(2))).alias("i"))
     long = F.length("b") > 2 * (SHORT + SHINGLE - 1)
     rows = rows.select("key", "text_hash", "i", long.alias("long"), F.xxhash64(F.substring(F.col("b"), F.col("i"), F.lit(2 * SHINGLE))).alias("h"))
     if not all_shingles:
         rows = rows.where((F.col("h") < QUARTER) | ~F.col("long") | (F.col("i") == 1))
-    rows = rows.groupBy("key").agg(F.sum((F.col("i") == 1).cast("int")).alias("n"), F.max("long").alias("long"), F.max(F.when(F.col("long") & (F.col("i") == 1), F.col("text_hash"))).alias("home"), *[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(hashes.masks)])
+    rows = rows.withColumn("s", F.shiftright("h", STRATUM).bitwiseAND(STRATA - 1).cast("int"))
+    parts = [divmod(m, 1 << STRATUM) for m in hashes.masks]
+    low = {x: j for j, x in enumerate(dict.fromkeys(x for _, x in parts))}
+    first = {"n": "count(1) FILTER (WHERE i = 1)", "long": "max(long) FILTER (WHERE i = 1)", "home": "max(text_hash) FILTER (WHERE i = 1 AND long)"}
+    own = {f"l{j}_{s}": f"min(h ^ {x}L) FILTER (WHERE s = {s})" for s in range(STRATA) for x, j in low.items()}
+    rows = rows.groupBy("key").agg(*[F.expr(x).alias(c) for c, x in (first | own).items()])
+    # where every stratum holds hashes of the first quarter, a mask's own stratum has its minimum
+    full = reduce(and_, [F.coalesce(F.col(f"l0_{s}") < QUARTER, F.lit(False)) for s in range(STRATA)])
+    rows = rows.select("*", full.alias("full"))
+    merged = lambda to, j: F.least(*[F.col(f"l{j}_{s}").bitwiseXOR(F.lit(to << STRATUM)) for s in range(STRATA)])
+    found = [F.when(F.col("full"), F.col(f"l{low[x]}_{to}").bitwiseXOR(F.lit(to << STRATUM))).otherwise(merged(to, low[x])).alias(f"m{k}") for k, (to, x) in enumerate(parts)]
+    # a lambda in the projection keeps it out of the aggregate's generated method, which would be too long for the JVM to compile
+    rows = rows.select("key", "n", "long", F.get(F.transform(F.array("home"), lambda x: x), F.lit(0)).alias("home"), *found)
     return rows.withColumn("open", F.lit(False) if all_shingles else F.col("long") & (F.col("m0") >= QUARTER)).drop("long")
 
 

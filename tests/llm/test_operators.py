@@ -161,6 +161,26 @@ def test_a_line_read_again_counts_in_all_its_documents(spark):
     assert sorted((x.doc_id, x.line, x.kept) for x in found if x.line or x.doc_id == 3) == [(0, 1, True), (1, 1, False), (2, 1, False), (3, 0, False)]
 
 
+def test_minima_of_strata_are_those_of_every_mask(spark):
+    """A hash is folded in for few masks; the minima are those of all hashes by all masks, strata without hashes or not."""
+    import xxhash
+
+    r, hashes = random.Random(5), lines.Hashes.drawn()
+    assert len({m % (1 << lines.STRATUM) for m in hashes.masks}) * lines.STRATA == len(set(hashes.masks)) == lines.BANDS * lines.ROWS
+    pool = ["x", "-=" * 90, "ab " * 70] + [prose(r, n) for n in (1, 2, 4, 8, 12, 14, 20, 60, 300)]
+    table = lines.line_table(spark.createDataFrame(list(enumerate(pool)), "doc_id long, text string"))
+    plain = {x.key: x.plain for x in table.collect()}
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    for whole in (False, True):
+        found = lines.minima(table, hashes, whole).collect()
+        assert len(found) == len(pool) and all(x.n == 1 for x in found)
+        for x in found:
+            b = plain[x.key].encode("utf-16-be")
+            held = [signed(xxhash.xxh64_intdigest(b[i : i + 16], seed=42)) for i in range(0, max(len(b) - 14, 1), 2)]
+            assert x.open or [x[f"m{k}"] for k in range(len(hashes.masks))] == [min(h ^ m for h in held) for m in hashes.masks]
+        assert whole or sum(x.open for x in found) <= 2
+
+
 def test_few_rows_pass_a_bitmap_by_chance_however_many_keys_it_has(spark):
     hashes = lambda low, high: spark.range(low, high).select(F.xxhash64("id").alias("key"), "id")
     keys = hashes(0, 2_000_000).select("key")
