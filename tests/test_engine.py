@@ -232,6 +232,34 @@ def test_best_rows_against_all_pairs(spark):
     assert best_rows(spark.createDataFrame(items[:3], "file string, pos long, text string"), none).where("sheet is null").count() == 3
 
 
+def test_best_rows_of_every_part(spark):
+    from gristmill.operators.matching import best_rows
+
+    rows = ["Alpha beta is  a gamma of delta", "beta is a gamma", "模組電源供應單元規格 is x", "a\tb c", "of delta and so on to the end", "unbroken-very-long-token"]
+    items = sorted({x[i : i + n] for x in rows for i in range(len(x)) for n in (1, 2, 3, 7, 9, 12, 16, 21, 40)} | {f"so {x} it is" for x in rows})
+    got = best_rows(spark.createDataFrame([("f", k, x) for k, x in enumerate(items)], "file string, pos long, text string"), spark.createDataFrame([("f", k, "s", k, x) for k, x in enumerate(rows)], "file string, ord int, sheet string, row int, text string"))
+    want = {k: next(i for i, x in enumerate(rows) if t.lower() in x.lower() or x.lower() in t.lower()) for k, t in enumerate(items)}
+    assert {x.pos: x.row for x in got.select("pos", "row").collect()} == want
+
+
+def test_best_rows_keep_less_than_the_text(spark):
+    import random
+    from pathlib import Path
+
+    from gristmill.operators.matching import best_rows
+    from gristmill.operators.settle import shared_folder
+
+    r = random.Random(3)
+    texts = [" ".join(f"word{r.randrange(9000)}" for _ in range(60)) for _ in range(6000)]
+    rows = spark.createDataFrame([("f", k, "s", k, x) for k, x in enumerate(texts)], "file string, ord int, sheet string, row int, text string")
+    items = spark.createDataFrame([("f", k, x[20:300] if k % 20 else f"added {x}") for k, x in enumerate(texts) if k % 10 == 0], "file string, pos long, text string")
+    folder = shared_folder(spark).removeprefix("file://").removeprefix("file:")
+    used = lambda: sum(p.stat().st_size for p in Path(folder).rglob("part-*"))
+    before = used()
+    assert best_rows(items, rows).where("pos = row").count() == 600
+    assert used() - before < sum(map(len, texts))
+
+
 def test_failure_gate(spark):
     df = spark.createDataFrame([("c", i, i in (3, 5, 11)) for i in range(20)], "case_id string, pos long, failed boolean")
     assert [r.pos for r in O.failure_gate(df, most=2, least_attempts=10, most_percent=50).where("abort").collect()] == [11]
